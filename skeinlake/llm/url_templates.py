@@ -2,8 +2,8 @@
 
 The tree is grown level by level for all hosts at once. A child of a node stays literal if enough of the node's pages go
 through it; the rest share a wildcard, apart by file extension. Then, from the leaves up, branches that differ in one
-segment alone merge if their labelled purity doesn't differ significantly from that of all of them together. What is left are
-templates, and a template's purity, smoothed towards that of the corpus, decides over all its pages.
+segment alone are ordered by labelled purity, and neighbours merge unless their purities differ significantly. What is left
+are templates, and a template's purity, smoothed towards that of the corpus, decides over all its pages.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from .common import stored
 DEPTH = 8
 #: A literal child needs so many pages, and this share of its node's.
 LEAST_PAGES, LEAST_SHARE = 5, 0.02
-#: Standard errors by which a branch's purity may differ from the pooled one and still merge.
+#: Standard errors by which the smoothed purities of two branches may differ that still merge.
 Z = 2.0
 #: Weight of the corpus's purity, in labelled pages, and the purity below which a template is rejected.
 PRIOR_WEIGHT, LEAST_PURITY = 5.0, 0.5
@@ -46,7 +46,7 @@ def url_templates(pages: DataFrame, labels: DataFrame, depth: int = DEPTH, least
 
     A page's label is that of the document whose id ends its path: good if quality is 1 and toxic isn't. A document with
     several labels is good if all are; null labels aren't counted. Rows with a null url, or one without scheme and host,
-    have no template: null in the columns between, kept. An empty path is the template "/". Ids may be null or repeat: each
+    have no template: null in the columns between, kept. An empty path is the template "/"; merged segments read (a|b). Ids may be null or repeat: each
     row is a page. Without labels every purity is null and every page is kept.
     """
     state = _parsed(pages, depth).withColumn("tokens", F.array().cast("array<string>"))
@@ -69,21 +69,26 @@ def url_templates(pages: DataFrame, labels: DataFrame, depth: int = DEPTH, least
     labelled = state.where("host is not null").join(known, F.col("key") == F.col("_doc"), "left")
     templates = labelled.groupBy("host", "tokens").agg(F.count("*").alias("pages"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     overall = templates.agg((F.sum("good") / F.nullif(F.sum("labelled"), F.lit(0))).alias("prior"))
-    templates = templates.withColumn("current", F.col("tokens"))
+    # One row, joined to all: the corpus's purity.
+    templates = templates.crossJoin(F.broadcast(overall)).withColumn("current", F.col("tokens"))
     for k in reversed(range(deepest)):
-        # Sums by template so far, then over the templates that differ from it in segment k alone.
+        # Templates that differ in segment k alone, in the order of their smoothed purity; a significant step begins a new branch.
         general = F.transform("current", lambda t, i: F.when(i == k, F.lit("*")).otherwise(t))
-        own, pool = Window.partitionBy("host", "current"), Window.partitionBy("host", "general")
-        templates = templates.withColumn("general", general)
-        templates = templates.withColumns({"n": F.sum("labelled").over(own), "g": F.sum("good").over(own), "pn": F.sum("labelled").over(pool), "pg": F.sum("good").over(pool)})
-        p = F.col("pg") / F.nullif(F.col("pn"), F.lit(0))
-        near = F.coalesce(F.abs(F.col("g") / F.nullif(F.col("n"), F.lit(0)) - p) <= z * F.sqrt(p * (1 - p) / F.nullif(F.col("n"), F.lit(0))), F.lit(True))
-        templates = templates.withColumn("near", near).withColumn("many", F.size(F.collect_set(F.when(F.col("near"), F.col("current"))).over(pool)))
-        templates = templates.withColumn("current", F.when(F.col("near") & (F.col("many") > 1), F.col("general")).otherwise(F.col("current"))).select("host", "tokens", "pages", "labelled", "good", "current")
+        own = Window.partitionBy("host", "current")
+        siblings = Window.partitionBy("host", "general").orderBy("rate", "current", "tokens")
+        templates = templates.withColumn("general", general).withColumns({"n": F.sum("labelled").over(own) + prior_weight, "g": F.sum("good").over(own) + prior_weight * F.coalesce(F.col("prior"), F.lit(0.5))})
+        templates = templates.withColumn("rate", F.col("g") / F.col("n")).withColumns({"n0": F.lag("n").over(siblings), "g0": F.lag("g").over(siblings)})
+        p = (F.col("g") + F.col("g0")) / (F.col("n") + F.col("n0"))
+        apart = F.abs(F.col("g") / F.col("n") - F.col("g0") / F.col("n0")) > z * F.sqrt(p * (1 - p) * (1 / F.col("n") + 1 / F.col("n0")))
+        templates = templates.withColumn("branch", F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(siblings.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        members = F.array_sort(F.collect_set(F.get("current", F.lit(k))).over(Window.partitionBy("host", "general", "branch")))
+        templates = templates.withColumn("members", members)
+        merged = F.transform("current", lambda t, i: F.when(i == k, F.concat(F.lit("("), F.array_join("members", "|"), F.lit(")"))).otherwise(t))
+        templates = templates.withColumn("current", F.when(F.size("members") > 1, merged).otherwise(F.col("current"))).select("host", "tokens", "pages", "labelled", "good", "current", "prior")
     own = Window.partitionBy("host", "current")
     templates = templates.withColumns({"n_pages": F.sum("pages").over(own), "n_labelled": F.sum("labelled").over(own), "n_good": F.sum("good").over(own)})
     purity = (F.col("n_good") + prior_weight * F.col("prior")) / (F.col("n_labelled") + prior_weight)
-    judged = templates.crossJoin(F.broadcast(overall)).select(F.col("host").alias("_host"), F.col("tokens").alias("_tokens"), F.concat(F.lit("/"), F.array_join("current", "/")).alias("template"), "n_pages", "n_labelled", purity.alias("purity"))
+    judged = templates.select(F.col("host").alias("_host"), F.col("tokens").alias("_tokens"), F.concat(F.lit("/"), F.array_join("current", "/")).alias("template"), "n_pages", "n_labelled", purity.alias("purity"))
     return state.join(judged, (F.col("host") == F.col("_host")) & (F.col("tokens") == F.col("_tokens")), "left").select("page_id", "host", "template", "n_pages", "n_labelled", F.round("purity", 9).alias("purity"), F.coalesce(F.col("purity") >= least_purity, F.lit(True)).alias("keep"))
 
 
@@ -106,17 +111,20 @@ s{k + 1} AS MATERIALIZED (SELECT s.* EXCLUDE (tokens), CASE WHEN parts[{k + 1}]
         f"""known AS (SELECT doc_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 m{depth} AS MATERIALIZED (SELECT host, tokens, count(*) AS pages, count(good) AS labelled, coalesce(sum(good), 0) AS good, tokens AS current FROM s{depth} LEFT JOIN known ON key = doc_id WHERE host IS NOT NULL GROUP BY host, tokens)"""
     )
+    w = f"{PRIOR_WEIGHT!r}::DOUBLE"
+    steps.append(f"prior AS MATERIALIZED (SELECT sum(good) / nullif(sum(labelled), 0) AS prior FROM m{depth})")
     for k in reversed(range(depth)):
         steps.append(
             f"""a{k} AS MATERIALIZED (SELECT *, CASE WHEN len(current) > {k} THEN list_concat(list_append(current[1:{k}], '*'), current[{k + 2}:]) ELSE current END AS general FROM m{k + 1}),
-b{k} AS MATERIALIZED (SELECT *, sum(labelled) OVER (PARTITION BY host, current) AS n, sum(good) OVER (PARTITION BY host, current) AS g, sum(labelled) OVER (PARTITION BY host, general) AS pn, sum(good) OVER (PARTITION BY host, general) AS pg FROM a{k}),
-d{k} AS MATERIALIZED (SELECT *, coalesce(abs(g / nullif(n, 0) - pg / nullif(pn, 0)) <= {Z!r}::DOUBLE * sqrt(pg / nullif(pn, 0) * (1 - pg / nullif(pn, 0)) / nullif(n, 0)), true) AS near FROM b{k}),
-e{k} AS MATERIALIZED (SELECT *, len(list_distinct(list(CASE WHEN near THEN current END) OVER (PARTITION BY host, general))) AS many FROM d{k}),
-m{k} AS MATERIALIZED (SELECT host, tokens, pages, labelled, good, CASE WHEN near AND many > 1 THEN general ELSE current END AS current FROM e{k})"""
+b{k} AS MATERIALIZED (SELECT *, sum(labelled) OVER (PARTITION BY host, current) + {w} AS n, sum(good) OVER (PARTITION BY host, current) + {w} * coalesce((SELECT prior FROM prior), 0.5::DOUBLE) AS g FROM a{k}),
+c_{k} AS MATERIALIZED (SELECT *, lag(n) OVER v AS n0, lag(g) OVER v AS g0 FROM b{k} WINDOW v AS (PARTITION BY host, general ORDER BY g / n, current, tokens)),
+d{k} AS MATERIALIZED (SELECT *, sum(CASE WHEN coalesce(abs(g / n - g0 / n0) > {Z!r}::DOUBLE * sqrt((g + g0) / (n + n0) * (1 - (g + g0) / (n + n0)) * (1 / n + 1 / n0)), true) THEN 1 ELSE 0 END) OVER (PARTITION BY host, general ORDER BY g / n, current, tokens ROWS UNBOUNDED PRECEDING) AS branch FROM c_{k}),
+e{k} AS MATERIALIZED (SELECT *, list_sort(list_distinct(list(current[{k + 1}]) OVER (PARTITION BY host, general, branch))) AS members FROM d{k}),
+m{k} AS MATERIALIZED (SELECT host, tokens, pages, labelled, good, CASE WHEN len(members) > 1 THEN list_concat(list_append(current[1:{k}], '(' || array_to_string(members, '|') || ')'), current[{k + 2}:]) ELSE current END AS current FROM e{k})"""
         )
     return f"""WITH {', '.join(steps)},
 judged AS (SELECT host, tokens, '/' || array_to_string(current, '/') AS template, CAST(sum(pages) OVER w AS BIGINT) AS n_pages, CAST(sum(labelled) OVER w AS BIGINT) AS n_labelled,
-  (sum(good) OVER w + {PRIOR_WEIGHT!r}::DOUBLE * (SELECT sum(good) / nullif(sum(labelled), 0) FROM m0)) / (sum(labelled) OVER w + {PRIOR_WEIGHT!r}::DOUBLE) AS purity FROM m0 WINDOW w AS (PARTITION BY host, current))
+  (sum(good) OVER w + {PRIOR_WEIGHT!r}::DOUBLE * (SELECT prior FROM prior)) / (sum(labelled) OVER w + {PRIOR_WEIGHT!r}::DOUBLE) AS purity FROM m0 WINDOW w AS (PARTITION BY host, current))
 SELECT page_id, s.host, template, n_pages, n_labelled, round(purity, 9) AS purity, coalesce(purity >= {LEAST_PURITY!r}, true) AS keep
 FROM s{depth} s LEFT JOIN judged j ON s.host = j.host AND s.tokens = j.tokens"""
 
