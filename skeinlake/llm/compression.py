@@ -14,15 +14,16 @@ from .common import utf8
 LEVEL, CHUNK = 3, 4096
 #: (bytes below which the band holds, least and greatest ratio of the whole, least and greatest ratio of a full chunk).
 #: A ratio is raw bytes by compressed bytes. Ratios of prose grow with length, as matches have more to refer to, so each
-#: band has limits of its own: below the least a text is close to random, above the greatest it repeats itself.
+#: band has limits of its own: below the least a text is close to random (base64 of noise has 4 / 3), above the greatest it
+#: repeats itself.
 BANDS: tuple[tuple[float, float, float, float, float], ...] = (
     (64, 0.0, float("inf"), 0.0, float("inf")),
     (256, 0.75, 2.6, 0.0, float("inf")),
-    (1024, 1.10, 3.4, 0.0, float("inf")),
-    (4096, 1.20, 4.4, 0.0, float("inf")),
-    (16384, 1.25, 5.2, 1.15, 6.5),
-    (65536, 1.30, 6.0, 1.15, 6.5),
-    (float("inf"), 1.30, 7.0, 1.15, 6.5),
+    (1024, 1.20, 3.4, 0.0, float("inf")),
+    (4096, 1.40, 4.4, 0.0, float("inf")),
+    (16384, 1.45, 5.2, 1.40, 6.5),
+    (65536, 1.45, 6.0, 1.40, 6.5),
+    (float("inf"), 1.45, 7.0, 1.40, 6.5),
 )
 
 
