@@ -91,8 +91,7 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of some texts in order, and where the words of each text begin (one more entry than texts)."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     base = int(offsets[0])
     text, at = data[base : int(offsets[-1])], offsets - base
     n = len(text)
@@ -128,6 +127,26 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, np.searchsorted(starts, at)
 
 
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of some texts in order, and where the words of each text begin (one more entry than texts).
+
+    A text far beyond a pass is hashed piece by piece, cut between words, so that memory doesn't grow with it.
+    """
+    a, end = int(offsets[0]), int(offsets[-1])
+    if end - a <= 4 * CHUNK_BYTES:
+        return _words(data, offsets)
+    hashes, begins = [], np.zeros(len(offsets), np.int64)
+    while a < end:
+        b = min(a + CHUNK_BYTES, end)
+        while b < end and IS_WORD[data[b]]:
+            b += 1
+        h, at = _words(data, np.clip(offsets, a, b))
+        hashes.append(h)
+        begins += at
+        a = b
+    return np.concatenate(hashes), begins
+
+
 def grams(hashes: np.ndarray, begins: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams of words and where those of each text begin. A text of 1 to n-1 words has one gram, of all its words."""
     count = np.diff(begins)

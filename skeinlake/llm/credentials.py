@@ -69,15 +69,15 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     touched = docs.where(has)
     found = _found(touched).withColumn("secret_hash", F.sha2("secret", 256))
     live = _ownership(found).where("verdict = 'live'").select("secret_hash")
-    by_doc = found.join(live, "secret_hash", "left_semi").groupBy(F.col("doc_id").alias("__of")).agg(F.array_sort(F.collect_set("secret")).alias("__live"))
+    key, of, has_live = (fresh(docs, name) for name in ("__key", "__of", "__live"))
+    by_doc = found.join(live, "secret_hash", "left_semi").groupBy(F.col("doc_id").alias(of)).agg(F.array_sort(F.collect_set("secret")).alias(has_live))
     # Longer ones first: one credential may be part of another.
-    ordered = F.array_sort("__live", lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    key = fresh(docs, "__key")
-    joined = touched.withColumn(key, F.col("doc_id").cast("long")).join(by_doc, F.col(key).eqNullSafe(F.col("__of")), "left")
+    ordered = F.array_sort(has_live, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    joined = touched.withColumn(key, F.col("doc_id").cast("long")).join(by_doc, F.col(key).eqNullSafe(F.col(of)), "left")
     masked = F.aggregate(F.coalesce(ordered, F.array().cast("array<string>")), F.col("text").cast("string"), lambda text, secret: F.replace(text, secret, F.lit(MASK)))
     masked_docs = joined.withColumn("text", masked)
     if "n_chars" in columns:
-        masked_docs = masked_docs.withColumn("n_chars", F.when(F.col("__live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        masked_docs = masked_docs.withColumn("n_chars", F.when(F.col(has_live).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return docs.where(~has).unionByName(masked_docs.select(*[F.col(f"`{c}`") for c in columns]))
 
 

@@ -54,15 +54,18 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def syncmers(codes: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the closed syncmers of a sequence of characters. Of equal inner hashes each counts as the least."""
-    if len(codes) < k:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    inner = _rolling(codes, s)
-    least = _sliding_min(inner, k - s + 1)
-    n = len(least)
-    at = np.flatnonzero((inner[:n] == least) | (inner[k - s : k - s + n] == least))
-    return at, _rolling(codes, k)[at]
+def syncmers(codes: np.ndarray, k: int = K, s: int = S, block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the closed syncmers of a sequence of characters. Of equal inner hashes each counts as the least. Blocks overlap by k - 1 characters, so cutting changes nothing."""
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for a in range(0, len(codes) - k + 1, block):
+        part = codes[a : a + block + k - 1]
+        inner = _rolling(part, s)
+        least = _sliding_min(inner, k - s + 1)
+        n = len(least)
+        at = np.flatnonzero((inner[:n] == least) | (inner[k - s : k - s + n] == least))
+        places.append(at + a)
+        hashes.append(_rolling(part, k)[at])
+    return np.concatenate(places), np.concatenate(hashes)
 
 
 def _anchors(k: int, s: int):
