@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTF-8 bytes that one pass of a vectorised kernel takes; a longer text is a pass of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 _byte = np.arange(256)
 _ascii_word = ((_byte >= 48) & (_byte <= 57)) | ((_byte >= 65) & (_byte <= 90)) | ((_byte >= 97) & (_byte <= 122))
