@@ -141,7 +141,7 @@ def s22(i):
     return i.table("events").select("event_id", json.model_content(body).alias("content"))
 
 
-@query("k03_csv_projection", f"""WITH {ctes('snapshots')} SELECT branch, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, commit_hash, CAST(lines_of_code AS VARCHAR) AS lines_of_code, printf('%.2f', debt) AS debt, printf('%.2f', CAST(cycles AS DOUBLE)) AS complexity, printf('%.2f', stability) AS stability, printf('%.2f', CAST(lines_of_code AS DOUBLE)) AS coupling FROM snapshots""")
+@query("k03_csv_projection", f"""WITH {ctes('snapshots')} SELECT branch, CAST(date_trunc('second', ts) AS VARCHAR) AS ts, commit_hash, CAST(lines_of_code AS VARCHAR) AS lines_of_code, printf('%.2f', debt) AS debt, printf('%.2f', CAST(cycles AS DOUBLE)) AS complexity, printf('%.2f', stability) AS stability, printf('%.2f', CAST(lines_of_code AS DOUBLE)) AS coupling FROM snapshots""")
 def k03(i):
     return json.csv_columns(i.bind("snapshots").withColumns({"complexity": F.col("cycles"), "coupling": F.col("lines_of_code")}))
 

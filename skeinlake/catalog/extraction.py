@@ -33,7 +33,7 @@ def _lines(i):
 
 _case = lambda values, default="NULL": "CASE p_partkey % 8 " + " ".join(f"WHEN {n} THEN {v}" for n, v in values.items()) + f" ELSE {default} END"
 _path = "'src/m' || p_partkey || '.' || " + _case({n: f"'{x}'" for n, x in enumerate(_langs)})
-_language = _case({n: f"'{x}'" for n, x in enumerate(("rust", "python", "javascript", "typescript", "java", "go", "c", "cpp"))})
+_language = _case({n: f"'{x}'" for n, x in enumerate("rust python javascript typescript java go c cpp".split())})
 
 
 @query("x02_functions", f"""SELECT {_path} AS path, {_language} AS language, CASE WHEN p_partkey % 8 = 5 THEN 'F' ELSE 'f' END || p_partkey AS name, {_case({0: "['a: i32', 'b: &str']", 1: "['self', 'a']", 2: "['a', 'b']", 3: "['a: number']", 4: "['int a', 'int b']", 5: "['a int']", 6: "['int a', 'char *b']", 7: "['int a']"})} AS parameters, {_case({0: "'i32'", 3: "'string'", 5: "'error'"})} AS return_type, CASE WHEN p_partkey % 8 IN (0, 1, 3, 4, 5) THEN 'public' ELSE 'private' END AS visibility, p_partkey % 8 = 0 AS is_async, {_case({0: 3, 1: 4, 2: 2, 3: 1, 4: 3, 5: 2, 6: 2, 7: 2})} AS line_start, {_case({0: 6, 1: 7, 2: 4, 3: 3, 4: 5, 5: 4, 6: 5, 7: 4})} AS line_end FROM part

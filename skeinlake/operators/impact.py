@@ -25,6 +25,21 @@ def steps_back(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def step_score(parent: Column, depth: Column, factor: Column, importance: Column, type_factor: Column) -> Column:
+    """The score of a step: the parent's, decayed by 0.8 to the power of the depth, times the factors."""
+    return parent * F.pow(F.lit(0.8), depth) * factor * importance * type_factor
+
+
+def hop_chance(factor: Column, importance: Column) -> Column:
+    """The chance that a change goes on over a hop."""
+    return factor * 0.85 * F.least(F.lit(1.0), 0.5 + 0.5 * importance)
+
+
+def chain_severity(probability: Column, length: Column, central: Column) -> Column:
+    """High, Medium or Low by a chain's probability, its nodes and the greatest centrality on it."""
+    return F.when((probability > 0.8) | (length >= 5) | (central > 0.25), "High").when((probability > 0.6) | (length >= 4) | (central > 0.15), "Medium").otherwise("Low")
+
+
 def propagate(vertices: DataFrame, edges: DataFrame, sources: DataFrame, depth: int = 3, least: float = 0.05) -> DataFrame:
     """(id, depth, score, kind) of nodes that a change of the sources reaches; sources are left out.
 
@@ -95,7 +110,7 @@ def cascades(vertices: DataFrame, edges: DataFrame, starts: DataFrame, depth: in
     n = vertices.agg(F.count("*").alias("n"))
     degree = edges.select(F.col("src").alias("id")).union(edges.select("dst")).groupBy("id").agg(F.count("*").alias("deg"))
     v = vertices.select("id", "importance").join(degree, "id", "left").crossJoin(F.broadcast(n)).select(F.col("id").alias("_v"), "importance", (F.coalesce("deg", F.lit(0)) / (2 * F.col("n"))).alias("centrality"))
-    hops = settled(back.join(ahead, on, "left").join(v, F.col("_to") == F.col("_v"), "left").select("_at", "_to", (F.coalesce("f", F.lit(0.5)) * 0.85 * F.least(F.lit(1.0), 0.5 + 0.5 * F.coalesce("importance", F.lit(0.5)))).alias("p"), F.coalesce("centrality", F.lit(0.0)).alias("c")), "cascade-hops")
+    hops = settled(back.join(ahead, on, "left").join(v, F.col("_to") == F.col("_v"), "left").select("_at", "_to", hop_chance(F.coalesce("f", F.lit(0.5)), F.coalesce("importance", F.lit(0.5))).alias("p"), F.coalesce("centrality", F.lit(0.0)).alias("c")), "cascade-hops")
     begin = starts.select("id").distinct().join(v, F.col("id") == F.col("_v"), "left")
     now = begin.select(F.array("id").alias("path"), F.lit(1.0).alias("probability"), F.coalesce("centrality", F.lit(0.0)).alias("central"))
     out = None
@@ -106,7 +121,7 @@ def cascades(vertices: DataFrame, edges: DataFrame, starts: DataFrame, depth: in
         if now.isEmpty():
             break
     size = F.size("path")
-    severity = F.when((F.col("probability") > 0.8) | (size >= 5) | (F.col("central") > 0.25), "High").when((F.col("probability") > 0.6) | (size >= 4) | (F.col("central") > 0.15), "Medium").otherwise("Low")
+    severity = chain_severity(F.col("probability"), size, F.col("central"))
     return out.where(size >= shortest).select("path", "probability", severity.alias("severity")).distinct().orderBy(F.desc("probability"), "path").limit(keep)
 
 

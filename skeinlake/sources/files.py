@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.lookups import CONFIG_EXTENSIONS, LANGUAGES, WIDE_LANGUAGES, case, extension
 
-CODE_EXTENSIONS = ("rs", "java", "py", "js", "ts", "go", "c", "cpp", "h", "hpp", "cc", "cxx", "hxx", "jsx", "tsx")
-PRUNED = ("target", "node_modules", ".git", "build", "dist", "vendor", "__pycache__", ".venv")
-METRIC_EXTENSIONS = ("rs", "java", "py", "js", "ts", "go", "c", "cpp")
-BINARY_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "pdf", "zip", "gz", "tar", "exe", "dll", "so", "bin", "ico")
+CODE_EXTENSIONS = tuple("c cc cpp cxx go h hpp hxx java js jsx py rs ts tsx".split())
+PRUNED = tuple(".git .venv __pycache__ build dist node_modules target vendor".split())
+METRIC_EXTENSIONS = tuple("c cpp go java js py rs ts".split())
+BINARY_EXTENSIONS = tuple("bin dll exe gif gz ico jpeg jpg pdf png so tar zip".split())
 MAX_UNTRACKED = 1_000_000
 
 

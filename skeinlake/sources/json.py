@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCANNER = "results array<struct<check_id:string,path:string,severity:string,lines:string,start:struct<line:bigint,col:bigint>,extra:struct<message:string,fix:string,severity:string>>>"
+#: Writers keep microseconds, which the default format drops.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 SNAPSHOT = "branch string, ts timestamp_ntz, commit_hash string, debt double, complexity double, lines_of_code bigint, tags array<string>"
 
 
@@ -26,10 +28,15 @@ def parse_snapshots(lines: DataFrame) -> DataFrame:
 def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """All branches' snapshot files, snapshots_<branch>.jsonl, the branch taken from the file's name; bad lines are skipped."""
     df = spark.read.schema(f"{SNAPSHOT}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(f"{folder}/snapshots_*.jsonl")
-    named = df.withColumn("branch", F.coalesce("branch", F.regexp_extract(F.input_file_name(), r"snapshots_([^/]+)\.jsonl", 1)))
+    named = df.withColumn("branch", F.coalesce("branch", branch_of(F.input_file_name())))
     return named.where("_bad is null and ts is not null").drop("_bad")
 
 
+def branch_of(path: Column) -> Column:
+    """The branch that a snapshot file's name tells; empty if it isn't one."""
+    return F.regexp_extract(path, r"snapshots_([^/]+)\.jsonl$", 1)
+
+
 def safe_branch(branch: Column) -> Column:
     """A branch name as part of a file name."""
     return F.translate(branch, "/\\:", "___")
@@ -37,12 +44,12 @@ def safe_branch(branch: Column) -> Column:
 
 def append_snapshots(snapshots: DataFrame, folder: str) -> None:
     """Appends to one JSON-lines folder for each branch."""
-    snapshots.withColumn("safe", safe_branch(F.col("branch"))).write.mode("append").partitionBy("safe").json(folder)
+    snapshots.withColumn("safe", safe_branch(F.col("branch"))).write.mode("append").option("timestampNTZFormat", MICROS).partitionBy("safe").json(folder)
 
 
 def overwrite_branches(snapshots: DataFrame, folder: str) -> None:
     """Replaces the files of the branches that are given, and no other's."""
-    snapshots.withColumn("safe", safe_branch(F.col("branch"))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("safe").json(folder)
+    snapshots.withColumn("safe", safe_branch(F.col("branch"))).write.mode("overwrite").option("timestampNTZFormat", MICROS).option("partitionOverwriteMode", "dynamic").partitionBy("safe").json(folder)
 
 
 def read_appended(spark: SparkSession, folder: str) -> DataFrame:

@@ -315,3 +315,13 @@ def test_dot_and_ascii(spark):
 def test_conditions(spark):
     df = spark.createDataFrame([("Calls", "File", 1), ("Imports", "File", 2)], "edge_type string, node_type string, depth int")
     assert df.where(impact.condition({})).count() == 2 and df.where(impact.condition({"all": [{"node": "File"}, {"within": 1}]})).count() == 1 and df.where(impact.condition({"any": []})).count() == 0
+
+
+def test_settings(tmp_path):
+    from skeinlake.sources import config
+
+    (tmp_path / "a.toml").write_text("[graph]\nradius = 3\nunknown = 1\n")
+    (tmp_path / "b.json").write_text('{"damping": 1.5}')
+    assert config.load(str(tmp_path / "a.toml"), "graph") == config.Settings(radius=3) and config.load(str(tmp_path / "a.toml")) == config.Settings()
+    with pytest.raises(ValueError, match="damping"):
+        config.load(str(tmp_path / "b.json"))
