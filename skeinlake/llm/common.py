@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,9 +40,11 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; where it is unset (a single machine, tests) a temporary one."""
+    """The folder that all executors share, as spark.checkpoint.dir names it; on a single machine (tests) a temporary one where it is unset, on a cluster an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
