@@ -32,14 +32,14 @@ def tables(n: int) -> tuple[list[int], list[int]]:
     rotate_left = lambda x, k: ((x << (k % n)) | (x >> (n - k % n))) & full
     rotate_right = lambda x, k: rotate_left(x, n - k % n)
     trailing = lambda i: (~i & (i + 1)).bit_length() - 1
-    unGray = {gray(i): i for i in range(size)}
+    rank_of = {gray(i): i for i in range(size)}
     entry = lambda i: 0 if i == 0 else gray(2 * ((i - 1) // 2))
     direction = lambda i: 0 if i == 0 else trailing(i - 1) % n if i % 2 == 0 else trailing(i) % n
     states, digits, following = {(0, 0): 0}, [], []
     queue = [(0, 0)]
     for e, d in queue:
         for corner in range(size):
-            w = unGray[rotate_right(corner ^ e, d + 1)]
+            w = rank_of[rotate_right(corner ^ e, d + 1)]
             to = (e ^ rotate_left(entry(w), d + 1), (d + direction(w) + 1) % n)
             if to not in states:
                 states[to] = len(states)
@@ -126,7 +126,7 @@ levels AS (
   FROM base JOIN {rank('lang')} a ON lang IS NOT DISTINCT FROM a.v JOIN {rank('source')} b ON source IS NOT DISTINCT FROM b.v),
 {', '.join(steps)}
 SELECT doc_id, CAST(curve AS BIGINT) AS curve,
-  CAST(floor((sum(chars) OVER (ORDER BY curve, doc_id NULLS FIRST, chars ROWS UNBOUNDED PRECEDING) - chars) / {shard_chars}) AS BIGINT) AS shard
+  CAST(floor((sum(chars) OVER (ORDER BY curve, doc_id NULLS FIRST, chars) - sum(chars) OVER (PARTITION BY curve, doc_id, chars)) / {shard_chars}) AS BIGINT) AS shard
 FROM {last}"""
 
 
