@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import settled
+from ..plans.tables import held_by, settled
 
 
 def neighbours(edges: DataFrame, node: str) -> DataFrame:
@@ -28,7 +28,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(id, depth): nodes from which a seed is reached within so many edges (against their direction), with the least number."""
-    pairs = edges.select("src", "dst").distinct()
+    pairs = held_by(edges.select("src", "dst").distinct(), "dst")
     level = settled(seeds.select("id").distinct(), "reach-0")
     seen = level.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
@@ -37,6 +37,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         if level.isEmpty():
             break
         seen = seen.unionByName(level.withColumn("depth", F.lit(d)))
+    pairs.unpersist()
     return seen
 
 
@@ -142,6 +143,7 @@ def weighted_impact(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, sta
     on = (F.col("at") == F.col("_d")) & (F.col("to") == F.col("_s")) if reverse_weight else (F.col("at") == F.col("_s")) & (F.col("to") == F.col("_d"))
     imp = vertices.select(F.col("id").alias("to"), "importance")
     steps = settled(steps.join(first, on, "left").join(imp, "to", "left").select("at", "to", (F.coalesce("w", F.lit(1.0)) * F.coalesce("importance", F.lit(0.5)) * decay).alias("factor")), "impact-steps")
+    steps = held_by(steps, "at")
     best = settled(seeds.select("id").distinct().withColumn("score", F.lit(start)), "impact-0")
     frontier = best
     for k in range(rounds):
@@ -151,6 +153,7 @@ def weighted_impact(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, sta
         if frontier.isEmpty():
             break
         best = settled(best.unionByName(frontier).groupBy("id").agg(F.max("score").alias("score")), f"impact-{k + 1}")
+    steps.unpersist()
     return best
 
 
@@ -164,6 +167,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, round
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     links = settled(pair.join(out, "src").select("src", "dst", (F.col("rows") * F.col("w") / F.col("out")).alias("share")), "pagerank-links")
     dangling = settled(ids.join(links.select(F.col("src").alias("id")).distinct(), "id", "left_anti"), "pagerank-dangling")
+    links = held_by(links, "src")
     ranks = settled(ids.withColumn("pagerank", F.lit(1.0 / n)), "pagerank-0")
     for k in range(rounds):
         into = ranks.join(links, ranks.id == links.src).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
@@ -171,8 +175,10 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, round
         new = ids.join(into, "id", "left").crossJoin(F.broadcast(lost)).select("id", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0)) + damping * F.col("lost") / n).alias("pagerank"))
         new = settled(new, f"pagerank-{k + 1}")
         if k > 0 and tolerance > 0 and new.join(ranks.withColumnRenamed("pagerank", "old"), "id").agg(F.sum(F.abs(F.col("pagerank") - F.col("old")))).first()[0] < tolerance:
-            return new
+            ranks = new
+            break
         ranks = new
+    links.unpersist()
     return ranks
 
 
@@ -180,14 +186,16 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -
     """(id, label): synchronous rounds; each node takes the commonest label among its distinct neighbours both ways and itself, the least on ties."""
     ends = both_ways(edges).toDF("id", "from").union(vertices.select("id", F.col("id").alias("from"))).distinct()
     ends = settled(ends.join(vertices.select("id"), "id", "left_semi").join(vertices.select(F.col("id").alias("from")), "from", "left_semi").select("id", "from"), "labels-ends")
+    ends = held_by(ends, "from")
     labels = settled(vertices.select("id", F.col("id").alias("label")).distinct(), "labels-0")
     for k in range(rounds):
         votes = ends.join(labels.select(F.col("id").alias("from"), "label"), "from").groupBy("id", "label").agg(F.count("*").alias("n"))
         new = settled(votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")), f"labels-{k + 1}")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty()
+        settled_down = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty()
         labels = new
-        if changed:
+        if settled_down:
             break
+    ends.unpersist()
     return labels
 
 

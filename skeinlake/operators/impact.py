@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lookups import EDGE_FACTORS, NO_EDGE_FACTOR, TYPE_FACTORS, case
-from ..plans.tables import settled
+from ..plans.tables import held_by, settled
 
 
 def edge_factor(edge_type: Column, default: float | None = None) -> Column:
@@ -46,7 +46,7 @@ def propagate(vertices: DataFrame, edges: DataFrame, sources: DataFrame, depth:
     Level by level; of several ways to a node at one level the first counts, by the order in which its parents were found and
     then the edges' order. A node that scores too little isn't seen, so a later level may still reach it.
     """
-    steps = settled(steps_back(vertices, edges), "propagate-steps")
+    steps = held_by(settled(steps_back(vertices, edges), "propagate-steps"), "at")
     known = sources.select("id").distinct().join(vertices.select("id"), "id", "left_semi")
     # The order of discovery as a list of edge positions: lists compare as the visits came, without numbering all rows in one task.
     level = settled(known.select("id", F.lit(1.0).alias("score"), F.lit(0).alias("depth"), F.array(F.lit(0).cast("long")).alias("found")), "propagate-0")
@@ -59,6 +59,7 @@ def propagate(vertices: DataFrame, edges: DataFrame, sources: DataFrame, depth:
         if level.isEmpty():
             break
         seen, out = seen.union(level.select("id")), out.unionByName(level)
+    steps.unpersist()
     kind = F.when(F.col("depth") == 1, "Direct").when(F.col("score") > 0.5, "Transitive").otherwise("Conditional")
     return out.select("id", "depth", "score", kind.alias("kind"))
 

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,3 +27,9 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def held_by(df: DataFrame, key: str) -> DataFrame:
+    """df partitioned by a key and held on the executors, for a side that every round of an iteration joins by that key: it's exchanged once, and each round moves the other side only. Lost partitions are made again from what df reads. The caller unpersists it."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
