@@ -152,13 +152,13 @@ class Encoder:
     `most` chunks are remembered, then memory starts anew; that changes speed, not results.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, "rb") as f:
             self.model = parse_model(f.read())
-        self.whole = load(path)
-        self.bare = Tokenizer.from_str(self.whole.to_str())
+        whole = load(path)
+        self.bare = Tokenizer.from_str(whole.to_str())
         self.bare.normalizer = None
         free = [p for p, _, kind in self.model.pieces if kind in (NORMAL, USER)]
         self.cut = not any(MARK in p.lstrip(MARK) for p in free) and self.model.escape and not any(kind == USER for _, _, kind in self.model.pieces)
@@ -169,6 +169,9 @@ class Encoder:
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind in (UNKNOWN, CONTROL) else p.encode() for p, _, kind in self.model.pieces]
         self.chunks = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if lines else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.plain = not self.model.charsmap and not self.model.remove_extra and self.model.escape
+        # Of the whole tokenizer only the normaliser is needed from here on, and that not always: a worker keeps one copy of the pieces.
+        self.whole = None if self.plain else whole
+        load.cache_clear()
         self.prefix = MARK if self.model.dummy_prefix else ""
         self.most = most
         self.forget()
@@ -178,8 +181,10 @@ class Encoder:
         self.pool, self.begin, self.size, self.good = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def normal(self, text: str) -> str:
-        if not text or not self.plain:
-            return self.whole.normalizer.normalize_str(text) if text and self.whole.normalizer else text
+        if not text:
+            return text
+        if self.whole is not None:
+            return self.whole.normalizer.normalize_str(text) if self.whole.normalizer else text
         return self.prefix + text.replace(" ", MARK)
 
     def learn(self, new: list[str]) -> None:
