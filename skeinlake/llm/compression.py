@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import trimmed, utf8
 
 LEVEL, CHUNK = 3, 4096
 #: (bytes below which the band holds, least and greatest ratio of the whole, least and greatest ratio of a full chunk).
@@ -58,7 +58,7 @@ def compression_bands(docs: DataFrame, bands: Sequence[tuple[float, float, float
     repetitive, incompressible, repetitive chunk, incompressible chunk. A ratio at a limit is inside the band. Null text:
     null measures, reason empty; empty text: 0 bytes, reason empty. Null ids stay, repeated rows are each judged.
     """
-    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_ratios(level, chunk), "doc_id long, n_bytes long, ratio double, chunk_low double, chunk_high double")
+    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_ratios(level, chunk)), "doc_id long, n_bytes long, ratio double, chunk_low double, chunk_high double")
     limit = [F.lit(bands[-1][k]) for k in range(1, 5)]
     for band in reversed(bands[:-1]):
         limit = [F.when(F.col("n_bytes") < band[0], F.lit(band[k])).otherwise(limit[k - 1]) for k in range(1, 5)]

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import passes, utf8
+from .common import passes, trimmed, utf8
 
 #: The bound of the labelled sample: characters of text for each language, from at most ROWS rows, whole texts in the order of a hash of doc_id.
 CHARS, ROWS = 30_000, 200
@@ -182,4 +182,4 @@ def identify_languages(docs: DataFrame, labelled: DataFrame | None = None, chars
     empty texts, or no labelled text at all: null in the four columns. Null ids stay, repeated rows are each judged.
     """
     shared = docs.sparkSession.sparkContext.broadcast(samples(labelled if labelled is not None else docs, chars, rows))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_identify(shared), "doc_id long, language string, phrases long, phrases_per_char double, margin double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_identify(shared)), "doc_id long, language string, phrases long, phrases_per_char double, margin double")

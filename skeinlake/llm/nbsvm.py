@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_in_row, passes, utf8
+from .common import first_in_row, passes, trimmed, utf8
 
 #: Features are hashed byte n-grams of these orders; case and punctuation count, as they carry much of a page's quality.
 ORDERS, BITS = (3, 4), 18
@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     chosen = known.where("quality > 0").orderBy(*order).limit(per_class).unionByName(known.where("quality <= 0").orderBy(*order).limit(per_class))
     # The sample is bounded by a parameter, whatever the corpus, so its ids may be broadcast.
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
-    rows = found.select("doc_id", "text", "quality").mapInArrow(_featurise(orders, bits), "doc_id long, features array<int>, quality int").toArrow()
+    rows = found.select("doc_id", "text", "quality").mapInArrow(trimmed(_featurise(orders, bits)), "doc_id long, features array<int>, quality int").toArrow()
     by_id = {}
     for i, r, q in zip(rows["doc_id"].to_pylist(), rows["features"], rows["quality"].to_pylist()):
         v = r.values.to_numpy(zero_copy_only=False)
@@ -148,7 +148,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_P
     """
     model = train(docs, labels, per_class, orders, bits)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(shared, orders, bits), "doc_id long, score double, keep boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_score(shared, orders, bits)), "doc_id long, score double, keep boolean")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, orders: Sequence[int] = ORDERS, bits: int = BITS) -> DataFrame:
@@ -162,4 +162,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
             score = np.concatenate([np.zeros(0), *(shared.value.score(*features(data, offsets[i : j + 1], orders, bits)) for i, j in passes(offsets))])
             yield batch.filter(pa.array((score >= shared.value.threshold) & (np.diff(offsets) > 0)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import passes, utf8
+from .common import passes, trimmed, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -256,7 +256,7 @@ def sentencepiece_encode(docs: DataFrame, model_path: str = MODEL, threads: int
     whether decoding them gives the text back. Null text: null in the three columns. Empty text: no ids, 0, true. A null
     doc_id stays null; repeated rows are encoded each. Other columns are not read.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(model_path, threads), "doc_id long, token_ids array<int>, n_tokens int, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_encode(model_path, threads)), "doc_id long, token_ids array<int>, n_tokens int, round_trip boolean")
 
 
 def _decode(path: str):
@@ -272,4 +272,4 @@ def _decode(path: str):
 
 def sentencepiece_decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     """(doc_id, text) of rows (doc_id, token_ids). Null ids give null, no ids the empty text."""
-    return encoded.select("doc_id", "token_ids").mapInArrow(_decode(model_path), "doc_id long, text string")
+    return encoded.select("doc_id", "token_ids").mapInArrow(trimmed(_decode(model_path)), "doc_id long, text string")

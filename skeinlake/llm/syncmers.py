@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, passes, utf8
+from .common import mix, passes, trimmed, utf8
 
 #: Characters of an anchor and of the inner substrings. About 2 in K - S + 1 k-mers are chosen, and of any K - S in a row at least one (leaving out low-complexity ties).
 K, S = 32, 12
@@ -101,7 +101,7 @@ def closed_syncmers(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     """
     if not 0 < s < k:
         raise ValueError("s must lie between 0 and k")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_anchors(k, s), "doc_id long, positions array<int>, hashes array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_anchors(k, s)), "doc_id long, positions array<int>, hashes array<long>")
 
 
 def matches(left: DataFrame, right: DataFrame, least: int = 2) -> DataFrame:
