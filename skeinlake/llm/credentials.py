@@ -10,15 +10,22 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
-#: One pattern for all kinds, in the subset of syntax that Java and RE2 read alike. Assignments come last, so that a known form inside one is taken for itself.
-PATTERN = (
+#: Forms that are known by themselves, in the subset of syntax that Java and RE2 read alike.
+FORMS = (
     "AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk-[0-9A-Za-z]{32,}"
     "|eyJ[0-9A-Za-z_-]{10,}[.]eyJ[0-9A-Za-z_-]{10,}[.][0-9A-Za-z_-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]{20,}"
-    "|(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey)[ ]{0,3}[=:][ ]{0,3}[\"']?[0-9A-Za-z_/+.-]{12,}"
 )
-#: Every candidate contains one of these; looking for plain text first spares most documents the pattern.
-HINTS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk-", "eyJ", "PRIVATE KEY", "assword", "asswd", "ecret", "oken", "pi_k", "pi_K", "pik", "piK")
-ASSIGNED = "^(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey)[ ]{0,3}[=:][ ]{0,3}[\"']?"
+#: A key name in any case, bare or quoted, and what stands between it and its value.
+ASSIGNMENT = "(?i:password|passwd|secret|token|api_?key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?"
+#: One pattern for all kinds. Assignments come last, so that a known form inside one is taken for itself.
+PATTERN = f"{FORMS}|{ASSIGNMENT}[0-9A-Za-z_/+.-]{{12,}}"
+ASSIGNED = f"^{ASSIGNMENT}"
+#: Every candidate contains one of these, or its lower-cased text one of LOWER_HINTS; looking for plain text first spares most documents the pattern.
+HINTS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk-", "eyJ", "PRIVATE KEY")
+LOWER_HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey")
+#: The key names of the SQL text, which knows neither upper-case nor quoted ones: there the query gives more rows than it.
+SQL_ASSIGNMENT = "(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey)[ ]{0,3}[=:][ ]{0,3}[\"']?"
+SQL_PATTERN, SQL_ASSIGNED = f"{FORMS}|{SQL_ASSIGNMENT}[0-9A-Za-z_/+.-]{{12,}}", f"^{SQL_ASSIGNMENT}"
 KINDS = (("AKIA", "aws key"), ("gh", "github token"), ("xox", "slack token"), ("AIza", "google key"), ("sk-", "service key"), ("eyJ", "json web token"), ("-----", "private key"))
 #: A candidate is a widely copied example from so many distinct owners, or so many distinct repositories of at least two owners, on.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
@@ -27,7 +34,9 @@ MASK = "[secret]"
 
 def _has(text: Column) -> Column:
     """Whether a text has a candidate."""
-    hint = reduce(or_, [text.contains(h) for h in HINTS])
+    # As a lambda's variable the lower-cased text is made once for all hints.
+    lower = F.exists(F.array(F.lower(text)), lambda t: reduce(or_, [t.contains(h) for h in LOWER_HINTS]))
+    hint = reduce(or_, [text.contains(h) for h in HINTS]) | lower
     return F.coalesce(hint & text.rlike(PATTERN), F.lit(False))
 
 
@@ -94,10 +103,10 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
 
 ORACLE = f"""
 WITH found AS (
-  SELECT doc_id, concat_ws('/', source, lang) AS repository, source AS owner, unnest(list_distinct(regexp_extract_all(text, '{PATTERN.replace("'", "''")}'))) AS candidate
+  SELECT doc_id, concat_ws('/', source, lang) AS repository, source AS owner, unnest(list_distinct(regexp_extract_all(text, '{SQL_PATTERN.replace("'", "''")}'))) AS candidate
   FROM documents),
 hashed AS (
-  SELECT DISTINCT doc_id, repository, owner, sha256(regexp_replace(candidate, '{ASSIGNED.replace("'", "''")}', '')) AS secret_hash,
+  SELECT DISTINCT doc_id, repository, owner, sha256(regexp_replace(candidate, '{SQL_ASSIGNED.replace("'", "''")}', '')) AS secret_hash,
     CASE {' '.join(f"WHEN starts_with(candidate, '{p}') THEN '{k}'" for p, k in KINDS)} ELSE 'assignment' END AS kind
   FROM found),
 owned AS (

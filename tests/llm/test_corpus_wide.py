@@ -1,5 +1,6 @@
 """Operators that look at the whole corpus, against brute force or SQL, with their edge cases."""
 
+import hashlib
 import itertools
 import re
 
@@ -285,3 +286,14 @@ def test_secret_edges(odd, none):
     assert masked.columns == odd.columns and masked.count() == odd.count()
     texts = {r["text"] for r in masked.collect()}
     assert "Key [secret] here" in texts and "A row without a number but with password = '[secret]' in it." in texts and "Another text for eight" in texts
+
+
+def test_key_names_in_any_case_and_quoted(spark):
+    values = [f"{k}c7db7aa4a5fcc78305" for k in range(9)]
+    forms = ['TOKEN = "{}"', "PASSWORD={}", "API_KEY={}", "export SECRET={}", '{{"token": "{}"}}', "{{'Api_Key' : '{}'}}", '"PASSWD":"{}"', "ApiKey: {}", "PassWord={}"]
+    texts = [f.format(v) for f, v in zip(forms, values)]
+    d = spark.createDataFrame([(k, t, "en", "s1", len(t or "")) for k, t in enumerate([*texts, "TOKENS of PASSWORD: short", None])], "doc_id long, text string, lang string, source string, n_chars long")
+    got = credentials.secret_ownership(d).collect()
+    assert {(r["doc_id"], r["kind"], r["secret_hash"]) for r in got} == {(k, "assignment", hashlib.sha256(v.encode()).hexdigest()) for k, v in enumerate(values)} and len(got) == 9
+    masked = {r["doc_id"]: r["text"] for r in credentials.mask_secrets(d).collect()}
+    assert masked == {k: f.format("[secret]") for k, f in enumerate(forms)} | {9: "TOKENS of PASSWORD: short", 10: None}
