@@ -2,13 +2,13 @@
 
 The tree is grown level by level for all hosts at once. A child of a node stays literal if enough of the node's pages go
 through it; the rest share a wildcard, apart by file extension. Then, from the leaves up, branches that differ in one
-segment alone are ordered by labelled purity, and neighbours merge unless their purities differ significantly. What is left
-are templates, and a template's purity, smoothed towards that of the corpus, decides over all its pages.
+segment alone are ordered by labelled purity, and each joins the branch before it unless it differs significantly from the
+branch as a whole or from any member of it. What is left are templates, and a template's purity, smoothed towards that of the corpus, decides over all its pages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -41,6 +41,37 @@ def _parsed(pages: DataFrame, depth: int) -> DataFrame:
     )
 
 
+def _branches(rows: Column, z: float, weight: float, prior: Column) -> Column:
+    """The branch of each of some rows (rate, current, n, g, ...) sorted by their rate; those of one current are one sibling.
+
+    A branch's counts are those of its siblings, with the prior's weight once.
+    """
+
+    def apart(n, g, m) -> Column:
+        p = (g + m["g"]) / (n + m["n"])
+        return F.abs(g / n - m["g"] / m["n"]) > z * F.sqrt(p * (1 - p) * (1 / n + 1 / m["n"]))
+
+    def step(acc: Column, x: Column) -> Column:
+        done, last = F.size(acc["of"]), F.element_at(acc["of"], -1)
+        same = F.element_at(rows, done)["current"] == x["current"]
+        members = F.slice(rows, acc["since"], done + 1 - acc["since"])
+        new = ~same & (apart(acc["n"], acc["g"], x) | F.exists(members, lambda m: apart(m["n"], m["g"], x)))
+        add = lambda name, less: F.when(same, acc[name]).otherwise(acc[name] + x[name] - less)
+        # As a lambda's variable the answer is worked out once.
+        return F.transform(
+            F.array(new),
+            lambda n: F.struct(
+                F.concat(acc["of"], F.array(last + n.cast("int"))).alias("of"),
+                F.when(n, x["n"]).otherwise(add("n", F.lit(weight))).alias("n"),
+                F.when(n, x["g"]).otherwise(add("g", weight * prior)).alias("g"),
+                F.when(n, done + 1).otherwise(acc["since"]).alias("since"),
+            ),
+        )[0]
+
+    first = F.struct(F.array(F.lit(1)).alias("of"), rows[0]["n"].alias("n"), rows[0]["g"].alias("g"), F.lit(1).alias("since"))
+    return F.aggregate(F.slice(rows, 2, F.size(rows)), first, step, lambda acc: acc["of"])
+
+
 def url_templates(pages: DataFrame, labels: DataFrame, depth: int = DEPTH, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, z: float = Z, prior_weight: float = PRIOR_WEIGHT, least_purity: float = LEAST_PURITY) -> DataFrame:
     """(page_id, host, template, n_pages, n_labelled, purity, keep) for each row of pages.
 
@@ -72,15 +103,14 @@ def url_templates(pages: DataFrame, labels: DataFrame, depth: int = DEPTH, least
     # One row, joined to all: the corpus's purity.
     templates = templates.crossJoin(F.broadcast(overall)).withColumn("current", F.col("tokens"))
     for k in reversed(range(deepest)):
-        # Templates that differ in segment k alone, in the order of their smoothed purity; a significant step begins a new branch.
+        # Templates that differ in segment k alone, in the order of their smoothed purity; a significant difference begins a new branch.
         general = F.transform("current", lambda t, i: F.when(i == k, F.lit("*")).otherwise(t))
         own = Window.partitionBy("host", "current")
-        siblings = Window.partitionBy("host", "general").orderBy("rate", "current", "tokens")
-        templates = templates.withColumn("general", general).withColumns({"n": F.sum("labelled").over(own) + prior_weight, "g": F.sum("good").over(own) + prior_weight * F.coalesce(F.col("prior"), F.lit(0.5))})
-        templates = templates.withColumn("rate", F.col("g") / F.col("n")).withColumns({"n0": F.lag("n").over(siblings), "g0": F.lag("g").over(siblings)})
-        p = (F.col("g") + F.col("g0")) / (F.col("n") + F.col("n0"))
-        apart = F.abs(F.col("g") / F.col("n") - F.col("g0") / F.col("n0")) > z * F.sqrt(p * (1 - p) * (1 / F.col("n") + 1 / F.col("n0")))
-        templates = templates.withColumn("branch", F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(siblings.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        known_prior = F.coalesce(F.col("prior"), F.lit(0.5))
+        templates = templates.withColumn("general", general).withColumns({"n": F.sum("labelled").over(own) + prior_weight, "g": F.sum("good").over(own) + prior_weight * known_prior})
+        row = F.struct((F.col("g") / F.col("n")).alias("rate"), "current", "tokens", "pages", "labelled", "good", "n", "g")
+        siblings = templates.groupBy("host", "general", "prior").agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("branch", _branches(F.col("rows"), z, prior_weight, known_prior))
+        templates = siblings.select("host", "general", "prior", F.explode(F.arrays_zip("rows", "branch")).alias("x")).select("host", "general", "prior", "x.rows.*", "x.branch")
         members = F.array_sort(F.collect_set(F.get("current", F.lit(k))).over(Window.partitionBy("host", "general", "branch")))
         templates = templates.withColumn("members", members)
         merged = F.transform("current", lambda t, i: F.when(i == k, F.concat(F.lit("("), F.array_join("members", "|"), F.lit(")"))).otherwise(t))

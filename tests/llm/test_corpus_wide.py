@@ -60,6 +60,39 @@ def test_template_edges(spark, odd_labels, no_labels):
     assert url_templates.url_templates(pages.limit(0), odd_labels).count() == 0
 
 
+def _siblings(spark, good, n=50):
+    """A host with a template of n labelled pages for each count of good ones, and another that makes up the corpus's purity."""
+    pages, labels = [], []
+    for k, c in enumerate(good):
+        pages += [(1000 * k + i, f"http://h.org/b{k}/{1000 * k + i}") for i in range(n)]
+        labels += [(1000 * k + i, int(i < c), 0) for i in range(n)]
+    pages += [(10**6 + i, f"http://good.org/x/{10**6 + i}") for i in range(2000)]
+    labels += [(10**6 + i, int(i % 10 > 0), 0) for i in range(2000)]
+    return spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def _apart(a, b, prior, w=5, z=2.0):
+    (g, n), (h, m) = ((x + w * prior, y + w) for x, y in (a, b))
+    p = (g + h) / (n + m)
+    return abs(g / n - h / m) > z * (p * (1 - p) * (1 / n + 1 / m)) ** 0.5
+
+
+@pytest.mark.parametrize("good", [[10, 17, 25, 33, 40], [25, 33, 40, 10, 17], [3 * k for k in range(17)], [40] * 12])
+def test_small_steps_dont_chain_branches_that_differ(spark, good):
+    pages, labels = _siblings(spark, good)
+    prior = (sum(good) + 1800) / (50 * len(good) + 2000)
+    got = {r["page_id"]: r for r in url_templates.url_templates(pages, labels).collect()}
+    branch = {}
+    for k, c in enumerate(good):
+        branch.setdefault(got[1000 * k]["template"], []).append(c)
+    for name, members in branch.items():
+        assert not any(_apart((a, 50), (b, 50), prior) for a, b in itertools.combinations(members, 2)), branch
+        row = got[1000 * good.index(members[0])]
+        assert row["n_pages"] == row["n_labelled"] == 50 * len(members) and row["purity"] == pytest.approx((sum(members) + 5 * prior) / (50 * len(members) + 5))
+    assert len(branch) == 1 if len(set(good)) == 1 else len(branch) > 2
+    assert not any(got[1000 * k]["keep"] for k, c in enumerate(good) if c <= 17)
+
+
 # Cube method
 
 
