@@ -68,6 +68,19 @@ def test_compression_catches_repetition_and_noise(spark):
     assert got[1] == "repetitive" and got[2] == "incompressible" and got[3] is None and got[4] in ("repetitive", "repetitive chunk") and got[5] is None
 
 
+def test_compression_judges_the_end_of_a_text(spark):
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False).compress
+    rng = np.random.default_rng(1)
+    prose = " ".join("".join(rng.choice(list("etaoinshr"), rng.integers(2, 9))) for _ in range(2000))
+    spam, noise = (prose[:4200] + x for x in ("spam and eggs " * 300, base64.b64encode(rng.bytes(4000)).decode()))
+    texts = [spam[:8191], noise[:8191], prose[:8191], prose[:8192], prose[:4096], prose[:4097], prose[:4095], None]
+    rows = sorted(compression.compression_bands(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [r["reason"] for r in rows] == ["repetitive chunk", "incompressible chunk", *[None] * 5, "empty"]
+    assert [r["chunk_last"] for r in rows] == [pytest.approx(4096 / len(press(t[-4096:].encode()))) if t and len(t) > 4096 and len(t) % 4096 else None for t in texts]
+
+
 def test_compression_edges(odd, none):
     rows = compression.compression_bands(odd).collect()
     assert len(rows) == odd.count() and compression.compression_bands(none).count() == 0
