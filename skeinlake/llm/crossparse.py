@@ -2,7 +2,8 @@
 
 The suffix automaton of each language's text gives the longest matches. Walking it from the left and starting anew where a
 match ends is a finite-state machine over (state, character), so its table is laid out flat, with the number of phrases that
-a step ends in the low bits, and a batch of texts takes each step together in all languages.
+a step ends in the low bits, and a batch of texts takes each step together in all languages. Each language has the alphabet
+of its own text; a letter outside of it is a phrase by itself.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import passes, trimmed, utf8
 
-#: The bound of the labelled sample: characters of text for each language, from at most ROWS rows, whole texts in the order of a hash of doc_id.
+#: The bound of the labelled sample: characters of text for each language, from at most ROWS rows, whole texts in the order of a hash of doc_id. Of a language that has only longer ones it is the shortest.
 CHARS, ROWS = 30_000, 200
-#: Symbols of the automata: the commonest characters of the labelled texts; any other character is one that no language has.
-SYMBOLS = 63
+#: A language with more symbols than this (every letter of its labelled text is one) has its transitions as sorted keys in place of a flat table.
+FLAT = 127
 SPACE = 1
 
 
@@ -67,60 +68,78 @@ class Parser:
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
         text = np.frombuffer("".join(samples[k] for k in self.names).lower().encode("utf-32-le"), np.uint32)
-        kinds, counts = np.unique(text[letters()[text]], return_counts=True)
-        self.symbol = np.where(letters(), 0, SPACE).astype(np.uint8)
-        self.symbol[kinds[np.lexsort((kinds, -counts))][: SYMBOLS - 1]] = np.arange(2, min(len(kinds), SYMBOLS - 1) + 2)
-        width, tables, base = SYMBOLS + 1, [], 0
-        self.roots = []
-        for name in self.names:
+        kinds = np.unique(text[letters()[text]])
+        self.symbol = np.where(letters(), 0, SPACE).astype(np.uint8 if len(kinds) < 254 else np.int32)
+        self.symbol[kinds] = np.arange(2, len(kinds) + 2)
+        tables, local, base, self.roots, self.flat, self.keyed = [], [], 0, [], [], []
+        for k, name in enumerate(self.names):
             raw = samples[name].lower().encode("utf-8")
-            codes = self.symbols(np.frombuffer(raw, np.uint8), np.array([0, len(raw.decode())]))[0].astype(np.int64)
-            # A letter that was left out separates phrases of the labelled text.
-            codes[codes == 0] = width + 1
-            states = automaton(codes)
+            codes = self.symbols(np.frombuffer(raw, np.uint8), np.array([0, len(raw.decode())]))[0]
+            own = np.unique(codes[codes > SPACE])
+            mine = np.zeros(len(kinds) + 2, np.int32)
+            mine[SPACE], mine[own] = SPACE, np.arange(2, len(own) + 2)
+            states, width = automaton(mine[codes]), len(own) + 2
+            at_root = np.array([states[0].get(c, 0) for c in range(width)])
+            if width > FLAT:
+                moves = np.array(sorted((s * width + c, to) for s, m in enumerate(states) for c, to in m.items()), np.int64).reshape(-1, 2)
+                self.keyed.append((k, mine, width, np.ascontiguousarray(moves[:, 0]), np.ascontiguousarray(moves[:, 1]), at_root))
+                continue
             table = np.zeros((len(states), width), np.int64)
-            root = states[0]
-            at_root = np.array([root.get(c, 0) for c in range(width)])
             # No transition: the phrase ends (1) and the character begins the next one, or is a phrase by itself (1 more).
             table[:] = (base + at_root * width) * 4 + np.where(at_root > 0, 1, 2)
             table[0] = (base + at_root * width) * 4 + np.where(at_root > 0, 0, 1)
             for s, moves in enumerate(states):
                 for c, to in moves.items():
-                    if c < width:
-                        table[s, c] = (base + to * width) * 4
+                    table[s, c] = (base + to * width) * 4
+            self.flat.append(k)
             self.roots.append(base)
             tables.append(table.ravel())
+            local.append(mine)
             base += table.size
         # The walk adds the symbol to a state's place, so places and not states are kept.
-        self.table = np.concatenate(tables).astype(np.int32) if tables else np.zeros(0, np.int32)
+        self.kind = np.int32 if base < 1 << 29 else np.int64
+        self.table = np.concatenate(tables).astype(self.kind) if tables else np.zeros(0, self.kind)
+        self.local = np.array(local, np.int32).reshape(-1, len(kinds) + 2)
 
     def __call__(self, codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows: slices of codes, symbols) in each language."""
         size = np.diff(begins)
         order = np.argsort(-size, kind="stable")
         start, left = begins[:-1][order], size[order]
-        k, n = len(self.names), len(size)
-        roots = np.array(self.roots, np.int32)[:, None]
-        state = np.repeat(roots, n, 1)
-        count = np.zeros((k, n), np.int32)
+        n, flat = len(size), len(self.flat)
+        roots = np.array(self.roots, self.kind)[:, None]
+        state, keyed = np.repeat(roots, n, 1), np.zeros((len(self.keyed), n), np.int64)
+        count, keyed_count = np.zeros((flat, n), np.int32), np.zeros((len(self.keyed), n), np.int32)
         table, t = self.table, 0
         longest = int(left[0]) if n else 0
         while t < longest:
             m = int(np.searchsorted(-left, -t, "left"))
             # Over a block in which the same texts last, places are laid out once.
-            until = min(int(left[m - 1]), t + max(1, 1_000_000 // m))
-            block = codes[start[:m] + np.arange(t, until)[:, None]].astype(np.int32)
-            s, c = state[:, :m].copy(), count[:, :m].copy()
-            for row in block:
-                s += row
-                s = table.take(s)
-                c += s & 3
-                s >>= 2
-            state[:, :m], count[:, :m] = s, c
+            until = min(int(left[m - 1]), t + max(1, 1_000_000 // (m * max(flat, 1))))
+            block = codes[start[:m] + np.arange(t, until)[:, None]]
+            if flat:
+                s, c = state[:, :m].copy(), count[:, :m].copy()
+                for row in self.local.take(block, 1).swapaxes(0, 1):
+                    s += row
+                    s = table.take(s)
+                    c += s & 3
+                    s >>= 2
+                state[:, :m], count[:, :m] = s, c
+            for k, (_, mine, width, keys, to, at_root) in enumerate(self.keyed):
+                s, c = keyed[k, :m], keyed_count[k, :m]
+                for row in mine[block]:
+                    place = s * width + row
+                    i = np.minimum(np.searchsorted(keys, place), len(keys) - 1)
+                    goes, begun = keys[i] == place, at_root[row]
+                    c += np.where(goes, 0, np.where(begun > 0, 1, 2) - (s == 0))
+                    s = np.where(goes, to[i], begun)
+                keyed[k, :m] = s
             t = until
         count += state != roots
-        out = np.empty((n, k), np.int32)
-        out[order] = count.T
+        keyed_count += keyed != 0
+        out = np.empty((n, len(self.names)), np.int32)
+        out[order[:, None], self.flat] = count.T
+        out[order[:, None], [k for k, *_ in self.keyed]] = keyed_count.T
         return out
 
     def symbols(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,10 +152,11 @@ class Parser:
 
 
 def samples(docs: DataFrame, chars: int = CHARS, rows: int = ROWS) -> dict[str, str]:
-    """Labelled text by language: whole texts, in the order of a hash of doc_id, as long as they fit into the bound."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.trim("lang").alias("lang"), F.length("text").alias("size")).where("doc_id is not null and lang <> '' and size > 0").where(F.col("size") <= chars)
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "size")
-    ranked = known.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= rows)
+    """Labelled text by language: whole texts, in the order of a hash of doc_id, as long as they fit into the bound; at least one, the shortest, if none fits."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.trim("lang").alias("lang"), F.length("text").alias("size")).where("doc_id is not null and lang <> '' and size > 0")
+    above = F.col("size") > chars
+    w = Window.partitionBy("lang").orderBy(above, F.when(above, F.col("size")), F.xxhash64("doc_id"), "doc_id", "size")
+    ranked = known.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= rows).where(~above | (F.col("rank") == 1))
     running = ranked.withColumn("before", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1))).where((F.coalesce("before", F.lit(0)) < chars))
     # At most `rows` ids of each language, whatever the corpus.
     ids = running.select("doc_id", F.col("lang").alias("label"), "rank", F.col("size").alias("chosen"))

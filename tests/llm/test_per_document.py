@@ -282,6 +282,38 @@ def test_phrases_against_brute_force(texts, one, two):
     assert got.tolist() == [[_brute_phrases(plain(t), plain(s)) for s in (one, two)] for t in texts]
 
 
+@pytest.mark.parametrize("flat", [127, 2])
+def test_phrases_in_many_scripts_against_brute_force(monkeypatch, flat):
+    monkeypatch.setattr(crossparse, "FLAT", flat)
+    rng = np.random.default_rng(8)
+    draw = lambda a, b, n: "".join(rng.choice([chr(c) for c in range(a, b) if chr(c).isalpha()] + [" "], n))
+    scripts = {"cjk": (0x4E00, 0x4F40), "el": (0x3B1, 0x3CA), "la": (97, 123), "ru": (0x430, 0x450), "zz": (0x4EA0, 0x4FA0)}
+    samples = {k: draw(*v, 1500) for k, v in scripts.items()}
+    texts = [samples[k][300:340] + draw(*v, 60) for k, v in scripts.items()] + ["", "xñ"]
+    plain = lambda t: re.sub(r"[\W\d_]+", " ", t)
+    p = crossparse.Parser(samples)
+    data, off = common.utf8(pa.array(texts))
+    got = p(*p.symbols(data[off[0] : off[-1]], np.concatenate([[0], np.cumsum([len(t) for t in texts])])))
+    assert got.tolist() == [[_brute_phrases(plain(t), plain(samples[k])) for k in sorted(samples)] for t in texts]
+
+
+def test_rare_scripts_and_long_texts_are_answered(spark):
+    """Languages whose letters are rare in all samples together, and one that has only texts beyond the bound."""
+    rng = np.random.default_rng(9)
+    draw = lambda a, b, n: "".join(rng.choice([chr(c) for c in range(a, b) if chr(c).isalpha()] + [" "] * 5, n))
+    scripts = {"aa": (97, 123), "bb": (0x430, 0x450), "cc": (0x3B1, 0x3CA), "dd": (0x4E00, 0x4E80), "ee": (0x5D0, 0x5EB)}
+    words = {k: [draw(*v, 6) for _ in range(60)] for k, v in scripts.items()}
+    text = lambda k, n: " ".join(rng.choice(words[k], n))
+    sizes = {"aa": 400, "bb": 60, "cc": 30, "dd": 30, "ee": 500}
+    rows = [(10 * i + j, text(k, n + 10 * j), k) for i, (k, n) in enumerate(sizes.items()) for j in range(2)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(i, text(k, 20)) for i, k in enumerate(scripts)], "doc_id long, text string")
+    got = crossparse.identify_languages(docs, labelled, chars=3000).collect()
+    assert {r["doc_id"]: r["language"] for r in got} == dict(enumerate(scripts)) and all(r["margin"] > 0 for r in got)
+    found = crossparse.samples(labelled, 3000)
+    assert found["ee"] == min((t for _, t, k in rows if k == "ee"), key=len) and len(found["ee"]) > 3000
+
+
 def test_languages_on_held_out_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = crossparse.identify_languages(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")).join(d, "doc_id").toPandas()
