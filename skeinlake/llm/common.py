@@ -6,8 +6,10 @@ import ctypes
 import os
 import re
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,16 @@ CHUNK_BYTES = 500_000
 
 _byte = np.arange(256)
 _ascii_word = ((_byte >= 48) & (_byte <= 57)) | ((_byte >= 65) & (_byte <= 90)) | ((_byte >= 97) & (_byte <= 122))
-#: Letters, digits and every byte of a non-ASCII character belong to a word.
+#: Letters, digits and every byte of a non-ASCII character belong to a word; texts with other than Latin-1 letters are rewritten so that this holds.
 IS_WORD = _ascii_word | (_byte >= 128)
 LOWER = np.where((_byte >= 65) & (_byte <= 90), _byte + 32, _byte).astype(np.uint8)
 
+#: Scripts that put no spaces between words (Thai, Lao, Burmese, Khmer, Tai, Kana, Bopomofo, Han): each character is a word.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x303B), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
+
 _BASE = np.uint64(0x100000001B3)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -103,7 +111,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
-    """Lower case for ASCII and for the Latin-1 letters, in place of a slower Unicode pass."""
+    """Lower case for ASCII and for the Latin-1 letters; texts with others come lower-cased from spaced()."""
     out = LOWER[data]
     if len(out) > 1:
         latin = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
@@ -111,9 +119,50 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
+@cache
+def kinds() -> np.ndarray:
+    """Of each code point: 1 in a word (letters, marks, numbers), 2 a word by itself, 0 between words."""
+    out = np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)]).astype(np.uint8)
+    for a, b in UNSPACED:
+        out[a : b + 1] *= 2
+    return out
+
+
+def _plain(data: np.ndarray) -> bool:
+    """Whether all that isn't ASCII is Latin-1 letters (0xC3 and a byte, without the signs of multiplication and division)."""
+    if not (data >= 0x80).any():
+        return True
+    if (data[data >= 0xC0] != 0xC3).any():
+        return False
+    return not ((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))).any()
+
+
+def spaced(text: str) -> bytes:
+    """A text lower-cased (final sigma as any other), with a space for whatever isn't in a word and around each word of one character."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32).copy()
+    codes[codes == 0x3C2] = 0x3C3
+    kind = kinds()[codes]
+    codes[kind == 0] = 0x20
+    each = np.where(kind == 2, 3, 1)
+    out, at = np.repeat(codes, each), (np.cumsum(each) - each)[kind == 2]
+    out[at] = out[at + 2] = 0x20
+    return out.tobytes().decode("utf-32-le").encode()
+
+
+def _between(data: np.ndarray, b: int) -> bool:
+    """Whether texts may be cut before a byte: no word goes on there."""
+    if data[b] < 0x80:
+        return not IS_WORD[data[b]]
+    return data[b] >= 0xC0 and kinds()[ord(data[b : b + 4].tobytes().decode("utf-8", "ignore")[0])] != 1
+
+
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     base = int(offsets[0])
     text, at = data[base : int(offsets[-1])], offsets - base
+    if not _plain(text):
+        parts = [text[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        parts = [p.tobytes() if _plain(p) else spaced(p.tobytes().decode()) for p in parts]
+        text, at = np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     n = len(text)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
@@ -150,6 +199,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of some texts in order, and where the words of each text begin (one more entry than texts).
 
+    Words are runs of letters, marks and numbers, lower-cased; in scripts without spaces each character is one.
     A text far beyond a pass is hashed piece by piece, cut between words, so that memory doesn't grow with it.
     """
     a, end = int(offsets[0]), int(offsets[-1])
@@ -158,7 +208,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     hashes, begins = [], np.zeros(len(offsets), np.int64)
     while a < end:
         b = min(a + CHUNK_BYTES, end)
-        while b < end and IS_WORD[data[b]]:
+        while b < end and not _between(data, b):
             b += 1
         h, at = _words(data, np.clip(offsets, a, b))
         hashes.append(h)

@@ -3,14 +3,16 @@
 import hashlib
 import itertools
 import re
+import unicodedata
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skeinlake.llm import credentials, cube, hilbert, jaccard_rtree, url_templates
+from skeinlake.llm import common, credentials, cube, hilbert, jaccard_rtree, url_templates
 
 TABLES = "documents labels pages".split()
 
@@ -248,6 +250,55 @@ def test_recall_over_similarities(spark):
     assert len(truth) > 100 and len(got & set(truth)) >= 0.9 * len(truth) and not got - set(truth)
 
 
+def _unicode_words(text):
+    """Words by Unicode's categories, character by character; Han, kana and Thai characters are words by themselves."""
+    out, run = [], ""
+    for c in text.lower().replace("ς", "σ"):
+        name = unicodedata.name(c, "")
+        if unicodedata.category(c)[0] not in "LMN":
+            run = out.append(run) or "" if run else ""
+        elif name.startswith(("CJK UNIFIED", "HIRAGANA", "KATAKANA", "THAI")):
+            out += [run, c] if run else [c]
+            run = ""
+        else:
+            run += c
+    return out + [run] if run else out
+
+
+SCRIPTS = ["abcdefgh", "абвгдежз", "αβγδεζηθσ", "ąćęłńóśź", "ěščřžýáí", "한국어는말이다", "नमस्ते", "一二三四五六七八九十百千万", "あいうえおかきくけこ", "กขคงจฉชซญฎ"]
+
+
+def _in_script(rng, letters, n):
+    return "".join(rng.choice(list(letters), 4)) if n == 1 else ("" if letters[0] in "一あก" else " ").join(_in_script(rng, letters, 1) for _ in range(n))
+
+
+def test_near_copies_in_any_script(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    for letters in SCRIPTS:
+        for _ in range(4):
+            t = _in_script(rng, letters, 60)
+            k = len(texts)
+            texts += [(k, t), (k + 1, t.upper()), (k + 2, t.replace(" ", "\u00a0") + "\u201d"), (k + 3, t[: len(t) // 2] + _in_script(rng, letters, 2) + t[len(t) // 2 :]), (k + 4, f"\u201c{t[:40]}\u2014{t[40:]}\u2026")]
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in texts for w in [_unicode_words(t)]}
+    truth = {(a, b): j for a, b in itertools.combinations(sets, 2) if (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.5}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r[0], r[1]): r[2] for r in jaccard_rtree.expand(jaccard_rtree.jaccard_pairs(docs)).select("doc_id_a", "doc_id_b", "jaccard").collect()}
+    assert len(truth) >= 10 * len(texts) // 5 and not set(got) - set(truth) and len(got) >= 0.99 * len(truth)
+    assert all(got[k] == pytest.approx(truth[k], abs=1e-6) for k in got)
+    assert {r["doc_id"] for r in jaccard_rtree.keep_one(docs).collect()} == set(range(0, len(texts), 5))
+
+
+def test_long_text_of_any_script_is_hashed_in_pieces(monkeypatch):
+    rng = np.random.default_rng(13)
+    texts = ["", *(_in_script(rng, letters, 40) + "\u3002×" for letters in SCRIPTS), "ΣΑΣ’ΑΣ ÀÉ×ÿ"]
+    data, offsets = common.utf8(pa.array(texts))
+    whole = common.words(data, offsets)
+    assert np.diff(whole[1]).tolist() == [len(_unicode_words(t)) for t in texts]
+    monkeypatch.setattr(common, "CHUNK_BYTES", 17)
+    assert all((a == b).all() for a, b in zip(whole, common.words(data, offsets)))
+
+
 def test_large_group_of_near_copies(spark):
     rng = np.random.default_rng(2)
     base = [f"b{x}" for x in rng.integers(0, 10**6, 200)]
