@@ -12,7 +12,6 @@ cut before each run of markers without changing its encoding. That keeps words s
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -130,13 +129,17 @@ def build(model: Model):
     return tokenizer
 
 
+def model_bytes(path: str) -> bytes:
+    """A model file, read where the job is put together: the executors get its bytes with the job and need no such file."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
 @cache
-def load(path: str):
-    """The rebuilt tokenizer of a model file; it is held against the original library on PROBES, and a difference raises."""
+def load(raw: bytes):
+    """The rebuilt tokenizer of a model; it is held against the original library on PROBES, and a difference raises."""
     import sentencepiece
 
-    with open(path, "rb") as f:
-        raw = f.read()
     tokenizer = build(parse_model(raw))
     original = sentencepiece.SentencePieceProcessor(model_proto=raw)
     for text, want in zip(PROBES, original.encode(PROBES, num_threads=1)):
@@ -146,18 +149,32 @@ def load(path: str):
     return tokenizer
 
 
+_TABLE = np.random.default_rng(8).integers(1, 1 << 63, 256, dtype=np.uint64)
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+
+
+@cache
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^n, by 64-bit arithmetic."""
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
 class Encoder:
     """Encodes whole texts by their chunks: a run of markers with what follows it, or a line feed. A chunk seen before isn't encoded again.
 
-    `most` chunks are remembered, then memory starts anew; that changes speed, not results.
+    Texts are cut, and equal chunks found, over the bytes of many texts at once; only chunks that are new go to the library,
+    many in a call. `most` chunks are remembered, then memory starts anew; that changes speed, not results.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str | bytes, most: int = 200_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        with open(path, "rb") as f:
-            self.model = parse_model(f.read())
-        whole = load(path)
+        raw = path if isinstance(path, bytes) else model_bytes(path)
+        self.model = parse_model(raw)
+        whole = load(raw)
         self.bare = Tokenizer.from_str(whole.to_str())
         self.bare.normalizer = None
         free = [p for p, _, kind in self.model.pieces if kind in (NORMAL, USER)]
@@ -166,8 +183,8 @@ class Encoder:
         self.line = next(i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == BYTE and p == "<0x0A>") if lines else None
         if lines:
             self.bare.pre_tokenizer = pre_tokenizers.Split("\n", "isolated")
-        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind in (UNKNOWN, CONTROL) else p.encode() for p, _, kind in self.model.pieces]
-        self.chunks = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if lines else f"{MARK}*[^{MARK}]+|{MARK}+")
+        shown = (lambda p: p.replace(MARK, " ")) if self.model.escape else (lambda p: p)
+        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind in (UNKNOWN, CONTROL) else shown(p).encode() for p, _, kind in self.model.pieces]
         self.plain = not self.model.charsmap and not self.model.remove_extra and self.model.escape
         # Of the whole tokenizer only the normaliser is needed from here on, and that not always: a worker keeps one copy of the pieces.
         self.whole = None if self.plain else whole
@@ -177,70 +194,138 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.pool, self.begin, self.size, self.good = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        if self.cut and self.line is not None:
+            # A line feed is known from the start, so that no chunk which is learnt holds one.
+            self.known[b"\n"] = 0
+            self.pool, self.begin, self.size, self.good = np.array([self.line], np.int32), np.zeros(1, np.int64), np.ones(1, np.int64), np.ones(1, bool)
 
     def normal(self, text: str) -> str:
-        if not text:
-            return text
-        if self.whole is not None:
-            return self.whole.normalizer.normalize_str(text) if self.whole.normalizer else text
-        return self.prefix + text.replace(" ", MARK)
+        """What the library's normaliser makes of a text."""
+        return self.whole.normalizer.normalize_str(text) if text and self.whole.normalizer else text
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, chunks: list[bytes]) -> None:
         """Encodes chunks. Where a line feed is a token of its own, many chunks go to the library as the lines of one string: a call for each costs more than its encoding."""
-        if self.line is None:
-            rows = [e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)]
+        spaced = (lambda t: t.replace(" ", MARK)) if self.model.escape else (lambda t: t)
+        if self.line is None or not self.cut:
+            rows = [np.array(e.ids, np.int32) for e in self.bare.encode_batch_fast([spaced(c.decode()) for c in chunks], add_special_tokens=False)]
+            size = np.array([len(r) for r in rows], np.int64)
+            ids = np.concatenate(rows)
+            begin = np.cumsum(size) - size
         else:
-            blocks = [[c if c != "\n" else "" for c in new[k : k + 500]] for k in range(0, len(new), 500)]
-            rows = []
-            for block, e in zip(blocks, self.bare.encode_batch_fast(["\n".join(b) for b in blocks], add_special_tokens=False)):
-                ids = e.ids
-                at = [-1, *(k for k, x in enumerate(ids) if x == self.line), len(ids)]
-                rows += [ids[x + 1 : y] if c else [self.line] for c, x, y in zip(block, at, at[1:])]
-        back = [b"".join([self.bytes[x] for x in r]) for r in rows]
-        size = np.array([len(r) for r in rows], np.int64)
-        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
+            blocks = [spaced(b"\n".join(chunks[k : k + 500]).decode()) for k in range(0, len(chunks), 500)]
+            rows = [part for e in self.bare.encode_batch_fast(blocks, add_special_tokens=False) for part in (np.array(e.ids, np.int32), np.array([self.line], np.int32))]
+            ids = np.concatenate(rows)
+            ends = np.flatnonzero(ids == self.line)
+            begin = np.concatenate([[0], ends[:-1] + 1])
+            size = ends - begin
+        self.begin = np.concatenate([self.begin, len(self.pool) + begin])
         self.size = np.concatenate([self.size, size])
-        self.pool = np.concatenate([self.pool, np.fromiter((x for r in rows for x in r), np.int32, int(size.sum()))])
-        self.good = np.concatenate([self.good, np.array([a.encode() == b for a, b in zip(new, back)], bool)])
+        self.pool = np.concatenate([self.pool, ids])
+        self.good = np.concatenate([self.good, self.decodes(chunks, ids, begin, size)])
+
+    def decodes(self, chunks: list[bytes], ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the pieces of each chunk spell it."""
+        widths = np.array([len(x) for x in self.bytes], np.int64)
+        cost = np.concatenate([[0], np.cumsum(widths[ids])])
+        good = cost[begin + size] - cost[begin] == np.array([len(c) for c in chunks])
+        spell = lambda k: b"".join([self.bytes[x] for x in ids[begin[k] : begin[k] + size[k]].tolist()])
+        rest = np.flatnonzero(good)
+        inside = ids[np.arange(int(size[rest].sum())) + np.repeat(begin[rest] - np.cumsum(size[rest]) + size[rest], size[rest])]
+        if b"".join([self.bytes[x] for x in inside.tolist()]) != b"".join([chunks[k] for k in rest.tolist()]):
+            good[rest] = [spell(k) == chunks[k] for k in rest.tolist()]
+        return good
+
+    def starts(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Where chunks begin in texts that begin there: a marker after none, a line feed, what follows one."""
+        if not self.cut:
+            return begins
+        space = data == 32
+        first = space.copy()
+        first[1:] &= ~space[:-1]
+        if self.line is not None:
+            line = data == 10
+            first |= line
+            first[1:] |= line[:-1]
+        first[begins] = True
+        return np.flatnonzero(first)
+
+    def which(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The number of each chunk among the known ones, new ones learnt. Equal hashes are held against the bytes themselves."""
+        n = len(data)
+        ends = np.append(starts[1:], n)
+        room = 1 << max(20, n.bit_length())
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_TABLE[data] * _powers(_STEP, room)[:n], out=sums[1:])
+        width = ends - starts
+        hashes = (sums[ends] - sums[starts]) * _powers(_BACK, room)[starts] + width.astype(np.uint64)
+        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        twin = first[inverse]
+        same = bool((width == width[twin]).all()) and bool((data == data[np.arange(n) + np.repeat(starts[twin] - starts, width)]).all())
+        if not same:
+            first, inverse = np.arange(len(starts)), np.arange(len(starts))
+        text, known, new = data.tobytes(), self.known, []
+        number = np.empty(len(first), np.int64)
+        for k, (a, b) in enumerate(zip(starts[first].tolist(), ends[first].tolist())):
+            chunk = text[a:b]
+            at = known.get(chunk)
+            if at is None:
+                at = known[chunk] = len(known)
+                new.append(chunk)
+            number[k] = at
+        if new:
+            self.learn(new)
+        return number[inverse]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
         """(ids of all texts in a row, count of each text, whether each decodes to itself)."""
-        if len(self.known) > self.most:
-            self.forget()
-        normal = [self.normal(t) for t in texts]
-        rows = [self.chunks.findall(t) if self.cut else [t] * bool(t) for t in normal]
-        known, new = self.known, []
-        for row in rows:
-            for chunk in row:
-                if chunk not in known:
-                    known[chunk] = len(known)
-                    new.append(chunk)
-        if new:
-            self.learn(new)
-        many = np.array([len(r) for r in rows], np.int64)
-        which = np.fromiter((known[c] for r in rows for c in r), np.int64, int(many.sum()))
-        size = self.size[which]
-        ends = np.cumsum(size)
-        ids = self.pool[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size - self.begin[which], size)]
-        edge = np.concatenate([[0], np.cumsum(many)])
-        total, bad = np.concatenate([[0], ends]), np.concatenate([[0], np.cumsum(~self.good[which])])
-        skip = len(self.prefix)
-        same = [not wrong and n.replace(MARK, " ")[skip if n else 0 :] == t for wrong, n, t in zip(bad[edge[1:]] - bad[edge[:-1]], normal, texts)]
-        return ids, total[edge[1:]] - total[edge[:-1]], same
-
-
-def _encode(path: str, threads: int):
+        return self.encoded([t.encode() for t in texts])
+
+    def encoded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """As a call, for UTF-8 bytes."""
+        mark = MARK.encode()
+        # A marker takes one byte from here on: that of a space.
+        if self.plain:
+            normal = [(b" " if self.prefix else b"") + t.replace(mark, b" ") if t else t for t in texts]
+            same = [mark not in t for t in texts]
+        else:
+            normal = [self.normal(t.decode()).encode() for t in texts]
+            same = [n.replace(mark, b" ")[len(self.prefix) if n else 0 :] == t for n, t in zip(normal, texts)]
+            if self.model.escape:
+                normal = [n.replace(mark, b" ") for n in normal]
+        begins = np.cumsum([0, *map(len, normal)])
+        data = np.frombuffer(b"".join(normal), np.uint8)
+        full = begins[:-1][begins[1:] > begins[:-1]]
+        starts = self.starts(data, full)
+        ids, sizes, bad = [], np.zeros(len(starts), np.int64), np.zeros(len(starts), bool)
+        # Far longer texts than a pass are taken piece by piece, cut between chunks.
+        cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), 1 << 20)), len(starts))).tolist() if len(starts) else []
+        for p, q in zip([0, *cuts[1:-1]], cuts[1:]):
+            if len(self.known) > self.most:
+                self.forget()
+            a, b = int(starts[p]), int(starts[q]) if q < len(starts) else len(data)
+            which = self.which(data[a:b], starts[p:q] - a)
+            size = self.size[which]
+            ends = np.cumsum(size)
+            ids.append(self.pool[np.arange(int(ends[-1])) - np.repeat(ends - size - self.begin[which], size)])
+            sizes[p:q], bad[p:q] = size, ~self.good[which]
+        edge = np.searchsorted(starts, begins)
+        total, wrong = np.concatenate([[0], np.cumsum(sizes)])[edge], np.concatenate([[0], np.cumsum(bad)])[edge]
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.diff(total), [ok and not w for ok, w in zip(same, np.diff(wrong).tolist())]
+
+
+def _encode(raw: bytes, threads: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
-        encoder = Encoder(path)
+        encoder = Encoder(raw)
         for batch in batches:
             texts = batch.column(1)
             valid = np.asarray(texts.is_valid())
-            _, offsets = utf8(texts)
-            for i, j in passes(offsets):
-                ids, size, same = encoder(["" if t is None else t for t in texts.slice(i, j - i).to_pylist()])
+            data, offsets = utf8(texts)
+            view = memoryview(data)
+            for i, j in passes(offsets, 1_000_000):
+                ids, size, same = encoder.encoded([view[a:b].tobytes() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist())])
                 ok = valid[i:j]
                 begins = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(begins), pa.array(ids), mask=pa.array(~ok))
@@ -256,12 +341,12 @@ def sentencepiece_encode(docs: DataFrame, model_path: str = MODEL, threads: int
     whether decoding them gives the text back. Null text: null in the three columns. Empty text: no ids, 0, true. A null
     doc_id stays null; repeated rows are encoded each. Other columns are not read.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_encode(model_path, threads)), "doc_id long, token_ids array<int>, n_tokens int, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_encode(model_bytes(model_path), threads)), "doc_id long, token_ids array<int>, n_tokens int, round_trip boolean")
 
 
-def _decode(path: str):
+def _decode(raw: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
+        tokenizer = load(raw)
         for batch in batches:
             rows = batch.column(1).to_pylist()
             back = tokenizer.decode_batch([r or [] for r in rows], skip_special_tokens=False)
@@ -272,4 +357,4 @@ def _decode(path: str):
 
 def sentencepiece_decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     """(doc_id, text) of rows (doc_id, token_ids). Null ids give null, no ids the empty text."""
-    return encoded.select("doc_id", "token_ids").mapInArrow(trimmed(_decode(model_path)), "doc_id long, text string")
+    return encoded.select("doc_id", "token_ids").mapInArrow(trimmed(_decode(model_bytes(model_path))), "doc_id long, text string")
