@@ -31,7 +31,9 @@ UNSPACED = (
     (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
 )
 
-_BASE = np.uint64(0x100000001B3)
+#: Bytes of a word that are hashed in step with other words'.
+LONG_WORD = 64
+_BASE, _SEED = np.uint64(0x100000001B3), np.uint64(0xCBF29CE484222325)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
 
@@ -40,6 +42,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path, on whatever file system it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have yet, whatever its own extra columns are called."""
     taken = {c.lower() for c in df.columns}
@@ -59,12 +67,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts lineage, and survives the loss of executors."""
-    spark = df.sparkSession
+def passing(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table between steps; it is deleted when the application ends."""
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: cuts lineage, and survives the loss of executors. The files go when the application ends."""
+    path = passing(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +125,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S33)
 
 
+def _powers(n: int) -> np.ndarray:
+    """_BASE^0 .. _BASE^n."""
+    out = np.full(n + 1, _BASE, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """Lower case for ASCII and for the Latin-1 letters; texts with others come lower-cased from spaced()."""
     out = LOWER[data]
@@ -156,6 +178,17 @@ def _between(data: np.ndarray, b: int) -> bool:
     return data[b] >= 0xC0 and kinds()[ord(data[b : b + 4].tobytes().decode("utf-8", "ignore")[0])] != 1
 
 
+def _next_cut(data: np.ndarray, b: int, end: int) -> int:
+    """The first place from b on before which texts may be cut, or the end."""
+    while b < end:
+        part = data[b : min(b + 65_536, end)]
+        for k in np.flatnonzero(~IS_WORD[part] | (part >= 0xC0)).tolist():
+            if _between(data, b + k):
+                return b + k
+        b += len(part)
+    return end
+
+
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     base = int(offsets[0])
     text, at = data[base : int(offsets[-1])], offsets - base
@@ -179,18 +212,23 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     edges = np.flatnonzero(breaks)
     ends = edges[np.searchsorted(edges, starts, "right")]
     size = ends - starts
-    order = np.argsort(-np.minimum(size, 32767).astype(np.int16), kind="stable")
-    s, left = starts[order], size[order]
     low = lowered(text)
-    h = np.full(len(s), 0xCBF29CE484222325, np.uint64)
-    active = np.cumsum(np.bincount(np.minimum(size, 32767), minlength=32769)[::-1])[::-1] if len(s) else np.zeros(32769, np.int64)
-    for k in range(int(size.max()) if len(s) else 0):
-        m = int(active[min(k + 1, 32767)])
-        if k < 32767:
-            h[:m] = h[:m] * _BASE + low[s[:m] + k]
-        else:
-            longer = np.flatnonzero(left[:m] > k)
-            h[longer] = h[longer] * _BASE + low[s[longer] + k]
+    short = np.minimum(size, LONG_WORD)
+    order = np.argsort(-short.astype(np.int16), kind="stable")
+    s = starts[order]
+    h = np.full(len(s), _SEED, np.uint64)
+    # Words of at least k + 1 bytes come first, so each step takes the front of the list.
+    active = np.cumsum(np.bincount(short, minlength=LONG_WORD + 2)[::-1])[::-1]
+    for k in range(int(short.max()) if len(s) else 0):
+        m = int(active[k + 1])
+        h[:m] = h[:m] * _BASE + low[s[:m] + k]
+    # The rest of a longer word in one go: the same polynomial.
+    for place in np.flatnonzero(size[order] > LONG_WORD).tolist():
+        a, b = int(s[place]) + LONG_WORD, int(s[place] + size[order[place]])
+        for c in range(a, b, 1 << 20):
+            part = low[c : min(c + (1 << 20), b)]
+            power = _powers(len(part))
+            h[place : place + 1] = h[place : place + 1] * power[-1:] + (part * power[-2::-1]).sum(dtype=np.uint64)
     out = np.empty_like(h)
     out[order] = mix(h)
     return out, np.searchsorted(starts, at)
@@ -208,8 +246,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     hashes, begins = [], np.zeros(len(offsets), np.int64)
     while a < end:
         b = min(a + CHUNK_BYTES, end)
-        while b < end and not _between(data, b):
-            b += 1
+        b = _next_cut(data, b, end)
         h, at = _words(data, np.clip(offsets, a, b))
         hashes.append(h)
         begins += at

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_in_row, passes, trimmed, utf8
+from .common import CHUNK_BYTES, first_in_row, passes, trimmed, utf8
 
 #: Features are hashed byte n-grams of these orders; case and punctuation count, as they carry much of a page's quality.
 ORDERS, BITS = (3, 4), 18
@@ -22,8 +22,14 @@ SMOOTH, COST, EPOCHS, TOLERANCE = 1.0, 10.0, 30, 0.01
 
 
 def features(data: np.ndarray, offsets: np.ndarray, orders: Sequence[int] = ORDERS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of each text, each once, and where those of each text begin."""
+    """Hashed n-grams of each text, each once, and where those of each text begin. A text far beyond a pass is taken piece by piece, so that memory doesn't follow its length."""
     a, size = int(offsets[0]), np.diff(offsets)
+    if len(size) == 1 and size[0] > 2 * CHUNK_BYTES:
+        seen, end = np.zeros(1 << bits, bool), int(offsets[-1])
+        for b in range(a, end, CHUNK_BYTES):
+            seen[features(data, np.array([b, min(b + CHUNK_BYTES + max(orders) - 1, end)]), orders, bits)[0]] = True
+        values = np.flatnonzero(seen).astype(np.int32)
+        return values, np.array([0, len(values)])
     text = data[a : int(offsets[-1])].astype(np.uint32)
     begins = offsets - a
     counts = [np.maximum(size - n + 1, 0) for n in orders]

@@ -32,7 +32,7 @@ def _parsed(pages: DataFrame, depth: int) -> DataFrame:
     url = F.trim(F.col("url").cast("string"))
     path = F.regexp_extract(url, PATH, 1)
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    parts = F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth - 1), F.array(F.array_join(F.slice(parts, depth, 1_000_000), "/")))).otherwise(parts)
+    parts = F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth - 1), F.array(F.array_join(F.slice(parts, depth, F.size(parts)), "/")))).otherwise(parts)
     return pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit("")).alias("host"),
