@@ -13,10 +13,12 @@ from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import fresh, stored
+from .common import CHUNK_BYTES, fresh, kinds, passes, stored, utf8
 
 #: Share of the corpus's tokens that the sample is to have.
 SHARE = 0.5
@@ -24,6 +26,8 @@ SHARE = 0.5
 TEMPERATURE = 0.5
 #: Documents of a block on average. A block is one task's unit of the first flight; its bound keeps memory small.
 BLOCK = 20_000
+#: Blocks whose open documents fly together, before those that are left do.
+JOINED = 10_000
 _EPS = 1e-9
 
 
@@ -95,43 +99,88 @@ def _land(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf
 
 
+def _inside(text: np.ndarray) -> np.ndarray:
+    """Which bytes, or code points, aren't white space."""
+    return (text != 32) & (text != 9) & (text != 10) & (text != 13)
+
+
+def _count(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Words of UTF-8 texts: runs without white space; in scripts without spaces each character is one."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    for i, j in passes(offsets):
+        a, b = int(offsets[i]), int(offsets[j])
+        before = False
+        # Only a text that is a pass by itself is longer than a piece.
+        for c in range(a, b, 4 * CHUNK_BYTES):
+            inside = _inside(data[c : min(c + 4 * CHUNK_BYTES, b)])
+            first = inside.copy()
+            first[1:] &= ~inside[:-1]
+            at = np.clip(offsets[i : j + 1], c, c + len(inside)) - c
+            begins = at[:-1][at[:-1] < at[1:]]
+            first[begins] = inside[begins]
+            first[0] &= not before
+            before = bool(inside[-1])
+            out[i:j] += np.diff(np.concatenate([[0], np.cumsum(first)])[at])
+        high = a + np.flatnonzero(data[a:b] >= 0xE0)
+        for r in np.unique(np.searchsorted(offsets[i : j + 1], high, "right") - 1).tolist() if len(high) else []:
+            text = data[int(offsets[i + r]) : int(offsets[i + r + 1])].tobytes().decode()
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            alone = kinds()[codes] == 2
+            if alone.any():
+                word = _inside(codes) & ~alone
+                out[i + r] = int(alone.sum()) + int((word & ~np.concatenate([[False], word[:-1]])).sum())
+    return out
+
+
+def _tokens(text: pa.Array) -> pa.Array:
+    return pa.array(_count(*utf8(text)))
+
+
 def words(text: Column) -> Column:
-    """White-space words of a text."""
-    t = F.trim(F.translate(text, "\t\n\r", "   "))
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, " +")))
+    """Words of a text, as tokens are counted here: runs without white space; in scripts without spaces (Chinese, Japanese, Thai and others) each character is one. Null and empty texts have none."""
+    return F.arrow_udf(_tokens, LongType())(text)
 
 
 def probabilities(units: DataFrame, weights: Mapping[str, float] | None, share: float, temperature: float) -> DataFrame:
-    """(source, p): tokens wanted of each source by its tokens, 1 at most; what a full source can't give goes to the others by weight."""
-    totals = units.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    rows = sorted(((r["source"], float(r["tokens"])) for r in totals.collect()), key=lambda r: (r[0] is not None, r[0] or ""))
-    w = {s: (float(weights.get(s, 0.0)) if weights is not None else t**temperature if t > 0 else 0.0) for s, t in rows}
-    left, want, free = share * sum(t for _, t in rows), {s: 0.0 for s, _ in rows}, {s for s, t in rows if t > 0 and w[s] > 0}
-    while free and left > 0:
-        total = sum(w[s] for s in free)
-        full = {s for s, t in rows if s in free and left * w[s] / total >= t}
-        if not full:
-            for s in free:
-                want[s] = left * w[s] / total
+    """(source, p): tokens wanted of each source by its tokens, 1 at most; what a full source can't give goes to the others by weight.
+
+    A source is full if its weight times a level is at least its tokens. The level rises until the sum is what is wanted; each
+    step is one aggregation over the table of sources, of which only the level comes to the driver.
+    """
+    spark = units.sparkSession
+    totals = units.groupBy("source").agg(F.sum("tokens").cast("double").alias("t"))
+    if weights is None:
+        totals = totals.withColumn("w", F.when(F.col("t") > 0, F.pow("t", F.lit(temperature))).otherwise(0.0))
+    else:
+        given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "_source string, w double")
+        totals = totals.join(given, F.col("source") == F.col("_source"), "left").select("source", "t", F.coalesce("w", F.lit(0.0)).alias("w"))
+    totals = stored(totals, "mix-totals")
+    level, before = 0.0, -1.0
+    while level != before:
+        before = level
+        full = F.col("w") * F.lit(level) >= F.col("t")
+        useful = (F.col("t") > 0) & (F.col("w") > 0)
+        whole, given, free = totals.agg(F.sum("t"), F.sum(F.when(useful & full, F.col("t"))), F.sum(F.when(useful & ~full, F.col("w")))).first()
+        left = share * (whole or 0.0) - (given or 0.0)
+        if not free or left <= 0:
             break
-        for s, t in rows:
-            if s in full:
-                want[s], left = t, left - t
-        free -= full
-    p = [(s, min(1.0, want[s] / t) if t > 0 else (1.0 if weights is None or w[s] > 0 else 0.0)) for s, t in rows]
-    return units.sparkSession.createDataFrame(p, "source string, p double")
+        level = max(level, left / free)
+    sure = F.lit(1.0) if weights is None else F.when(F.col("w") > 0, 1.0).otherwise(0.0)
+    p = F.when(F.col("t") > 0, F.least(F.lit(1.0), F.lit(level) * F.col("w") / F.col("t"))).otherwise(sure)
+    return totals.select("source", p.alias("p"))
 
 
 def balanced_sample(docs: DataFrame, weights: Mapping[str, float] | None = None, share: float = SHARE, temperature: float = TEMPERATURE, block: int = BLOCK) -> DataFrame:
     """(doc_id, source, tokens, p, selected), a row for each doc_id of docs: its inclusion probability and whether it is drawn.
 
     weights: a source's share of the sample's tokens, to scale (a source that isn't named weighs 0); without them tokens to
-    the power of temperature. A unit is a doc_id: its rows are drawn together, their white-space words summed, and it
+    the power of temperature. A unit is a doc_id: its rows are drawn together, their tokens (words) summed, and it
     belongs to the least of its sources (null counts as a source of its own). Null ids can't be drawn and have no row. Texts
     that are null or empty have 0 tokens; a source of only such is kept whole. Draws depend on ids, sources and tokens
     alone, not on partitions, so a task that runs again draws the same.
     """
-    units = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("source").cast("string")).alias("source"), F.sum(F.coalesce(words(F.col("text").cast("string")), F.lit(0))).cast("long").alias("tokens"))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("tokens"))
+    units = rows.groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("tokens").alias("tokens"))
     return _drawn(units, weights, share, temperature, block)
 
 
@@ -146,12 +195,17 @@ def _drawn(units: DataFrame, weights, share: float, temperature: float, block: i
     rows = rows.withColumn("base", F.col("p")).select("doc_id", "source", "tokens", "base", "p", "h", "block")
     first = stored(rows.where(~sure).groupBy("source", "block").applyInPandas(_fly, schema), "mix-flight")
     still = (F.col("p") > 0) & (F.col("p") < 1)
+    while blocks > JOINED:
+        # So many blocks leave more open documents than one task should take: they fly in larger blocks first.
+        blocks = -(-blocks // JOINED)
+        again = first.where(still).withColumn("block", F.pmod("block", F.lit(blocks)))
+        first = stored(first.where(~still).unionByName(again.groupBy("source", "block").applyInPandas(_fly, schema)), "mix-flight")
     landed = first.where(still).groupBy("source").applyInPandas(_land, schema)
     return rows.where(sure).unionByName(first.where(~still)).unionByName(landed).select("doc_id", "source", "tokens", F.col("base").alias("p"), (F.col("p") > 0.5).alias("selected"))
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, share: float = SHARE, temperature: float = TEMPERATURE, block: int = BLOCK) -> DataFrame:
-    """The rows of docs whose doc_id balanced_sample draws, with docs' own columns."""
+    """The rows of docs whose doc_id balanced_sample draws, with docs' own columns. Rows of one doc_id are drawn together; rows with a null doc_id can't be drawn and go."""
     key = fresh(docs, "__drawn")
     chosen = balanced_sample(docs, weights, share, temperature, block).where("selected").select(F.col("doc_id").alias(key))
     return docs.join(chosen, F.col("doc_id").cast("long") == F.col(key), "left_semi")
