@@ -8,24 +8,25 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, stored
 
 #: Forms that are known by themselves, in the subset of syntax that Java and RE2 read alike.
-FORMS = (
-    "AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk-[0-9A-Za-z]{32,}"
-    "|eyJ[0-9A-Za-z_-]{10,}[.]eyJ[0-9A-Za-z_-]{10,}[.][0-9A-Za-z_-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]{20,}"
-)
-#: A key name in any case, bare or quoted, and what stands between it and its value.
-ASSIGNMENT = "(?i:password|passwd|secret|token|api_?key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?"
+_SHARED = "AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk-"
+_REST = "|eyJ[0-9A-Za-z_-]{10,}[.]eyJ[0-9A-Za-z_-]{10,}[.][0-9A-Za-z_-]{10,}|-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]{20,}"
+FORMS = f"{_SHARED}(?:[a-z]{{2,8}}-)?[0-9A-Za-z_-]{{32,}}{_REST}"
+#: A key name in any case, bare or quoted and with words joined to it (as in AWS_SECRET_ACCESS_KEY), and what stands between it and its value.
+ASSIGNMENT = "(?i:password|passwd|secret|token|api_?key)(?:_[0-9A-Za-z_]{1,30})?[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?"
 #: One pattern for all kinds. Assignments come last, so that a known form inside one is taken for itself.
 PATTERN = f"{FORMS}|{ASSIGNMENT}[0-9A-Za-z_/+.-]{{12,}}"
 ASSIGNED = f"^{ASSIGNMENT}"
+#: An assigned value is random-looking if it has so many different characters, a letter, and a digit; or, without a digit, both cases and no joined words.
+DIFFERENT, LOOSE = 6, "^[A-Za-z+]{20,}$"
 #: Every candidate contains one of these, or its lower-cased text one of LOWER_HINTS; looking for plain text first spares most documents the pattern.
 HINTS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk-", "eyJ", "PRIVATE KEY")
 LOWER_HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey")
-#: The key names of the SQL text, which knows neither upper-case nor quoted ones: there the query gives more rows than it.
+#: The forms of the SQL text, which knows neither upper-case, joined or quoted names nor the shape of a value: where there are such the rows differ.
 SQL_ASSIGNMENT = "(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey)[ ]{0,3}[=:][ ]{0,3}[\"']?"
-SQL_PATTERN, SQL_ASSIGNED = f"{FORMS}|{SQL_ASSIGNMENT}[0-9A-Za-z_/+.-]{{12,}}", f"^{SQL_ASSIGNMENT}"
+SQL_PATTERN, SQL_ASSIGNED = f"{_SHARED}[0-9A-Za-z]{{32,}}{_REST}|{SQL_ASSIGNMENT}[0-9A-Za-z_/+.-]{{12,}}", f"^{SQL_ASSIGNMENT}"
 KINDS = (("AKIA", "aws key"), ("gh", "github token"), ("xox", "slack token"), ("AIza", "google key"), ("sk-", "service key"), ("eyJ", "json web token"), ("-----", "private key"))
 #: A candidate is a widely copied example from so many distinct owners, or so many distinct repositories of at least two owners, on.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
@@ -40,14 +41,23 @@ def _has(text: Column) -> Column:
     return F.coalesce(hint & text.rlike(PATTERN), F.lit(False))
 
 
+def _random(value: Column) -> Column:
+    """Whether an assigned value looks like a credential rather than like a placeholder, a name or a number."""
+    mixed = value.rlike("[A-Za-z]") & value.rlike("[0-9]") | value.rlike(LOOSE) & value.rlike("[a-z]") & value.rlike("[A-Z]")
+    return mixed & (F.size(F.array_distinct(F.split(value, ""))) >= DIFFERENT)
+
+
+def _candidates(text: Column) -> Column:
+    """The distinct candidates of a text, as (candidate, secret)."""
+    both = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))), lambda c: F.struct(c.alias("candidate"), F.regexp_replace(c, ASSIGNED, "").alias("secret")))
+    return F.filter(both, lambda x: (x["candidate"] == x["secret"]) | _random(x["secret"]))
+
+
 def _found(docs: DataFrame) -> DataFrame:
-    """(doc_id, repository, owner, candidate) of each distinct candidate of each row; only rows that have one."""
+    """(doc_id, repository, owner, secret_hash, kind) of each distinct candidate of each row, written once: only hashes leave the texts."""
     text = F.col("text").cast("string")
-    return (
-        docs.where(_has(text))
-        .select(F.col("doc_id").cast("long").alias("doc_id"), F.concat_ws("/", F.col("source").cast("string"), F.col("lang").cast("string")).alias("repository"), F.col("source").cast("string").alias("owner"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))).alias("candidate"))
-        .withColumn("secret", F.regexp_replace("candidate", ASSIGNED, ""))
-    )
+    found = docs.where(_has(text)).select(F.col("doc_id").cast("long").alias("doc_id"), F.concat_ws("/", F.col("source").cast("string"), F.col("lang").cast("string")).alias("repository"), F.col("source").cast("string").alias("owner"), F.explode(_candidates(text)).alias("c"))
+    return stored(found.select("doc_id", "repository", "owner", F.sha2("c.secret", 256).alias("secret_hash"), _kind(F.col("c.candidate")).alias("kind")), "secrets")
 
 
 def _kind(candidate: Column) -> Column:
@@ -71,30 +81,34 @@ def secret_ownership(docs: DataFrame) -> DataFrame:
 
     secret_hash is the SHA-256 of the credential itself, so the result discloses none. A document's owner is its source and
     its repository the source with the language. verdict is example or live. Candidates of a document count once, repeated
-    rows too. Rows with a null or empty text have no candidates; a null doc_id stays null, and counts as no document; a
-    null source counts as no owner, which leaves the candidate live.
+    rows too. An assigned value that doesn't look random (a placeholder, joined words, a bare number) is no candidate. Rows
+    with a null or empty text have no candidates; a null doc_id stays null, and counts as no document; a null source counts
+    as no owner, which leaves the candidate live.
     """
-    found = _found(docs).select("doc_id", "repository", "owner", F.sha2("secret", 256).alias("secret_hash"), _kind(F.col("candidate")).alias("kind")).distinct()
+    found = _found(docs).distinct()
     return found.join(_ownership(found), "secret_hash").select("doc_id", "kind", "secret_hash", "n_documents", "n_repositories", "n_owners", "verdict").distinct()
 
 
-def mask_secrets(docs: DataFrame) -> DataFrame:
+def mask_secrets(docs: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """docs with every live-looking credential replaced by MASK in text, n_chars set to the new length; copied examples stay.
 
-    All rows and columns stay. Rows without a candidate pass unchanged and unshuffled; only the candidates of the others
-    are exchanged, and only those rows meet the verdicts again.
+    evidence (documents) is what ownership is counted over, besides docs: in a pipeline the raw table, as its copies tell an
+    example, and an earlier stage may have taken them away. All rows and columns stay. Rows without a candidate pass
+    unchanged and unshuffled; only the others meet the verdicts again. Null texts and ids pass as they are.
     """
     columns = docs.columns
     has = _has(F.col("text").cast("string"))
-    touched = docs.where(has)
-    found = _found(touched).withColumn("secret_hash", F.sha2("secret", 256))
-    live = _ownership(found).where("verdict = 'live'").select("secret_hash")
+    found = _found(docs)
+    seen = found if evidence is None else found.unionByName(_found(evidence))
+    live = _ownership(seen).where("verdict = 'live'").select("secret_hash")
     key, of, has_live = (fresh(docs, name) for name in ("__key", "__of", "__live"))
-    by_doc = found.join(live, "secret_hash", "left_semi").groupBy(F.col("doc_id").alias(of)).agg(F.array_sort(F.collect_set("secret")).alias(has_live))
+    by_doc = found.join(live, "secret_hash", "left_semi").groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("secret_hash").alias(has_live))
+    joined = docs.where(has).withColumn(key, F.col("doc_id").cast("long")).join(by_doc, F.col(key).eqNullSafe(F.col(of)), "left")
+    text = F.col("text").cast("string")
+    secrets = F.array_distinct(F.transform(F.filter(_candidates(text), lambda x: F.array_contains(has_live, F.sha2(x["secret"], 256))), lambda x: x["secret"]))
     # Longer ones first: one credential may be part of another.
-    ordered = F.array_sort(has_live, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    joined = touched.withColumn(key, F.col("doc_id").cast("long")).join(by_doc, F.col(key).eqNullSafe(F.col(of)), "left")
-    masked = F.aggregate(F.coalesce(ordered, F.array().cast("array<string>")), F.col("text").cast("string"), lambda text, secret: F.replace(text, secret, F.lit(MASK)))
+    ordered = F.array_sort(secrets, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    masked = F.when(F.col(has_live).isNull(), text).otherwise(F.aggregate(ordered, text, lambda t, secret: F.replace(t, secret, F.lit(MASK))))
     masked_docs = joined.withColumn("text", masked)
     if "n_chars" in columns:
         masked_docs = masked_docs.withColumn("n_chars", F.when(F.col(has_live).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
