@@ -9,7 +9,7 @@ of its own text; a letter outside of it is a phrase by itself.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ from .common import passes, trimmed, utf8
 CHARS, ROWS = 30_000, 200
 #: A language with more symbols than this (every letter of its labelled text is one) has its transitions as sorted keys in place of a flat table.
 FLAT = 127
+#: Symbols of a text that are walked in a row; a longer text's segments are walked side by side.
+SEGMENT = 4096
 SPACE = 1
 
 
@@ -102,13 +104,41 @@ class Parser:
         self.local = np.array(local, np.int32).reshape(-1, len(kinds) + 2)
 
     def __call__(self, codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Phrases of each text (rows: slices of codes, symbols) in each language."""
+        """Phrases of each text (rows: slices of codes, symbols) in each language.
+
+        Segments of a text are walked side by side, each as if the text began there; then, from segment to segment, what
+        really comes in is walked along as well until both are in one state, from where on they don't differ.
+        """
         size = np.diff(begins)
+        pieces = np.maximum(1, -(-size // SEGMENT))
+        first = np.cumsum(pieces) - pieces
+        of = np.repeat(np.arange(len(size)), pieces)
+        start = begins[:-1][of] + (np.arange(len(of)) - first[of]) * SEGMENT
+        left = np.minimum(start + SEGMENT, begins[1:][of]) - start
+        root = np.zeros((len(self.names), 1), np.int64)
+        root[self.flat, 0] = self.roots
+        at, count = self.walk(codes, start, left, np.repeat(root, len(of), 1))
+        for k in range(1, int(pieces.max()) if len(pieces) else 0):
+            seg = first[pieces > k] + k
+            true, fresh, t, width = at[:, seg - 1], np.repeat(root, len(seg), 1), 0, 64
+            while (true != fresh).any() and t < left[seg].max():
+                ahead = np.clip(left[seg] - t, 0, width)
+                true, more = self.walk(codes, start[seg] + t, ahead, true)
+                fresh, less = self.walk(codes, start[seg] + t, ahead, fresh)
+                count[:, seg] += more - less
+                t, width = t + width, 2 * width
+            at[:, seg] = np.where(true != fresh, true, at[:, seg])
+        if not len(size):
+            return np.empty((0, len(self.names)), np.int32)
+        return (np.add.reduceat(count, first, 1) + (at[:, first + pieces - 1] != root)).T.astype(np.int32)
+
+    def walk(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States (rows: languages) after so many symbols from states `at`, and the phrases that ended on the way."""
         order = np.argsort(-size, kind="stable")
-        start, left = begins[:-1][order], size[order]
+        start, left = begin[order], size[order]
         n, flat = len(size), len(self.flat)
-        roots = np.array(self.roots, self.kind)[:, None]
-        state, keyed = np.repeat(roots, n, 1), np.zeros((len(self.keyed), n), np.int64)
+        others = [k for k, *_ in self.keyed]
+        state, keyed = at[self.flat][:, order].astype(self.kind), at[others][:, order]
         count, keyed_count = np.zeros((flat, n), np.int32), np.zeros((len(self.keyed), n), np.int32)
         table, t = self.table, 0
         longest = int(left[0]) if n else 0
@@ -135,12 +165,10 @@ class Parser:
                     s = np.where(goes, to[i], begun)
                 keyed[k, :m] = s
             t = until
-        count += state != roots
-        keyed_count += keyed != 0
-        out = np.empty((n, len(self.names)), np.int32)
-        out[order[:, None], self.flat] = count.T
-        out[order[:, None], [k for k, *_ in self.keyed]] = keyed_count.T
-        return out
+        out, total = np.empty((len(self.names), n), np.int64), np.empty((len(self.names), n), np.int64)
+        for rows, ends, counts in ((self.flat, state, count), (others, keyed, keyed_count)):
+            out[np.array(rows, int)[:, None], order], total[np.array(rows, int)[:, None], order] = ends, counts
+        return out, total
 
     def symbols(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of UTF-8 texts and where each text's begin. Runs of what isn't a letter become one space: digits and signs tell no language."""
@@ -168,9 +196,15 @@ def samples(docs: DataFrame, chars: int = CHARS, rows: int = ROWS) -> dict[str,
     return out
 
 
+@lru_cache(maxsize=1)
+def parser_of(samples: tuple[tuple[str, str], ...]) -> Parser:
+    """The parser of some samples. A worker keeps the last one: it is the same in all tasks of a job."""
+    return Parser(dict(samples))
+
+
 def _identify(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = Parser(shared.value)
+        parser = parser_of(shared.value)
         names = np.array([*parser.names, ""], object)
         for batch in batches:
             texts = pc.utf8_lower(batch.column(1))
@@ -201,5 +235,5 @@ def identify_languages(docs: DataFrame, labelled: DataFrame | None = None, chars
     labelled (doc_id, lang, text) is docs where it isn't given; rows without a label or text aren't sampled. Null and
     empty texts, or no labelled text at all: null in the four columns. Null ids stay, repeated rows are each judged.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(samples(labelled if labelled is not None else docs, chars, rows))
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted(samples(labelled if labelled is not None else docs, chars, rows).items())))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_identify(shared)), "doc_id long, language string, phrases long, phrases_per_char double, margin double")
