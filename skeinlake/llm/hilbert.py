@@ -12,6 +12,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Bits of each dimension; the curve has 2^(BITS * dimensions) cells.
 BITS = 6
 #: Characters of text a shard holds at most, but for one of a single longer document.
@@ -81,6 +83,11 @@ def hilbert_shards(docs: DataFrame, bits: int = BITS, shard_chars: int = SHARD_C
     stands before them, so they share a shard. No text is read, and prefix sums go over cells, blocks of ids and rows in
     turn, so none of them is taken over all rows in one task.
     """
+    return _placed(docs, bits, shard_chars).select("doc_id", "curve", "shard")
+
+
+def _placed(docs: DataFrame, bits: int, shard_chars: int) -> DataFrame:
+    """(doc_id, lang, source, n_chars, curve, shard) for each row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
     side = 1 << bits
     for name in ("lang", "source"):
@@ -90,7 +97,7 @@ def hilbert_shards(docs: DataFrame, bits: int = BITS, shard_chars: int = SHARD_C
         values = values.select(f"_{name}", F.floor(F.col("_rank").cast("long") * side / F.greatest(F.count("*").over(Window.partitionBy()), F.lit(side))).cast("int").alias(f"{name}_level"))
         rows = rows.join(values, F.col(name).eqNullSafe(F.col(f"_{name}")))
     level = F.shiftright(magnitude(F.col("n_chars")), 6 - bits) if bits <= 6 else F.shiftleft(magnitude(F.col("n_chars")), bits - 6)
-    placed = rows.select("doc_id", F.greatest(F.coalesce("n_chars", F.lit(0)), F.lit(0)).cast("long").alias("chars"), curve_index([F.col("lang_level"), F.col("source_level"), level], bits).alias("curve")).withColumn("block", F.floor(F.col("doc_id") / BLOCK))
+    placed = rows.select("doc_id", *DIMENSIONS, F.greatest(F.coalesce("n_chars", F.lit(0)), F.lit(0)).cast("long").alias("chars"), curve_index([F.col("lang_level"), F.col("source_level"), level], bits).alias("curve")).withColumn("block", F.floor(F.col("doc_id") / BLOCK))
     blocks = placed.groupBy("curve", "block").agg(F.sum("chars").alias("chars"))
     cells = blocks.groupBy("curve").agg(F.sum("chars").alias("chars"))
     # At most 2^(bits * dimensions) cells, so this one window is bounded whatever the corpus.
@@ -100,7 +107,27 @@ def hilbert_shards(docs: DataFrame, bits: int = BITS, shard_chars: int = SHARD_C
     within = placed.withColumn("before", F.coalesce(F.sum("chars").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     same = Window.partitionBy("curve", "block", "doc_id", "chars")
     within = within.withColumn("before", F.min("before").over(same))
-    return within.join(before_block, (F.col("curve") == F.col("_curve")) & F.col("block").eqNullSafe(F.col("_block"))).select("doc_id", "curve", F.floor((F.col("block_before") + F.col("before")) / shard_chars).cast("long").alias("shard"))
+    return within.join(before_block, (F.col("curve") == F.col("_curve")) & F.col("block").eqNullSafe(F.col("_block"))).select("doc_id", *DIMENSIONS, "curve", F.floor((F.col("block_before") + F.col("before")) / shard_chars).cast("long").alias("shard"))
+
+
+def write_shards(docs: DataFrame, path: str, bits: int = BITS, shard_chars: int = SHARD_CHARS, parts: int | None = None) -> DataFrame:
+    """Writes docs as Parquet, a file for each shard in a folder shard=N, and gives the shards' boxes.
+
+    Rows of a file stand in curve order, then by doc_id, so that row groups within a file span small boxes as well. A row finds
+    its shard by (doc_id, lang, source, n_chars), nulls included; rows equal in those share one. Texts are exchanged once.
+    An empty table gives no file.
+    """
+    places = _placed(docs, bits, shard_chars).distinct()
+    own = {c: fresh(docs, f"__{c}") for c in (*places.columns, "curve", "shard")}
+    places = places.select(*[F.col(c).alias(own[c]) for c in places.columns])
+    kinds = {"doc_id": "long", "n_chars": "long"}
+    on = [F.col(c).cast(kinds.get(c, "string")).eqNullSafe(F.col(own[c])) for c in ("doc_id", *DIMENSIONS)]
+    shard = fresh(docs, "shard")
+    joined = docs.join(places, on[0] & on[1] & on[2] & on[3]).withColumn(shard, F.col(own["shard"]))
+    spread = joined.repartition(parts, shard) if parts else joined.repartition(shard)
+    spread.sortWithinPartitions(shard, own["curve"], own["doc_id"]).drop(own["curve"], own["shard"], *[own[c] for c in ("doc_id", *DIMENSIONS)]).write.partitionBy(shard).parquet(path)
+    written = docs.sparkSession.read.parquet(path)
+    return written.groupBy(shard).agg(F.count("*").alias("rows"), F.sum("n_chars").alias("chars"), *[f(c).alias(f"{c}_{f.__name__}") for c in DIMENSIONS for f in (F.min, F.max)])
 
 
 def shard_boxes(docs: DataFrame, shards: DataFrame) -> DataFrame:
