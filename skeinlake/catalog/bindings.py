@@ -72,6 +72,18 @@ def flow_vertices(d):
     return """SELECT event_type AS id, 'Function' AS node_type, event_type AS name, 'flow' AS file_path, CAST(0 AS INT) AS start_line, CAST(0 AS INT) AS end_line, least(CAST(1 AS DOUBLE), CAST(0.5 AS DOUBLE) + CAST(0.02 AS DOUBLE) * length(event_type)) AS importance FROM (SELECT DISTINCT event_type FROM {events})"""
 
 
+@binding
+def mesh_edges(d):
+    """Customers on 400 nodes, with up to three edges each and many cycles."""
+    return """SELECT src, dst, CASE WHEN min(k) = 2 THEN 'Imports' ELSE 'Calls' END AS edge_type, CAST(0.8 AS DOUBLE) AS weight, count(*) AS call_count, min(pos) AS pos FROM (
+SELECT 'm:' || CAST(o_custkey % 400 AS STRING) AS src, 'm:' || CAST(((o_custkey % 400) * 31 + (o_orderkey % 3) * 17 + 3) % 400 AS STRING) AS dst, o_orderkey % 3 AS k, o_orderkey AS pos FROM {orders}) WHERE src <> dst GROUP BY src, dst"""
+
+
+@binding
+def mesh_vertices(d):
+    return f"""SELECT id, 'Function' AS node_type, id AS name, 'mesh' AS file_path, CAST(0 AS INT) AS start_line, CAST(0 AS INT) AS end_line, least(CAST(1 AS DOUBLE), CAST(0.5 AS DOUBLE) + CAST(0.08 AS DOUBLE) * length(id)) AS importance FROM (SELECT src AS id FROM ({mesh_edges(d)}) UNION SELECT dst FROM ({mesh_edges(d)}))"""
+
+
 @binding
 def links(d):
     return f"""SELECT DISTINCT 'page:' || CAST(page_id AS STRING) AS src, 'ref:' || href AS dst, page_id FROM (SELECT page_id, {d.explode}(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM {{pages}})"""

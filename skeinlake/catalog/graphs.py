@@ -18,10 +18,17 @@ def _web(i):
     return i.bind("web_vertices"), i.bind("web_edges")
 
 
+M = f"WITH RECURSIVE {ctes('mesh_vertices', 'mesh_edges')}, vertices AS (SELECT * FROM mesh_vertices), edges AS (SELECT * FROM mesh_edges)"
+
+
 def _flow(i):
     return i.bind("flow_vertices"), i.bind("flow_edges")
 
 
+def _mesh(i):
+    return i.bind("mesh_vertices"), i.bind("mesh_edges")
+
+
 _imp_f = "least(CAST(1 AS DOUBLE), CAST(0.5 AS DOUBLE) + CASE WHEN visibility = 'public' THEN CAST(0.2 AS DOUBLE) ELSE 0 END + CASE WHEN is_async THEN CAST(0.1 AS DOUBLE) ELSE 0 END + CAST(0.02 AS DOUBLE) * n_params)"
 _imp_c = "least(CAST(1 AS DOUBLE), CAST(0.5 AS DOUBLE) + CASE WHEN is_abstract THEN CAST(0.15 AS DOUBLE) ELSE 0 END + CASE WHEN extends IS NOT NULL THEN CAST(0.1 AS DOUBLE) ELSE 0 END + CAST(0.05 AS DOUBLE) * n_implements + CAST(0.01 AS DOUBLE) * n_methods)"
 _enc = "enc AS (SELECT call_id, c.file_path, callee, line, min_by(f.name, f.ord) AS caller FROM calls c JOIN functions f ON c.file_path = f.file_path AND line BETWEEN line_start AND line_end GROUP BY ALL)"
@@ -108,6 +115,11 @@ def g02(i):
     return graph.adjacency(_flow(i)[1])
 
 
+@query("g02_adjacency_trade", f"{T} SELECT src AS id, list(dst ORDER BY dst) AS targets FROM edges GROUP BY src")
+def g02m(i):
+    return graph.adjacency(i.trade[1])
+
+
 @query("g03_scope", f"{T}, r(id, depth) AS (SELECT 'supp:1', 0 UNION SELECT src, depth + 1 FROM r JOIN edges ON dst = r.id WHERE depth < 3) SELECT id, min(depth) AS depth FROM r GROUP BY id")
 def g03(i):
     return graph.reach(i.trade[1], i.trade[0].where("id = 'supp:1'"), 3)
@@ -148,6 +160,11 @@ def g10(i):
     return graph.on_cycles(_flow(i)[1])
 
 
+@query("g10_oncycle_mesh", f"{M}, p AS (SELECT DISTINCT src, dst FROM edges WHERE src NOT LIKE '%7' AND dst <> 'm:12'), c(src, dst) AS (SELECT src, dst FROM p UNION SELECT c.src, p.dst FROM c JOIN p ON c.dst = p.src) SELECT src AS id FROM c WHERE src = dst")
+def g10m(i):
+    return graph.on_cycles(_mesh(i)[1].where("src not like '%7' and dst <> 'm:12'"))
+
+
 @query("g11_inheritance_cycles", f"WITH RECURSIVE e AS (SELECT DISTINCT 'c' || s_suppkey % 9 AS src, 'c' || s_suppkey % 4 AS dst FROM supplier WHERE s_suppkey % 9 <> s_suppkey % 4), c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src AS id FROM c WHERE src = dst")
 def g11(i):
     s = F.col("s_suppkey")
@@ -173,46 +190,54 @@ def g14(i):
     return graph.weighted_impact(v, e, v.where("id = 'supp:1'")).withColumn("score", F.round("score", 9))
 
 
-def _pagerank_sql(rounds, head):
-    out = f"{head}, n AS (SELECT count(*) AS n FROM vertices), o AS (SELECT src, count(*) AS out FROM edges GROUP BY src), f AS (SELECT src, dst, min_by(weight, pos) AS w FROM edges GROUP BY ALL), l AS MATERIALIZED (SELECT e.src, e.dst, f.w / o.out AS share FROM edges e JOIN f USING (src, dst) JOIN o USING (src)), r0 AS (SELECT id, CAST(1 AS DOUBLE) / n AS r FROM vertices, n)"
+def _pagerank_sql(head, rounds=20, tolerance=1e-6):
+    """CTEs of all rounds, and `ranks`: those of the first round but one after which ranks move by less than the tolerance, or of the last."""
+    out = f"{head}, n AS (SELECT count(*) AS n FROM vertices), o AS (SELECT src, count(*) AS out FROM edges GROUP BY src), f AS (SELECT src, dst, min_by(weight, pos) AS w FROM edges GROUP BY ALL), l AS MATERIALIZED (SELECT e.src, e.dst, f.w / o.out AS share FROM edges e JOIN f USING (src, dst) JOIN o USING (src)), r0 AS MATERIALIZED (SELECT id, CAST(1 AS DOUBLE) / n AS r FROM vertices, n)"
     for k in range(rounds):
         out += f""", g{k} AS (SELECT dst, sum(r * share) AS got FROM r{k} JOIN l ON id = src GROUP BY dst), d{k} AS (SELECT coalesce(sum(r), 0) AS lost FROM r{k} WHERE id NOT IN (SELECT src FROM l)),
 r{k + 1} AS MATERIALIZED (SELECT id, CAST(0.15 AS DOUBLE) / n + CAST(0.85 AS DOUBLE) * coalesce(got, 0) + CAST(0.85 AS DOUBLE) * lost / n AS r FROM vertices LEFT JOIN g{k} ON id = dst, n, d{k})"""
-    return out, f"r{rounds}"
+    moved = " UNION ALL ".join(f"SELECT {k + 1} AS k, sum(abs(a.r - b.r)) AS moved FROM r{k + 1} a JOIN r{k} b USING (id)" for k in range(1, rounds))
+    every = " UNION ALL ".join(f"SELECT {k} AS k, id, r FROM r{k}" for k in range(2, rounds + 1))
+    return out + f", stop AS (SELECT coalesce(min(k) FILTER (WHERE moved < {tolerance!r}), {rounds}) AS k FROM ({moved})), ranks AS (SELECT id, r FROM ({every}) WHERE k = (SELECT k FROM stop))"
 
 
-_pr, _last = _pagerank_sql(3, T)
+_pr = _pagerank_sql(T)
 
 
-@query("g06_pagerank", f"{_pr} SELECT id, round(r, 9) AS pagerank FROM {_last}")
+@query("g06_pagerank", f"{_pr} SELECT id, round(r, 9) AS pagerank FROM ranks")
 def g06(i):
-    return graph.pagerank(*i.trade, rounds=3, tolerance=0).withColumn("pagerank", F.round("pagerank", 9))
+    return graph.pagerank(*i.trade).withColumn("pagerank", F.round("pagerank", 9))
+
+
+@query("g06_early_stop", f"{_pagerank_sql(T, tolerance=1e-3)} SELECT id, round(r, 9) AS pagerank FROM ranks")
+def g06b(i):
+    return graph.pagerank(*i.trade, tolerance=1e-3).withColumn("pagerank", F.round("pagerank", 9))
 
 
-@query("g22_topk", f"{_pr} SELECT id, round(r, 9) AS pagerank FROM {_last} WHERE id LIKE 'supp:%' ORDER BY round(r, 9) DESC, id LIMIT 20")
+@query("g22_topk", f"{_pr} SELECT id, round(r, 9) AS pagerank FROM ranks WHERE id LIKE 'supp:%' ORDER BY round(r, 9) DESC, id LIMIT 20")
 def g22(i):
     v, e = i.trade
-    return graph.top_ranked(graph.pagerank(v, e, rounds=3, tolerance=0).withColumn("pagerank", F.round("pagerank", 9)), v.where("id like 'supp:%'"), 20)
+    return graph.top_ranked(graph.pagerank(v, e).withColumn("pagerank", F.round("pagerank", 9)), v.where("id like 'supp:%'"), 20)
 
 
-_lp = f"{W}, b AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges UNION SELECT id, id FROM vertices), l0 AS (SELECT id, id AS label FROM vertices)" + "".join(f", v{k} AS (SELECT a AS id, label, count(*) AS n FROM b JOIN l{k} ON b.b = l{k}.id GROUP BY ALL), l{k + 1} AS MATERIALIZED (SELECT id, label FROM v{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1)" for k in range(3))
+_lp = f"{W}, b AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges UNION SELECT id, id FROM vertices), l0 AS (SELECT id, id AS label FROM vertices)" + "".join(f", v{k} AS (SELECT a AS id, label, count(*) AS n FROM b JOIN l{k} ON b.b = l{k}.id GROUP BY ALL), l{k + 1} AS MATERIALIZED (SELECT id, label FROM v{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1)" for k in range(10))
 
 
 def _labels(i):
-    return graph.label_propagation(*_web(i), rounds=3)
+    return graph.label_propagation(*_web(i))
 
 
-@query("g16_labelprop", f"{_lp} SELECT id, label FROM l3")
+@query("g16_labelprop", f"{_lp} SELECT id, label FROM l10")
 def g16(i):
     return _labels(i)
 
 
-@query("g17_communities", f"{_lp}, t AS (SELECT label, count(*) AS size FROM l3 GROUP BY label ORDER BY size DESC, label LIMIT 10) SELECT label, size, id, CAST(place AS INTEGER) AS place FROM (SELECT label, size, id, row_number() OVER (PARTITION BY label ORDER BY importance DESC, id) AS place FROM l3 JOIN t USING (label) JOIN vertices USING (id)) WHERE place <= 5")
+@query("g17_communities", f"{_lp}, t AS (SELECT label, count(*) AS size FROM l10 GROUP BY label ORDER BY size DESC, label LIMIT 10) SELECT label, size, id, CAST(place AS INTEGER) AS place FROM (SELECT label, size, id, row_number() OVER (PARTITION BY label ORDER BY importance DESC, id) AS place FROM l10 JOIN t USING (label) JOIN vertices USING (id)) WHERE place <= 5")
 def g17(i):
     return graph.communities(_labels(i), _web(i)[0])
 
 
-@query("g18_crossedges", f"{_lp} SELECT a.label AS from_label, b.label AS to_label, count(*) AS n, round(sum(weight), 6) AS weight FROM edges JOIN l3 a ON a.id = src JOIN l3 b ON b.id = dst WHERE a.label <> b.label GROUP BY ALL ORDER BY n DESC, from_label, to_label LIMIT 20")
+@query("g18_crossedges", f"{_lp} SELECT a.label AS from_label, b.label AS to_label, count(*) AS n, round(sum(weight), 6) AS weight FROM edges JOIN l10 a ON a.id = src JOIN l10 b ON b.id = dst WHERE a.label <> b.label GROUP BY ALL ORDER BY n DESC, from_label, to_label LIMIT 20")
 def g18(i):
     return graph.cross_edges(_labels(i), _web(i)[1]).withColumn("weight", F.round("weight", 6))
 
@@ -231,20 +256,31 @@ def g19(i):
     return graph.sampled_paths(v, e, v)
 
 
+@query("g19_samples_mesh", f"{M}, p(path, k) AS (SELECT [id], 0 FROM vertices UNION SELECT list_append(path, dst), k + 1 FROM p JOIN (SELECT * FROM edges WHERE edge_type = 'Calls') e ON src = path[-1] WHERE k < 3 AND NOT list_contains(path, dst)) SELECT DISTINCT array_to_string(path, ' > ') AS path FROM p WHERE k > 0 ORDER BY path LIMIT 10")
+def g19m(i):
+    v, e = _mesh(i)
+    return graph.sampled_paths(v, e, v)
+
+
+@query("g20_callchain_mesh", f"{M}, p(path, k) AS (SELECT ['m:1'], 0 UNION SELECT list_append(path, dst), k + 1 FROM p JOIN (SELECT * FROM edges WHERE edge_type = 'Calls') e ON src = path[-1] WHERE k < 8 AND path[-1] <> 'm:257' AND NOT list_contains(path, dst)) SELECT DISTINCT array_to_string(path, ' -> ') AS path FROM p WHERE path[-1] = 'm:257' ORDER BY path LIMIT 20")
+def g20m(i):
+    return graph.call_chain(*_mesh(i), "m:1", "m:257")
+
+
 _two = lambda fl, what: f"{fl}, e AS (SELECT event_type AS t FROM events GROUP BY 1), s AS (SELECT min(t) AS a, max(t) AS b FROM e), {what}"
 
 
-@query("g20_callchain", _two(FL, "p(path, k) AS (SELECT [a], 0 FROM s UNION SELECT list_append(path, dst), k + 1 FROM p JOIN edges ON src = path[-1], s WHERE k < 4 AND path[-1] <> b AND NOT list_contains(path, dst)) SELECT DISTINCT array_to_string(path, ' -> ') AS path FROM p, s WHERE path[-1] = b ORDER BY path LIMIT 20"))
+@query("g20_callchain", _two(FL, "p(path, k) AS (SELECT [a], 0 FROM s UNION SELECT list_append(path, dst), k + 1 FROM p JOIN edges ON src = path[-1], s WHERE k < 8 AND path[-1] <> b AND NOT list_contains(path, dst)) SELECT DISTINCT array_to_string(path, ' -> ') AS path FROM p, s WHERE path[-1] = b ORDER BY path LIMIT 20"))
 def g20(i):
     v, e = _flow(i)
     a, b = v.agg(F.min("name"), F.max("name")).first()
-    return graph.call_chain(v, e, a, b, depth=4)
+    return graph.call_chain(v, e, a, b)
 
 
-@query("g20_open_chain", _two(FL, "p(path, k) AS (SELECT [a], 0 FROM s UNION SELECT list_append(path, dst), k + 1 FROM p JOIN (SELECT dst AS src, src AS dst FROM edges) x ON src = path[-1] WHERE k < 3 AND NOT list_contains(path, dst)), q AS (SELECT path FROM p WHERE NOT EXISTS (FROM p n WHERE n.k = p.k + 1 AND n.path[:-2] = p.path)) SELECT DISTINCT array_to_string(path, ' -> ') AS path FROM q ORDER BY path LIMIT 20"))
+@query("g20_open_chain", _two(FL, "p(path, k) AS (SELECT [a], 0 FROM s UNION SELECT list_append(path, dst), k + 1 FROM p JOIN (SELECT dst AS src, src AS dst FROM edges) x ON src = path[-1] WHERE k < 8 AND NOT list_contains(path, dst)), q AS (SELECT path FROM p WHERE NOT EXISTS (FROM p n WHERE n.k = p.k + 1 AND n.path[:-2] = p.path)) SELECT DISTINCT array_to_string(path, ' -> ') AS path FROM q ORDER BY path LIMIT 20"))
 def g20b(i):
     v, e = _flow(i)
-    return graph.call_chain(v, e, v.agg(F.min("name")).first()[0], upstream=True, depth=3)
+    return graph.call_chain(v, e, v.agg(F.min("name")).first()[0], upstream=True)
 
 
 @query("g21_seeds", f"{T} SELECT DISTINCT id FROM vertices WHERE file_path LIKE '%nation/3' OR file_path LIKE '%gion/1' ORDER BY id LIMIT 200")
@@ -327,6 +363,12 @@ def p09(i):
     return impact.chains(e, v.where("id = 'error'"))
 
 
+@query("p09_chains_mesh", f"{M}, p(path, k) AS (SELECT [id], 0 FROM vertices WHERE id = 'm:5' UNION SELECT list_append(path, src), k + 1 FROM p JOIN edges ON dst = path[-1] WHERE k < 4 AND NOT list_contains(path, src)) SELECT path FROM p WHERE k > 0")
+def p09m(i):
+    v, e = _mesh(i)
+    return impact.chains(e, v.where("id = 'm:5'"))
+
+
 _hop = f"f AS (SELECT src, dst, min_by(edge_type, pos) AS t FROM edges GROUP BY ALL), n AS (SELECT count(*) AS n FROM vertices), vc AS (SELECT id, importance, (SELECT count(*) FROM edges WHERE src = id) + (SELECT count(*) FROM edges WHERE dst = id) AS deg FROM vertices), hop AS MATERIALIZED (SELECT b.dst AS at_, b.src AS to_, coalesce({_ef('a.t', 'CAST(0.5 AS DOUBLE)')}, CAST(0.5 AS DOUBLE)) * CAST(0.85 AS DOUBLE) * least(CAST(1 AS DOUBLE), CAST(0.5 AS DOUBLE) + CAST(0.5 AS DOUBLE) * importance) AS p, deg / (2 * n) AS c FROM f b JOIN vc ON vc.id = b.src LEFT JOIN f a ON a.src = b.dst AND a.dst = b.src, n)"
 _sev = lambda p, c, size: f"CASE WHEN {p} > 0.8 OR {size} >= 5 OR {c} > 0.25 THEN 'High' WHEN {p} > 0.6 OR {size} >= 4 OR {c} > 0.15 THEN 'Medium' ELSE 'Low' END"
 
@@ -337,6 +379,12 @@ def p12(i):
     return impact.cascades(v, e, v.where("id = 'error'")).withColumn("probability", F.round("probability", 9))
 
 
+@query("p12_cascades_mesh", f"{M}, {_hop}, w(path, p, c) AS (SELECT [id], CAST(1 AS DOUBLE), deg / (2 * n) FROM vc, n WHERE id = 'm:5' UNION SELECT list_append(path, to_), w.p * hop.p, greatest(w.c, hop.c) FROM w JOIN hop ON at_ = path[-1] WHERE len(path) < 5 AND NOT list_contains(path, to_) AND w.p * hop.p >= 0.05) SELECT path, round(p, 9) AS probability, {_sev('p', 'c', 'len(path)')} AS severity FROM w WHERE len(path) >= 2 ORDER BY round(p, 9) DESC, path LIMIT 10")
+def p12m(i):
+    v, e = _mesh(i)
+    return impact.cascades(v, e, v.where("id = 'm:5'"), probability=0.05).withColumn("probability", F.round("probability", 9))
+
+
 @query("p13_review", f"""{T}, {_deg}, f AS (SELECT src, dst, min_by(weight, pos) AS w FROM edges GROUP BY ALL), s AS (SELECT e.dst AS at_, e.src AS to_, coalesce(f.w, 1) * coalesce(v.importance, 0.5) * CAST(0.85 AS DOUBLE) AS factor FROM (SELECT DISTINCT src, dst FROM edges) e LEFT JOIN f ON f.src = e.dst AND f.dst = e.src LEFT JOIN vertices v ON v.id = e.src),
 r(id, score, k) AS (SELECT id, CAST(1 AS DOUBLE), 0 FROM vertices WHERE id IN ('supp:1', 'supp:3') UNION SELECT to_, score * factor, k + 1 FROM r JOIN s ON s.at_ = r.id WHERE score * factor >= 0.05 AND k < 8)
 SELECT id, round(score, 9) AS score, id IN (SELECT id FROM cen WHERE centrality > 0.02) AS is_critical FROM (SELECT id, max(score) AS score FROM r WHERE id NOT IN ('supp:1', 'supp:3') GROUP BY id) ORDER BY score DESC, id LIMIT 5""")

@@ -102,4 +102,4 @@ def g23(i):
 @query("g24_summary")
 def g24(i):
     v, e = i.bind("web_vertices"), i.bind("web_edges")
-    return summary.as_rows(*summary.graph_summary(v, e, i.spark.createDataFrame([("page:1",)], "path string"), rounds=3))
+    return summary.as_rows(*summary.graph_summary(v, e, i.spark.createDataFrame([("page:1",)], "path string")))

@@ -63,7 +63,7 @@ def code_by_language(lines: DataFrame, key: str = "diff_id") -> DataFrame:
     d = d.withColumn("opened", F.max(F.when(F.col("is_header"), F.col("pos"))).over(w)).withColumn("closed", F.max(F.when(F.trim("line") == "", F.col("pos"))).over(w))
     kept = d.where("not is_header and opened is not null and (closed is null or closed < opened)").where((F.col("line").startswith("+") & ~F.col("line").startswith("+++")) | F.col("line").startswith(" "))
     kept = kept.withColumn("language", case(extension(F.col("path")), LANGUAGES)).where("language is not null")
-    parts = F.array_sort(F.collect_list(F.struct("pos", F.substring("line", 2, 1_000_000).alias("text"))))
+    parts = F.array_sort(F.collect_list(F.struct("pos", F.expr("substring(line, 2)").alias("text"))))
     return kept.groupBy(key, "language").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("code"))
 
 

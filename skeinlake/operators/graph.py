@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import held_by, settled
+from ..plans.tables import held_by, measured, settled
 
 
 def neighbours(edges: DataFrame, node: str) -> DataFrame:
@@ -33,8 +33,8 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     seen = level.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
         new = pairs.join(level, pairs.dst == level.id).select(F.col("src").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        level = settled(new, f"reach-{d}")
-        if level.isEmpty():
+        level, found = measured(new, f"reach-{d}")
+        if not found["n"]:
             break
         seen = seen.unionByName(level.withColumn("depth", F.lit(d)))
     pairs.unpersist()
@@ -76,38 +76,60 @@ def statistics(vertices: DataFrame, edges: DataFrame, threshold: float = 0.1) ->
     return n.crossJoin(e).crossJoin(c).select("n_nodes", "n_edges", F.coalesce(F.try_divide(2 * F.col("n_edges"), F.col("n_nodes")), F.lit(0.0)).alias("avg_degree"), "n_critical")
 
 
-def closure(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(src, dst) of nodes joined by a path. Paths double in length each round, so rounds bound them at 2^rounds; meant for a cyclic core, not a whole graph."""
-    known = settled(edges.select("src", "dst").distinct(), "closure-0")
-    n = known.count()
-    for k in range(rounds):
-        a, b = known.toDF("src", "mid"), known.toDF("mid", "dst")
-        known = settled(known.union(a.join(b, "mid").select("src", "dst")).distinct(), f"closure-{k + 1}")
-        now = known.count()
-        if now == n:
-            break
-        n = now
-    return known
-
-
-def cyclic_core(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def cyclic_core(edges: DataFrame) -> DataFrame:
     """Edges left after nodes without an edge in, or out, are taken away again and again: all cycles lie in it."""
-    rest = settled(edges.select("src", "dst").distinct(), "core-0")
-    n = rest.count()
-    for k in range(rounds):
+    rest, now = measured(edges.select("src", "dst").distinct(), "core-0")
+    n, k = -1, 0
+    while now["n"] not in (0, n):
+        n, k = now["n"], k + 1
         kept = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         kept = kept.join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        rest = settled(kept, f"core-{k + 1}")
-        now = rest.count()
-        if now == n:
-            break
-        n = now
+        rest, now = measured(kept, f"core-{k}")
     return rest
 
 
+def spread(edges: DataFrame, start: DataFrame, name: str) -> DataFrame:
+    """(id, least): the least value of `start` (id, least) among the nodes that a node is reached from. Only what fell in a round is passed on in the next."""
+    steps = held_by(edges.select("src", "dst"), "src")
+    new = settled(start, f"{name}-0")
+    parts, k = [new], 0
+    while True:
+        known = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).groupBy("id").agg(F.min("least").alias("least"))
+        sent = new.join(steps, new.id == steps.src).groupBy(F.col("dst").alias("id")).agg(F.min("least").alias("least"))
+        fell = sent.join(known.withColumnRenamed("least", "_old"), "id", "left").where("_old is null or least < _old").select("id", "least")
+        k += 1
+        new, found = measured(fell, f"{name}-{k}")
+        if not found["n"]:
+            break
+        # Every few rounds what fell is merged into one table, so that a round reads few.
+        parts = [parts[0], new if len(parts) == 1 else parts[1].unionByName(new)]
+        if k % 8 == 0:
+            parts = [settled(parts[0].unionByName(parts[1]).groupBy("id").agg(F.min("least").alias("least")), f"{name}-all-{k}")]
+    steps.unpersist()
+    return known
+
+
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """(id) of nodes that reach themselves."""
-    return closure(cyclic_core(edges)).where("src = dst").select(F.col("src").alias("id"))
+    """(id) of nodes that reach themselves: those of strongly connected components of two nodes or more, or with an edge to themselves.
+
+    Components are found by colours: each node takes the least id that it is reached from, and those of a colour that reach
+    its namesake are one component. These are taken away and the rest is coloured again. Tables stay as large as the edges.
+    """
+    out = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
+    rest, k = cyclic_core(edges.where("src <> dst")), 0
+    while not rest.isEmpty():
+        ids = rest.select(F.col("src").alias("id")).distinct()
+        colour = settled(spread(rest, ids.withColumn("least", F.col("id")), f"colour-{k}"), f"colours-{k}")
+        inner = rest.join(colour.toDF("src", "_a"), "src").join(colour.toDF("dst", "_b"), "dst").where("_a = _b").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        roots = colour.where("id = least")
+        # Backwards from the namesakes, inside their colours.
+        member = settled(spread(inner, roots, f"member-{k}"), f"members-{k}")
+        large = member.groupBy("least").agg(F.count("*").alias("n")).where("n > 1").select("least")
+        out = out.union(member.join(large, "least", "left_semi").select("id"))
+        gone = member.select(F.col("id").alias("_gone"))
+        left = rest.join(gone, F.col("src") == F.col("_gone"), "left_anti").join(gone, F.col("dst") == F.col("_gone"), "left_anti")
+        rest, k = cyclic_core(left), k + 1
+    return out.distinct()
 
 
 def would_cycle(edges: DataFrame, src: str, dst: str) -> bool:
@@ -117,83 +139,105 @@ def would_cycle(edges: DataFrame, src: str, dst: str) -> bool:
 
 
 def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, level): the longest path that ends at a node. Nodes that a cycle holds back have no level: compare counts to see whether there is one."""
-    rest = settled(vertices.select("id").distinct(), "levels-0")
-    left = settled(internal_edges(vertices, edges).select("src", "dst").distinct(), "levels-edges-0")
-    done, k = None, 0
-    while not rest.isEmpty():
-        free = settled(rest.join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"), f"levels-{k}")
-        if free.isEmpty():
+    """(id, level): the longest path that ends at a node. Nodes that a cycle holds back have no level: compare counts to see whether there is one.
+
+    Each round writes the nodes whose last sources got a level, with no edge left to wait for, and those that still wait; nodes
+    that no levelled one points to aren't touched.
+    """
+    pairs = settled(internal_edges(vertices, edges).select("src", "dst").distinct(), "levels-edges")
+    waits = settled(vertices.select("id").distinct().join(pairs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("all")), "id", "left"), "levels-waits")
+    steps = held_by(pairs, "src")
+    state = waits.where("all is null").select("id", F.lit(0).cast("long").alias("left"))
+    done, k = [], 0
+    while True:
+        state, found = measured(state, f"levels-{k}", free=F.count_if(F.col("left") == 0))
+        done.append(state.where("left = 0").select("id", F.lit(k).alias("level")))
+        if not found["free"]:
             break
-        part = free.withColumn("level", F.lit(k))
-        done = part if done is None else done.unionByName(part)
-        rest = settled(rest.join(free, "id", "left_anti"), f"levels-rest-{k}")
-        left = settled(left.join(free.withColumnRenamed("id", "src"), "src", "left_anti"), f"levels-edges-{k + 1}")
+        free, waiting = state.where("left = 0").select("id"), state.where("left > 0").select("id", F.col("left").alias("_left"))
+        got = free.join(steps, free.id == steps.src).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("_got"))
+        state = got.join(waiting, "id", "full_outer").join(waits, "id").select("id", (F.coalesce("_left", "all") - F.coalesce("_got", F.lit(0))).alias("left"))
         k += 1
-    return done if done is not None else rest.withColumn("level", F.lit(0))
+    steps.unpersist()
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
-def weighted_impact(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, start: float = 1.0, decay: float = 0.85, floor: float = 0.05, reverse_weight: bool = False, rounds: int = 50) -> DataFrame:
+def weighted_impact(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, start: float = 1.0, decay: float = 0.85, floor: float = 0.05, reverse_weight: bool = False) -> DataFrame:
     """(id, score): the best product of weight, importance and decay on a way against the edges, as long as it is at least the floor.
 
     The weight is that of the first edge in the forward direction, 1 without one; reverse_weight takes that of the edge walked.
+    A round writes the scores that rose, and ends when none did. A factor above 1 on a cycle would never end, and raises.
     """
-    first = edges.groupBy("src", "dst").agg(F.min_by("weight", "pos").alias("w")).select(F.col("src").alias("_s"), F.col("dst").alias("_d"), "w")
-    steps = edges.select(F.col("dst").alias("at"), F.col("src").alias("to")).distinct()
+    plain = settled(edges.groupBy("src", "dst").agg(F.min_by("weight", "pos").alias("w")), "impact-pairs")
+    first = plain.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), "w")
+    steps = plain.select(F.col("dst").alias("at"), F.col("src").alias("to"))
     on = (F.col("at") == F.col("_d")) & (F.col("to") == F.col("_s")) if reverse_weight else (F.col("at") == F.col("_s")) & (F.col("to") == F.col("_d"))
     imp = vertices.select(F.col("id").alias("to"), "importance")
-    steps = settled(steps.join(first, on, "left").join(imp, "to", "left").select("at", "to", (F.coalesce("w", F.lit(1.0)) * F.coalesce("importance", F.lit(0.5)) * decay).alias("factor")), "impact-steps")
+    steps, most = measured(steps.join(first, on, "left").join(imp, "to", "left").select("at", "to", (F.coalesce("w", F.lit(1.0)) * F.coalesce("importance", F.lit(0.5)) * decay).alias("factor")), "impact-steps", factor=F.max("factor"))
+    if (most["factor"] or 0.0) > 1.0 and not on_cycles(steps.select(F.col("at").alias("src"), F.col("to").alias("dst"))).isEmpty():
+        raise ValueError("a factor above 1 on a graph with cycles: scores would rise without end")
     steps = held_by(steps, "at")
-    best = settled(seeds.select("id").distinct().withColumn("score", F.lit(start)), "impact-0")
-    frontier = best
-    for k in range(rounds):
+    frontier = settled(seeds.select("id").distinct().withColumn("score", F.lit(start)), "impact-0")
+    best, k = frontier, 0
+    while True:
+        k += 1
         new = frontier.join(steps, frontier.id == steps["at"]).select(F.col("to").alias("id"), (F.col("score") * F.col("factor")).alias("score")).where(F.col("score") >= floor).groupBy("id").agg(F.max("score").alias("score"))
-        old = best.select("id", F.col("score").alias("old"))
-        frontier = settled(new.join(old, "id", "left").where("old is null or score > old").select("id", "score"), f"impact-new-{k}")
-        if frontier.isEmpty():
+        old = best.groupBy("id").agg(F.max("score").alias("old"))
+        frontier, found = measured(new.join(old, "id", "left").where("old is null or score > old").select("id", "score"), f"impact-{k}")
+        if not found["n"]:
             break
-        best = settled(best.unionByName(frontier).groupBy("id").agg(F.max("score").alias("score")), f"impact-{k + 1}")
+        best = best.unionByName(frontier)
     steps.unpersist()
-    return best
+    return best.groupBy("id").agg(F.max("score").alias("score"))
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
-    """(id, pagerank): one term for each edge row, weighted by the first row of its pair, by the source's number of rows; what dangling nodes hold is spread evenly. Weights below 1 lose mass, and ranks aren't normalised again."""
-    ids = settled(vertices.select("id").distinct(), "pagerank-ids")
-    n = ids.count()
+    """(id, pagerank): one term for each edge row, weighted by the first row of its pair, by the source's number of rows; what dangling nodes hold is spread evenly. Weights below 1 lose mass, and ranks aren't normalised again.
+
+    From the second round on it ends as soon as ranks change by less than the tolerance in sum. A round is one write: how far
+    ranks moved and what dangling nodes hold are summed on the way.
+    """
+    pair = settled(edges.groupBy("src", "dst").agg(F.count("*").alias("rows"), F.min_by("weight", "pos").alias("w")), "pagerank-pairs")
+    out = pair.groupBy("src").agg(F.sum("rows").alias("out"))
+    nodes, found = measured(vertices.select("id").distinct().join(out.select(F.col("src").alias("id"), F.lit(True).alias("_out")), "id", "left").select("id", F.col("_out").isNull().alias("dangling")), "pagerank-ids", dangling=F.count_if("dangling"))
+    n = found["n"]
     if n == 0:
-        return ids.withColumn("pagerank", F.lit(0.0))
-    pair = edges.groupBy("src", "dst").agg(F.count("*").alias("rows"), F.min_by("weight", "pos").alias("w"))
-    out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    links = settled(pair.join(out, "src").select("src", "dst", (F.col("rows") * F.col("w") / F.col("out")).alias("share")), "pagerank-links")
-    dangling = settled(ids.join(links.select(F.col("src").alias("id")).distinct(), "id", "left_anti"), "pagerank-dangling")
-    links = held_by(links, "src")
-    ranks = settled(ids.withColumn("pagerank", F.lit(1.0 / n)), "pagerank-0")
+        return nodes.select("id", F.lit(0.0).alias("pagerank"))
+    links = held_by(pair.join(out, "src").select("src", "dst", (F.col("rows") * F.col("w") / F.col("out")).alias("share")), "src")
+    nodes = held_by(nodes, "id")
+    ranks, lost = nodes.withColumn("pagerank", F.lit(1.0 / n)), found["dangling"] / n
     for k in range(rounds):
         into = ranks.join(links, ranks.id == links.src).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
-        lost = ranks.join(dangling, "id", "left_semi").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("lost"))
-        new = ids.join(into, "id", "left").crossJoin(F.broadcast(lost)).select("id", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0)) + damping * F.col("lost") / n).alias("pagerank"))
-        new = settled(new, f"pagerank-{k + 1}")
-        if k > 0 and tolerance > 0 and new.join(ranks.withColumnRenamed("pagerank", "old"), "id").agg(F.sum(F.abs(F.col("pagerank") - F.col("old")))).first()[0] < tolerance:
-            ranks = new
+        new = nodes.join(into, "id", "left").select("id", "dangling", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0)) + damping * F.lit(lost) / n).alias("pagerank"))
+        figures = {"lost": F.sum(F.when(F.col("dangling"), F.col("pagerank")))}
+        if k > 0 and tolerance > 0:
+            new = new.join(ranks.select("id", F.col("pagerank").alias("_old")), "id")
+            figures["moved"] = F.sum(F.abs(F.col("pagerank") - F.col("_old")))
+        ranks, found = measured(new, f"pagerank-{k}", **figures)
+        ranks, lost = ranks.select("id", "dangling", "pagerank"), found["lost"] or 0.0
+        if found.get("moved", tolerance) < tolerance:
             break
-        ranks = new
     links.unpersist()
-    return ranks
+    nodes.unpersist()
+    return ranks.select("id", "pagerank")
 
 
 def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, label): synchronous rounds; each node takes the commonest label among its distinct neighbours both ways and itself, the least on ties."""
+    """(id, label): synchronous rounds; each node takes the commonest label among its distinct neighbours both ways and itself, the least on ties. It ends early when no label changes."""
     ends = both_ways(edges).toDF("id", "from").union(vertices.select("id", F.col("id").alias("from"))).distinct()
     ends = settled(ends.join(vertices.select("id"), "id", "left_semi").join(vertices.select(F.col("id").alias("from")), "from", "left_semi").select("id", "from"), "labels-ends")
     ends = held_by(ends, "from")
-    labels = settled(vertices.select("id", F.col("id").alias("label")).distinct(), "labels-0")
+    labels = vertices.select("id", F.col("id").alias("label")).distinct()
     for k in range(rounds):
-        votes = ends.join(labels.select(F.col("id").alias("from"), "label"), "from").groupBy("id", "label").agg(F.count("*").alias("n"))
-        new = settled(votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")), f"labels-{k + 1}")
-        settled_down = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty()
-        labels = new
-        if settled_down:
+        # A node is among its own voters, so its label before comes along.
+        votes = ends.join(labels.select(F.col("id").alias("from"), "label"), "from").groupBy("id", "label").agg(F.count("*").alias("n"), F.max(F.when(F.col("from") == F.col("id"), F.col("label"))).alias("own"))
+        new = votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"), F.max("own").alias("own"))
+        labels, found = measured(new, f"labels-{k}", changed=F.count_if(F.col("label") != F.col("own")))
+        labels = labels.select("id", "label")
+        if not found["changed"]:
             break
     ends.unpersist()
     return labels
@@ -221,9 +265,9 @@ def paths(edges: DataFrame, starts: DataFrame, hops: int, stop: DataFrame | None
     for k in range(hops):
         last = F.element_at("path", -1)
         open_ = now if ends is None else now.join(ends, last == F.col("_end"), "left_anti")
-        now = settled(open_.join(steps, last == F.col("_at")).where(~F.array_contains("path", F.col("_to"))).select(F.concat("path", F.array("_to")).alias("path")), f"paths-{k}")
+        now, found = measured(open_.join(steps, last == F.col("_at")).where(~F.array_contains("path", F.col("_to"))).select(F.concat("path", F.array("_to")).alias("path")), f"paths-{k}")
         out = now if out is None else out.unionByName(now)
-        if now.isEmpty():
+        if not found["n"]:
             break
     return out
 
@@ -263,8 +307,14 @@ def call_chain(vertices: DataFrame, edges: DataFrame, start: str, end: str | Non
 
 
 def seeds_of_paths(vertices: DataFrame, changed: DataFrame, most: int = 200, fallback: int = 20) -> DataFrame:
-    """(id): vertices whose file path ends with a changed path, the first so many; the most important ones where there is none. The changed paths are those of one diff, a short list."""
-    hit = vertices.join(changed.select(F.col("path").alias("_path")).distinct(), F.col("file_path").endswith(F.col("_path"))).select("id").distinct().orderBy("id").limit(most)
+    """(id): vertices whose file path ends with a changed path, the first so many; the most important ones where there is none.
+
+    A path is cut to the lengths that changed paths have, so the join is by equality.
+    """
+    wanted = changed.select(F.col("path").alias("_path")).where("_path <> ''").distinct()
+    sizes = wanted.agg(F.collect_set(F.length("_path")).alias("_sizes"))
+    tails = vertices.crossJoin(F.broadcast(sizes)).select("id", F.explode(F.transform(F.filter("_sizes", lambda n: n <= F.length("file_path")), lambda n: F.right(F.col("file_path"), n))).alias("_path"))
+    hit = tails.join(wanted, "_path").select("id").distinct().orderBy("id").limit(most)
     return vertices.orderBy(F.desc("importance"), "id").select("id").limit(fallback) if hit.isEmpty() else hit
 
 

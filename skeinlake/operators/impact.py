@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lookups import EDGE_FACTORS, NO_EDGE_FACTOR, TYPE_FACTORS, case
-from ..plans.tables import held_by, settled
+from ..plans.tables import held_by, measured, settled
 
 
 def edge_factor(edge_type: Column, default: float | None = None) -> Column:
@@ -15,7 +15,7 @@ def edge_factor(edge_type: Column, default: float | None = None) -> Column:
 
 def steps_back(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(at, to, pos, factor, importance, type_factor): from a node to each that depends on it. The factor is of the first edge at -> to, else of the first to -> at."""
-    first = edges.groupBy("src", "dst").agg(F.min_by("edge_type", "pos").alias("edge_type"), F.min("pos").alias("pos"))
+    first = settled(edges.groupBy("src", "dst").agg(F.min_by("edge_type", "pos").alias("edge_type"), F.min("pos").alias("pos")), "steps-pairs")
     back = first.select(F.col("dst").alias("at"), F.col("src").alias("to"), "pos", F.col("edge_type").alias("back_type"))
     ahead = first.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("edge_type").alias("ahead_type"))
     v = vertices.select(F.col("id").alias("_id"), "importance", case(F.col("node_type"), TYPE_FACTORS, 1.0).alias("type_factor"))
@@ -55,8 +55,8 @@ def propagate(vertices: DataFrame, edges: DataFrame, sources: DataFrame, depth:
         score = F.col("score") * F.lit(0.8**d) * F.col("factor") * F.col("weight")
         near = level.join(steps, level.id == steps["at"]).select(F.col("to").alias("id"), score.alias("score"), F.lit(d).alias("depth"), F.concat("found", F.array("pos")).alias("found"), F.col("at")).where(F.col("score") > least).join(seen, "id", "left_anti")
         pick = F.row_number().over(Window.partitionBy("id").orderBy("found", "at"))
-        level = settled(near.withColumn("_k", pick).where("_k = 1").select("id", "score", "depth", "found"), f"propagate-{d}")
-        if level.isEmpty():
+        level, got = measured(near.withColumn("_k", pick).where("_k = 1").select("id", "score", "depth", "found"), f"propagate-{d}")
+        if not got["n"]:
             break
         seen, out = seen.union(level.select("id")), out.unionByName(level)
     steps.unpersist()
@@ -117,9 +117,9 @@ def cascades(vertices: DataFrame, edges: DataFrame, starts: DataFrame, depth: in
     out = None
     for k in range(depth):
         now = now.join(hops, F.element_at("path", -1) == F.col("_at")).where(~F.array_contains("path", F.col("_to"))).select(F.concat("path", F.array("_to")).alias("path"), (F.col("probability") * F.col("p")).alias("probability"), F.greatest("central", "c").alias("central")).where(F.col("probability") >= probability)
-        now = settled(now, f"cascade-{k}")
+        now, found = measured(now, f"cascade-{k}")
         out = now if out is None else out.unionByName(now)
-        if now.isEmpty():
+        if not found["n"]:
             break
     size = F.size("path")
     severity = chain_severity(F.col("probability"), size, F.col("central"))

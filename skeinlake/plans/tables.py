@@ -8,7 +8,8 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,13 +23,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def passing(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table between steps; it is deleted when the application ends."""
+    path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again. Iterations call this each round: the plan stays short, and a lost executor costs a reread only."""
-    path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    path = passing(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, dict]:
+    """As settled, with aggregates over the rows (n: their number), taken while they are written: a round needs no second job to see whether it was the last."""
+    seen = Observation()
+    out = settled(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in figures.items()]), name)
+    return out, seen.get
+
+
 def held_by(df: DataFrame, key: str) -> DataFrame:
     """df partitioned by a key and held on the executors, for a side that every round of an iteration joins by that key: it's exchanged once, and each round moves the other side only. Lost partitions are made again from what df reads. The caller unpersists it."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
