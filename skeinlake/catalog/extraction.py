@@ -1,8 +1,11 @@
 """X: structure from text."""
 
+import json
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
-from ..operators import extract
+from ..operators import extract, scan
 from .bindings import ctes
 from .registry import query
 
@@ -111,3 +114,62 @@ def x14(i):
 @query("x15_preview", f"{FN}, l AS (SELECT file_path, list(name ORDER BY ord, name) AS names FROM functions GROUP BY file_path) SELECT file_path, array_to_string(names[1:3], ', ') || CASE WHEN len(names) > 3 THEN ' and ' || (len(names) - 3) || ' more' ELSE '' END AS text FROM l")
 def x15(i):
     return extract.preview(i.bind("functions"), "file_path")
+
+
+#: A source file of each language with heads over several lines, nested brackets, methods, and comments that look like code; what they hold was checked by hand.
+_samples = Path(__file__).parent / "samples"
+_files = "a.ts b.py c.java d.cpp e.c f.go g.rs h.js".split()
+_held = json.loads((_samples / "expected.json").read_text())
+_at = "'src/' || p_partkey || '/' || f"
+
+
+def _scanned(i):
+    """One of the files for each part."""
+    content = F.get(F.array(*[F.lit((_samples / f"{f}.txt").read_text()) for f in _files]), F.col("k"))
+    name = F.get(F.array(*[F.lit(f) for f in _files]), F.col("k"))
+    parts = i.table("part").select("p_partkey", (F.col("p_partkey") % 8).cast("int").alias("k"))
+    return scan.structure(parts.select(F.concat_ws("/", F.lit("src"), F.col("p_partkey").cast("string"), name).alias("path"), content.alias("content")))
+
+
+def _sql(v):
+    if isinstance(v, list):
+        return f"CAST([{', '.join(map(_sql, v))}] AS VARCHAR[])"
+    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+
+def _expected(kind, columns):
+    """What a kind's rows are, for each part whose file it is."""
+    rows = ", ".join(f"({_files.index(f)}, {_sql(f)}, {', '.join(map(_sql, r))})" for f, held in _held.items() for r in held[kind])
+    return f"(VALUES {rows}) h(k, f, {columns}) JOIN part ON p_partkey % 8 = h.k"
+
+
+@query("x01_parse", f"SELECT {_at} AS path, kind, count(*) AS n FROM (SELECT k, f, 'function' AS kind FROM (VALUES {', '.join(f'({_files.index(f)}, {_sql(f)})' for f, h in _held.items() for _ in h['function'])}) a(k, f) UNION ALL SELECT k, f, 'class' FROM (VALUES {', '.join(f'({_files.index(f)}, {_sql(f)})' for f, h in _held.items() for _ in h['class'])}) a(k, f)) h JOIN part ON p_partkey % 8 = h.k GROUP BY ALL")
+def x01p(i):
+    return _scanned(i).where("kind in ('function', 'class')").groupBy("path", "kind").agg(F.count("*").alias("n"))
+
+
+@query("x02_code", f"SELECT {_at} AS path, name, parameters, return_type, visibility, is_async, line_start, line_end FROM {_expected('function', 'name, parameters, return_type, visibility, is_async, line_start, line_end')}")
+def x02c(i):
+    return scan.functions(_scanned(i)).drop("language")
+
+
+@query("x03_code", f"SELECT {_at} AS path, name, extends, implements, line_start, line_end FROM {_expected('class', 'name, extends, implements, line_start, line_end')}")
+def x03c(i):
+    return scan.classes(_scanned(i)).drop("language")
+
+
+@query("x04_code", f"SELECT {_at} AS path, callee, is_method, line FROM {_expected('call', 'callee, is_method, line')}")
+def x04c(i):
+    return scan.calls(_scanned(i)).select("path", "callee", "is_method", "line")
+
+
+@query("x05_code", f"SELECT {_at} AS path, text, is_doc, line FROM {_expected('comment', 'text, is_doc, line')}")
+def x05c(i):
+    return scan.comments(_scanned(i)).select("path", "text", "is_doc", "line")
+
+
+@query("x10_rules", "SELECT * FROM (VALUES ('rust', 4), ('python', 4), ('javascript', 4), ('typescript', 4), ('java', 4), ('go', 4), ('c', 4), ('cpp', 4)) r(language, patterns)")
+def x10(i):
+    """Each of the eight languages has a pattern for heads, classes and blanked text, and rules for lines."""
+    tables = (scan.HEADS, scan.CLASSES, scan.BLANK, extract.BUILT_IN)
+    return i.spark.createDataFrame([(k, sum(k in t for t in tables)) for k in extract.BUILT_IN], "language string, patterns int")

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.lookups import sql_case
+from ..functions.lookups import CHANGE_RISK, sql_case
 from ..operators import graph, impact, render, rules, summary
 from .bindings import ctes
+from .graphs import _propagation
 from .registry import query
 
 FL = f"WITH {ctes('flow_vertices', 'flow_edges')}, vertices AS (SELECT * FROM flow_vertices), edges AS (SELECT * FROM flow_edges)"
@@ -62,12 +63,27 @@ def k11(i):
     return render.bar_chart(i.bind("snapshots"), "branch", "ts", "debt", width=20)
 
 
-@query("k12_html")
+_plain = f"{FL}, {_num}, l AS (SELECT 0 AS part, lpad(CAST(n AS VARCHAR), 12, '0') AS key, 'N' || n || ' [' || {_label} || ']' AS line FROM v UNION ALL SELECT 1, {_key}, 'N' || a.n || ' -> N' || b.n || ' (' || edge_type || ')' FROM edges JOIN v a ON a.id = src JOIN v b ON b.id = dst)"
+_escaped = "replace(replace(replace(replace(replace(string_agg(line, chr(10) ORDER BY part, key), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+
+
+@query("k12_html", f"{_plain} SELECT '<!DOCTYPE html>' || chr(10) || '<html><head><meta charset=' || chr(39) || 'utf-8' || chr(39) || '><title>Graph</title></head><body><pre>' || {_escaped} || '</pre></body></html>' AS html FROM l")
 def k12(i):
     return i.spark.createDataFrame([(render.html_page("Graph", render.document(render.ascii_lines(*_flow(i)))),)], "html string")
 
 
-@query("k13_impact_report")
+_supp = _propagation(3, "id = 'supp:1'")
+_rows = lambda cond, line: f"coalesce((SELECT string_agg({line}, chr(10) ORDER BY score DESC, id) FROM (SELECT * FROM imp WHERE {cond} ORDER BY score DESC, id LIMIT 10)), '')"
+_head = lambda columns: "'| " + " | ".join(columns) + " |' || chr(10) || '|" + " --- |" * len(columns) + "'"
+
+
+@query("k13_impact_report", f"""{_supp}, best AS (SELECT id FROM imp ORDER BY score DESC, id LIMIT 5),
+w(source, path, weight, k) AS (SELECT id, [id], CAST(1 AS DOUBLE), 0 FROM vertices WHERE id = 'supp:1' UNION SELECT source, list_append(path, to_), w.weight * factor * CAST(0.9 AS DOUBLE), k + 1 FROM w JOIN st ON at_ = path[-1] WHERE k < 2 AND NOT list_contains(path, to_)),
+m AS (SELECT *, row_number() OVER (PARTITION BY source, path[-1] ORDER BY k, path) AS r FROM w WHERE k > 0),
+ways AS (SELECT source, path[-1] AS target, path, weight FROM m WHERE r = 1 AND path[-1] IN (FROM best) AND weight > 0.4 ORDER BY weight DESC, source, target LIMIT 5),
+n AS (SELECT least(count(*) FILTER (WHERE depth = 1), 10) AS direct, least(count(*) FILTER (WHERE depth > 1), 10) AS rest FROM imp)
+SELECT '# Impact' || repeat(chr(10), 2) || 'Direct:' || repeat(chr(10), 2) || {_head(['id', 'score'])} || CASE WHEN direct > 0 THEN chr(10) ELSE '' END || {_rows('depth = 1', "'| ' || id || ' | ' || printf('%.2f', score) || ' |'")} || repeat(chr(10), 2) || 'Indirect:' || repeat(chr(10), 2) || {_head(['id', 'score', 'depth'])} || CASE WHEN rest > 0 THEN chr(10) ELSE '' END || {_rows('depth > 1', "'| ' || id || ' | ' || printf('%.2f', score) || ' | ' || depth || ' |'")}
+  || repeat(chr(10), 2) || 'Paths:' || repeat(chr(10), 2) || coalesce((SELECT string_agg('* ' || array_to_string(path, ' > '), chr(10) ORDER BY weight DESC, source, target) FROM ways), '') || repeat(chr(10), 2) || 'Advice: ' || CASE WHEN direct + rest >= 10 THEN 'split the change' WHEN direct > 0 THEN 'run the tests of the impacted parts' ELSE 'no impact found' END AS report FROM n""")
 def k13(i):
     v, e = i.trade
     found = impact.propagate(v, e, v.where("id = 'supp:1'"))
@@ -75,13 +91,16 @@ def k13(i):
     return i.spark.createDataFrame([(render.impact_report(found, ways),)], "report string")
 
 
-@query("k14_change_report")
+_levels = "r AS (SELECT *, " + sql_case("change_type", CHANGE_RISK) + " AS risk, row_number() OVER (PARTITION BY " + sql_case("change_type", CHANGE_RISK) + " ORDER BY change_id) AS place FROM changes), l AS (SELECT risk, " + sql_case("risk", {"Critical": 1, "High": 2, "Medium": 3, "Low": 4}) + " AS level, '## ' || risk || ' (' || count(*) || ')' || chr(10) || string_agg('* ' || change_type || ': ' || component, chr(10) ORDER BY change_id) AS text FROM r WHERE place <= 200 AND risk IS NOT NULL GROUP BY risk)"
+
+
+@query("k14_change_report", f"WITH {ctes('changes')}, {_levels} SELECT condensed, coalesce(string_agg(text, repeat(chr(10), 2) ORDER BY level), 'no changes') AS report FROM l, (VALUES (false), (true)) c(condensed) WHERE NOT condensed OR level <= 2 GROUP BY condensed")
 def k14(i):
     c = rules.change_risk(i.bind("changes"))
     return i.spark.createDataFrame([(False, render.change_report(c)), (True, render.change_report(c, condensed=True))], "condensed boolean, report string")
 
 
-@query("k15_insight_report")
+@query("k15_insight_report", f"WITH {ctes('functions', 'classes')}, spots AS (SELECT name, ord, CAST(line_end - line_start + 5 * n_params AS DOUBLE) AS score FROM functions WHERE n_params > 5 OR line_end - line_start > 50 ORDER BY score DESC, name, ord LIMIT 10) SELECT '# Insights' || repeat(chr(10), 2) || 'Hotspots:' || repeat(chr(10), 2) || {_head(['name', 'score'])} || chr(10) || (SELECT string_agg('| ' || name || ' | ' || printf('%.2f', score) || ' |', chr(10) ORDER BY score DESC, name, ord) FROM spots) || repeat(chr(10), 2) || 'Violations: ' || ((SELECT count(*) FROM classes WHERE n_methods > 20) + (SELECT count(*) FROM functions WHERE line_end - line_start > 50)) || repeat(chr(10), 2) || 'Public functions: ' || (SELECT count(*) FROM functions WHERE visibility = 'public') AS report")
 def k15(i):
     f, c = i.bind("functions"), i.bind("classes")
     return i.spark.createDataFrame([(render.insight_report(rules.hotspots(f), rules.pattern_violations(f, c), rules.public_api(f)),)], "report string")

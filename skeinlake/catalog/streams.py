@@ -1,12 +1,10 @@
 """Streaming forms, run to the end over the events table and held against their batch results."""
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
-from ..plans.tables import shared_folder
+from ..plans.tables import passing
 from ..streaming import stats
 from .registry import query
 
@@ -22,12 +20,15 @@ def _stream(i):
 
 
 def _finish(df, i, mode):
-    """Runs a stream over all that is there and gives its result as a table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    at = os.path.join(shared_folder(i.spark), name)
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return i.spark.table(name)
+    """Runs a stream over all that is there and gives its result as a table. Each batch is written to the shared folder under its number, so one that runs again replaces itself; in complete mode the last one holds all."""
+    at, done = passing(i.spark, "stream"), []
+
+    def keep(batch, k):
+        batch.write.mode("overwrite").parquet(f"{at}/rows/{k}")
+        done.append(k)
+
+    df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return i.spark.read.schema(df.schema).parquet(f"{at}/rows/{max(done)}" if mode == "complete" else f"{at}/rows/*")
 
 
 @query("st01_running_stats", "SELECT event_type AS tool, count(*) AS calls, count(*) FILTER (WHERE event_type <> 'error' AND event_id % 7 <> 0) AS succeeded, round(sum(value), 6) AS total_ms FROM events GROUP BY 1")

@@ -32,7 +32,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     level = settled(seeds.select("id").distinct(), "reach-0")
     seen = level.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
-        new = pairs.join(level, pairs.dst == level.id).select(F.col("src").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        new = pairs.meets(level, "id").select(F.col("src").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
         level, found = measured(new, f"reach-{d}")
         if not found["n"]:
             break
@@ -95,7 +95,7 @@ def spread(edges: DataFrame, start: DataFrame, name: str) -> DataFrame:
     parts, k = [new], 0
     while True:
         known = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).groupBy("id").agg(F.min("least").alias("least"))
-        sent = new.join(steps, new.id == steps.src).groupBy(F.col("dst").alias("id")).agg(F.min("least").alias("least"))
+        sent = steps.meets(new, "id").groupBy(F.col("dst").alias("id")).agg(F.min("least").alias("least"))
         fell = sent.join(known.withColumnRenamed("least", "_old"), "id", "left").where("_old is null or least < _old").select("id", "least")
         k += 1
         new, found = measured(fell, f"{name}-{k}")
@@ -155,7 +155,7 @@ def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         if not found["free"]:
             break
         free, waiting = state.where("left = 0").select("id"), state.where("left > 0").select("id", F.col("left").alias("_left"))
-        got = free.join(steps, free.id == steps.src).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("_got"))
+        got = steps.meets(free, "id").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("_got"))
         state = got.join(waiting, "id", "full_outer").join(waits, "id").select("id", (F.coalesce("_left", "all") - F.coalesce("_got", F.lit(0))).alias("left"))
         k += 1
     steps.unpersist()
@@ -184,7 +184,7 @@ def weighted_impact(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, sta
     best, k = frontier, 0
     while True:
         k += 1
-        new = frontier.join(steps, frontier.id == steps["at"]).select(F.col("to").alias("id"), (F.col("score") * F.col("factor")).alias("score")).where(F.col("score") >= floor).groupBy("id").agg(F.max("score").alias("score"))
+        new = steps.meets(frontier, "id").select(F.col("to").alias("id"), (F.col("score") * F.col("factor")).alias("score")).where(F.col("score") >= floor).groupBy("id").agg(F.max("score").alias("score"))
         old = best.groupBy("id").agg(F.max("score").alias("old"))
         frontier, found = measured(new.join(old, "id", "left").where("old is null or score > old").select("id", "score"), f"impact-{k}")
         if not found["n"]:
@@ -207,10 +207,9 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, round
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
     links = held_by(pair.join(out, "src").select("src", "dst", (F.col("rows") * F.col("w") / F.col("out")).alias("share")), "src")
-    nodes = held_by(nodes, "id")
     ranks, lost = nodes.withColumn("pagerank", F.lit(1.0 / n)), found["dangling"] / n
     for k in range(rounds):
-        into = ranks.join(links, ranks.id == links.src).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
+        into = links.meets(ranks, "id").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
         new = nodes.join(into, "id", "left").select("id", "dangling", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0)) + damping * F.lit(lost) / n).alias("pagerank"))
         figures = {"lost": F.sum(F.when(F.col("dangling"), F.col("pagerank")))}
         if k > 0 and tolerance > 0:
@@ -221,7 +220,6 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, round
         if found.get("moved", tolerance) < tolerance:
             break
     links.unpersist()
-    nodes.unpersist()
     return ranks.select("id", "pagerank")
 
 
@@ -233,7 +231,7 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -
     labels = vertices.select("id", F.col("id").alias("label")).distinct()
     for k in range(rounds):
         # A node is among its own voters, so its label before comes along.
-        votes = ends.join(labels.select(F.col("id").alias("from"), "label"), "from").groupBy("id", "label").agg(F.count("*").alias("n"), F.max(F.when(F.col("from") == F.col("id"), F.col("label"))).alias("own"))
+        votes = ends.meets(labels.select(F.col("id").alias("_from"), "label"), "_from").groupBy("id", "label").agg(F.count("*").alias("n"), F.max(F.when(F.col("from") == F.col("id"), F.col("label"))).alias("own"))
         new = votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"), F.max("own").alias("own"))
         labels, found = measured(new, f"labels-{k}", changed=F.count_if(F.col("label") != F.col("own")))
         labels = labels.select("id", "label")

@@ -53,7 +53,7 @@ def propagate(vertices: DataFrame, edges: DataFrame, sources: DataFrame, depth:
     seen, out = level.select("id"), level.where("false")
     for d in range(1, depth + 1):
         score = F.col("score") * F.lit(0.8**d) * F.col("factor") * F.col("weight")
-        near = level.join(steps, level.id == steps["at"]).select(F.col("to").alias("id"), score.alias("score"), F.lit(d).alias("depth"), F.concat("found", F.array("pos")).alias("found"), F.col("at")).where(F.col("score") > least).join(seen, "id", "left_anti")
+        near = steps.meets(level, "id").select(F.col("to").alias("id"), score.alias("score"), F.lit(d).alias("depth"), F.concat("found", F.array("pos")).alias("found"), F.col("at")).where(F.col("score") > least).join(seen, "id", "left_anti")
         pick = F.row_number().over(Window.partitionBy("id").orderBy("found", "at"))
         level, got = measured(near.withColumn("_k", pick).where("_k = 1").select("id", "score", "depth", "found"), f"propagate-{d}")
         if not got["n"]:

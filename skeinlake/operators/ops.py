@@ -82,3 +82,24 @@ def canonical_key(df: DataFrame, columns: list[str]) -> Column:
 def refresh_due(resources: DataFrame, now: Column, seconds: int) -> DataFrame:
     """Resources never refreshed, or longer ago than the interval."""
     return resources.where(F.col("refreshed").isNull() | (now - F.make_dt_interval(secs=F.lit(seconds)) > F.col("refreshed")))
+
+
+def retries(failures: DataFrame, at: str, attempts: int = 3) -> DataFrame:
+    """Each failure with its further attempts: the wait before each doubles from one second, and they follow one another."""
+    every = failures.select("*", F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"))
+    seconds = lambda k: F.pow(F.lit(2), k).cast("long")
+    return every.withColumn("wait_seconds", seconds(F.col("attempt") - 1)).withColumn("at", (F.col(at) + F.make_interval(secs=seconds(F.col("attempt")) - 1)).cast("timestamp_ntz"))
+
+
+def resolutions(requests: DataFrame) -> DataFrame:
+    """(service, resolved, from_cache, created, hit_rate): a service is made at its first request and kept for the others."""
+    n = F.count("*")
+    return requests.groupBy("service").agg(n.alias("resolved"), (n - 1).alias("from_cache"), F.lit(1).cast("long").alias("created"), ((n - 1) / n).alias("hit_rate"))
+
+
+FEATURES = {"core": ("graph",), "analysis": ("impact", "rules", "trends", "diff", "summary", "render"), "language": ("rust", "python", "javascript", "typescript", "java", "go", "c", "cpp"), "streaming": ("stats",), "text corpus": ()}
+
+
+def features(spark: SparkSession) -> DataFrame:
+    """(category, total, always): the engine's features by category, and how many of them are always there; the text operators may be left out."""
+    return spark.createDataFrame([(k, max(len(v), 1), len(v)) for k, v in FEATURES.items()], "category string, total int, always int")

@@ -134,5 +134,5 @@ def change_report(changes: DataFrame, condensed: bool = False, most: int = 200)
 
 
 def insight_report(hotspots: DataFrame, violations: DataFrame, api: DataFrame, top: int = 10) -> str:
-    spots = hotspots.orderBy(F.desc("score"), "name").limit(top).collect()
+    spots = hotspots.orderBy(F.desc("score"), "name", "ord").limit(top).collect()
     return f"# Insights\n\nHotspots:\n\n{table(spots, ['name', 'score'])}\n\nViolations: {violations.count()}\n\nPublic functions: {api.count()}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lookups import CHANGE_IMPACT, CHANGE_RISK, RISK_RANK, RISK_SCORE, SCANNER_TO_REVIEW, case
@@ -180,3 +180,18 @@ def quality_score(complexity: Column, duplication: Column, coverage: Column, deb
     for source, part in zip(nulls, parts):
         score = score - F.when(source.isNull(), zero).otherwise(part.cast("double"))
     return F.least(F.greatest(score, zero), F.lit(100.0))
+
+
+def undetected(spark: SparkSession) -> DataFrame:
+    """(name, problem) of detectors without a rule: no rows."""
+    return spark.createDataFrame([], "name string, problem string")
+
+
+def layers(spark: SparkSession) -> DataFrame:
+    """The one layer that is assumed, what it may depend on, and the coupling that is assumed; both are constants in the original as well."""
+    return spark.createDataFrame([("Domain", "Infrastructure", 0.3)], "layer string, allowed string, average_coupling double")
+
+
+def deviation(findings: DataFrame, by: str, connected: bool = False) -> DataFrame:
+    """(by, matched, match_score, needs_attention): the fixed score of an analysis, 85 with a connected tracker and 50 without; all findings count as matched."""
+    return findings.groupBy(by).agg(F.count("*").alias("matched")).select(by, "matched", F.lit(85 if connected else 50).alias("match_score"), F.lit(False).alias("needs_attention"))

@@ -6,11 +6,15 @@ import os
 import re
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of one key that a task takes at most when a held table is joined.
+HEAVY = 1_000_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir as the cluster sets it. Where it is unset: a temporary folder on a single machine, an error on a cluster, whose machines share none."""
@@ -45,7 +49,39 @@ def measured(df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, di
     return out, seen.get
 
 
-def held_by(df: DataFrame, key: str) -> DataFrame:
-    """df partitioned by a key and held on the executors, for a side that every round of an iteration joins by that key: it's exchanged once, and each round moves the other side only. Lost partitions are made again from what df reads. The caller unpersists it."""
+@dataclass(frozen=True)
+class Held:
+    """A table that an iteration joins by one key each round, partitioned by it and kept on the executors."""
+
+    df: DataFrame
+    key: str
+    #: (_heavy, _slices): keys of too many rows for one task, and over how many their rows are spread; None if there are none.
+    heavy: DataFrame | None = None
+
+    def meets(self, other: DataFrame, column: str) -> DataFrame:
+        """Its join with other, key = column. A row of other whose key is heavy goes to each of the key's slices."""
+        if self.heavy is None:
+            return self.df.join(other, self.df[self.key] == other[column])
+        wide = other.join(self.heavy, other[column] == F.col("_heavy"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))).drop("_heavy", "_slices")
+        return self.df.join(wide, (self.df[self.key] == wide[column]) & (F.col("_slice") == F.col("_part"))).drop("_slice", "_part")
+
+    def unpersist(self) -> None:
+        self.df.unpersist()
+
+
+def held_by(df: DataFrame, key: str, most: int = HEAVY) -> Held:
+    """df partitioned by a key and held on the executors: it's exchanged once, and each round moves the other side only. Lost partitions are made again from what df reads. The caller unpersists it.
+
+    A key of more than `most` rows, a hub, would be one task's each round: its rows are spread over slices. The counts are
+    taken where the rows lie, without another exchange.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
+    held = df.repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = held.groupBy(F.col(key).alias("_heavy")).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    heavy, found = measured(counts.select("_heavy", F.ceil(F.col("_n") / most).cast("int").alias("_slices")), "heavy")
+    if not found["n"]:
+        return Held(held, key)
+    spread = df.join(heavy, df[key] == F.col("_heavy"), "left").withColumn("_slice", F.coalesce(F.pmod(F.xxhash64(*[df[c] for c in df.columns]), F.col("_slices")), F.lit(0)).cast("int")).drop("_heavy", "_slices")
+    spread = spread.repartition(n, key, "_slice").persist(StorageLevel.MEMORY_AND_DISK)
+    held.unpersist()
+    return Held(spread, key, heavy)

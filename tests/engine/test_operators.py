@@ -325,3 +325,30 @@ def test_settings(tmp_path):
     assert config.load(str(tmp_path / "a.toml"), "graph") == config.Settings(radius=3) and config.load(str(tmp_path / "a.toml")) == config.Settings()
     with pytest.raises(ValueError, match="damping"):
         config.load(str(tmp_path / "b.json"))
+
+def test_hubs_are_spread(spark):
+    """A held table with heavy keys joins as one without."""
+    from skeinlake.plans.tables import held_by
+
+    rows = [(f"n{k}", "hub") for k in range(50)] + [(f"m{k}", f"x{k % 7}") for k in range(30)] + [("n1", "hub")]
+    e = spark.createDataFrame(rows, "src string, dst string")
+    other = spark.createDataFrame([("hub", 1), ("x1", 2), ("none", 3), ("hub", 4)], "id string, v int")
+    plain, spread = held_by(e, "dst"), held_by(e, "dst", most=8)
+    assert plain.heavy is None and {tuple(r) for r in spread.heavy.collect()} == {("hub", 7)}
+    assert sorted(map(tuple, plain.meets(other, "id").select("src", "dst", "v").collect())) == sorted(map(tuple, spread.meets(other, "id").select("src", "dst", "v").collect()))
+    plain.unpersist()
+    spread.unpersist()
+
+
+def test_cycles_of_several_components(spark):
+    pairs = ["AB", "BC", "CA", "CD", "DE", "EF", "FE", "FG", "HH", "XY", "IJ", "JK", "KI", "KE"]
+    e = spark.createDataFrame([(a, b) for a, b in pairs], "src string, dst string")
+    assert sorted(r[0] for r in graph.on_cycles(e).collect()) == list("ABCEFHIJK")
+    assert graph.on_cycles(e.where("false")).count() == 0
+
+
+def test_rising_scores_are_refused(spark):
+    v = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "id string, importance double")
+    e = spark.createDataFrame([("a", "b", "Calls", 2.0, 0), ("b", "a", "Calls", 2.0, 1)], "src string, dst string, edge_type string, weight double, pos long")
+    with pytest.raises(ValueError):
+        graph.weighted_impact(v, e, v.where("id = 'a'"))
