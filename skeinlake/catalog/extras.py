@@ -1,13 +1,10 @@
 """Writers read back, scalar scores, and start order of services."""
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.lookups import EDGE_FACTORS, TYPE_FACTORS, case, sql_case
 from ..operators import graph, impact
-from ..plans.tables import shared_folder
+from ..plans.tables import passing
 from ..sources import json
 from .bindings import ctes
 from .registry import query
@@ -17,7 +14,7 @@ _kept = "branch, ts, commit_hash, debt, lines_of_code"
 
 
 def _store(i):
-    return os.path.join(shared_folder(i.spark), f"snapshots-{uuid.uuid4().hex}")
+    return passing(i.spark, "snapshots")
 
 
 def _rows(i):

@@ -1,7 +1,7 @@
 """Structure from source text: functions, classes, calls and comments by a table of rules for each language.
 
-A line of code is matched by regular expressions in the JVM; no parser and no Python worker is involved. The documented subset:
-one declaration a line, its parameters on the same line; a body ends where braces balance again, or for Python where the
+A line of code is matched by regular expressions in the JVM; no parser and no Python worker is involved. scan.py reads whole
+files and knows more forms; this is for rules of one's own and for text that comes as lines. The documented subset: one declaration a line, its parameters on the same line; a body ends where braces balance again, or for Python where the
 indentation returns. Strings and comments that look like declarations count as such.
 """
 
@@ -93,13 +93,13 @@ def _ends(lines: DataFrame) -> DataFrame:
 
 
 def _bodies(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Adds line_end: the first line from the start on at which braces are as deep as before it, or the last that is indented deeper."""
-    l = _ends(lines).select(F.col("path").alias("_p"), F.col("pos").alias("_at"), F.col("after").alias("_after"), F.col("indent").alias("_indent"), F.col("solid").alias("_solid"))
-    j = found.join(l, (F.col("path") == F.col("_p")) & (F.col("_at") >= F.col("line_start")), "left")
-    stop = F.when(F.col("language") == "python", F.col("_solid") & (F.col("_at") > F.col("line_start")) & (F.col("_indent") <= F.col("indent"))).otherwise((F.col("_after") <= F.col("before")) & ((F.col("_at") > F.col("line_start")) | F.col("closed")))
-    end = F.min(F.when(stop, F.when(F.col("language") == "python", F.col("_at") - 1).otherwise(F.col("_at"))))
-    keys = [c for c in found.columns if c not in ("before", "indent", "closed")]
-    return j.groupBy(*keys).agg(F.coalesce(end, F.max("_at")).alias("line_end"))
+    """Adds line_end: the first line from the start on at which braces are as deep as before it, or the last that is indented deeper. A file's lines come to its functions as one array, so nothing is multiplied."""
+    rows = _ends(lines).groupBy(F.col("path").alias("_p")).agg(F.collect_list(F.struct("pos", "after", "indent", "solid")).alias("_lines"))
+    python, start = F.col("language") == "python", F.col("line_start")
+    deep = lambda x: F.when(python, x["solid"] & (x["pos"] > start) & (x["indent"] <= F.col("indent"))).otherwise((x["pos"] >= start) & (x["after"] <= F.col("before")) & ((x["pos"] > start) | F.col("closed")))
+    stop = F.array_min(F.transform(F.filter("_lines", deep), lambda x: F.when(python, x["pos"] - 1).otherwise(x["pos"])))
+    end = F.coalesce(stop, F.array_max(F.transform("_lines", lambda x: x["pos"])))
+    return found.join(rows, F.col("path") == F.col("_p"), "left").select(*[c for c in found.columns if c not in ("before", "indent", "closed")], end.alias("line_end"))
 
 
 def functions(lines: DataFrame, rules: dict[str, Rules] = BUILT_IN) -> DataFrame:

@@ -47,13 +47,12 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
 
 
 def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, fan_in, fan_out, centrality): counts of edge rows, and their sum by twice the number of vertices."""
-    out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("fan_out"))
-    into = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("fan_in"))
+    """(id, fan_in, fan_out, centrality): counts of edge rows, and their sum by twice the number of vertices. Edges are read once: each counts at both its ends."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("out")))))
+    counts = ends.groupBy("id").agg(F.sum("out").alias("fan_out"), F.count("*").alias("both"))
     n = vertices.agg(F.count("*").alias("n"))
-    joined = vertices.select("id").join(out, "id", "left").join(into, "id", "left").crossJoin(F.broadcast(n))
-    fan_in, fan_out = F.coalesce("fan_in", F.lit(0)), F.coalesce("fan_out", F.lit(0))
-    return joined.select("id", fan_in.alias("fan_in"), fan_out.alias("fan_out"), ((fan_in + fan_out) / (2 * F.col("n"))).alias("centrality"))
+    fan_out, both = F.coalesce("fan_out", F.lit(0)), F.coalesce("both", F.lit(0))
+    return vertices.select("id").join(counts, "id", "left").crossJoin(F.broadcast(n)).select("id", (both - fan_out).alias("fan_in"), fan_out.alias("fan_out"), (both / (2 * F.col("n"))).alias("centrality"))
 
 
 def critical(vertices: DataFrame, edges: DataFrame, threshold: float, inclusive: bool = False) -> DataFrame:

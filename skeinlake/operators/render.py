@@ -5,8 +5,11 @@ Lines come as rows with a place, so a large graph is written by many tasks; whol
 
 from __future__ import annotations
 
+import shutil
+import subprocess
 from collections.abc import Mapping, Sequence
 from html import escape
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,6 +66,17 @@ def document(lines: DataFrame) -> str:
     return "\n".join(r["line"] for r in lines.orderBy("part", "key").select("line").toLocalIterator())
 
 
+def image(dot: str, path: str, kind: str = "svg") -> str:
+    """Draws a DOT text as an image (png, svg or pdf) by the program `dot`, and gives the image's path. Without that program the text itself is kept beside the path, and it raises."""
+    if kind not in ("png", "svg", "pdf"):
+        raise ValueError(f"{kind} is none of png, svg, pdf")
+    Path(path).with_suffix(".dot").write_text(dot)
+    if not shutil.which("dot"):
+        raise RuntimeError("the program dot isn't installed; the text is kept as .dot")
+    subprocess.run(["dot", f"-T{kind}", "-o", path], input=dot, text=True, check=True, timeout=300)
+    return path
+
+
 def bar_chart(series: DataFrame, by: str, order: str, value: str, width: int = 50, rows: int = 11) -> DataFrame:
     """(by, row, line): a bar chart of each series, at most `width` columns by the nearest sample (index j * n / width), rows from the greatest value down to 0."""
     w = Window.partitionBy(by).orderBy(order)

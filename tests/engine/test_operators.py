@@ -352,3 +352,17 @@ def test_rising_scores_are_refused(spark):
     e = spark.createDataFrame([("a", "b", "Calls", 2.0, 0), ("b", "a", "Calls", 2.0, 1)], "src string, dst string, edge_type string, weight double, pos long")
     with pytest.raises(ValueError):
         graph.weighted_impact(v, e, v.where("id = 'a'"))
+
+
+def test_image_keeps_the_text(tmp_path):
+    import shutil
+
+    at = str(tmp_path / "g.svg")
+    if shutil.which("dot"):
+        assert "<svg" in open(render.image("digraph G { a -> b }", at)).read()
+    else:
+        with pytest.raises(RuntimeError):
+            render.image("digraph G { a -> b }", at)
+    assert (tmp_path / "g.dot").read_text() == "digraph G { a -> b }"
+    with pytest.raises(ValueError):
+        render.image("digraph G {}", at, "gif")
