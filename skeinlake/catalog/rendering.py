@@ -6,7 +6,8 @@ from ..functions.lookups import CHANGE_RISK, sql_case
 from ..operators import graph, impact, render, rules, summary
 from .bindings import ctes
 from .graphs import _propagation
-from .registry import query
+from .registry import ORACLES, query
+from .trends import S, _rates
 
 FL = f"WITH {ctes('flow_vertices', 'flow_edges')}, vertices AS (SELECT * FROM flow_vertices), edges AS (SELECT * FROM flow_edges)"
 _label = "CASE node_type WHEN 'Function' THEN 'fn ' || name || '()' WHEN 'Class' THEN 'class ' || name WHEN 'Module' THEN 'mod ' || name ELSE 'file ' || name END"
@@ -50,7 +51,36 @@ def k08(i):
     return render.ascii_lines(*_flow(i))
 
 
-@query("k10_report")
+_head = lambda columns: "'| " + " | ".join(columns) + " |' || chr(10) || '|" + " --- |" * len(columns) + "'"
+_two = lambda c: f"coalesce(printf('%.2f', {c}), 'None')"
+_when = "strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN extract('microseconds' FROM ts) % 1000000 <> 0 THEN strftime(ts, '.%f') ELSE '' END"
+_part = lambda title, body: f"'## {title}' || repeat(chr(10), 2) || {body} || repeat(chr(10), 2)"
+
+
+def _listing(columns, rows, order, cells, most=50):
+    """A Markdown table of a branch's first rows."""
+    line = "'| ' || " + " || ' | ' || ".join(cells) + " || ' |'"
+    return f"{_head(columns)} || coalesce((SELECT chr(10) || string_agg({line}, chr(10) ORDER BY place) FROM (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY {order}) AS place FROM ({rows})) x WHERE x.branch = b.branch AND place <= {most}), '')"
+
+
+_body = lambda key: ORACLES[key].removeprefix(f"{S}, {_rates}").lstrip(", ")
+_series = "s AS (SELECT branch, debt AS v, row_number() OVER (PARTITION BY branch ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY branch) AS n, max(debt) OVER (PARTITION BY branch) AS top FROM snapshots), cells AS (SELECT branch, v, top, j FROM s, range(50) t(j) WHERE CASE WHEN n <= 50 THEN j = i ELSE floor(j * n / 50) = i END), bars AS (SELECT branch, CAST(k AS INTEGER) AS row, string_agg(CASE WHEN v >= top * (10 - k) / 10 THEN '#' ELSE ' ' END, '' ORDER BY j) AS line FROM cells, range(11) t(k) GROUP BY ALL)"
+_odd = "odd AS (SELECT branch, ts, 'debt' AS metric, debt AS value, dm AS expected FROM w WHERE k >= 3 AND abs(debt - dm) > 0.5 * dm UNION ALL SELECT branch, ts, 'complexity', complexity, cm FROM w WHERE k >= 3 AND abs(complexity - cm) > 0.4 * cm)"
+_walk = "w AS (SELECT *, row_number() OVER o AS k, avg(debt) OVER (PARTITION BY branch ORDER BY ts, commit_hash ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS dm, avg(complexity) OVER (PARTITION BY branch ORDER BY ts, commit_hash ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS cm FROM snapshots WINDOW o AS (PARTITION BY branch ORDER BY ts, commit_hash))"
+
+
+@query(
+    "k10_report",
+    f"""{S}, {_rates}, overall AS (WITH {_body('t06_overall')}), findings AS (WITH {_body('t07_findings')}), advice AS ({_body('t08_advice')}), ahead AS (WITH {_body('t09_predict')}), {_walk}, {_odd}, {_series}
+SELECT branch, '# Quality of ' || branch || repeat(chr(10), 2) || {_part('Overview', "(SELECT count(*) FROM snapshots x WHERE x.branch = b.branch) || ' snapshots'")} || {_part('Overall trend', "coalesce((SELECT overall FROM overall x WHERE x.branch = b.branch), 'too few snapshots')")}
+  || {_part('Trends', _listing(['metric', 'first', 'last', 'rate', 'direction'], 'SELECT * FROM rates', 'metric', ['metric', _two('first'), _two('last'), _two('rate'), 'direction']))}
+  || {_part('Findings', _listing(['finding', 'value'], 'SELECT * FROM findings', 'finding', ['finding', _two('value')]))} || {_part('Advice', _listing(['metric', 'advice'], 'SELECT * FROM advice', 'metric', ['metric', 'advice']))}
+  || {_part('Prediction', _listing(['days_to_critical', 'next_complexity', 'confidence'], 'SELECT * FROM ahead', 'branch', ["coalesce(CAST(days_to_critical AS VARCHAR), 'None')", _two('next_complexity'), 'confidence']))}
+  || {_part('Anomalies', _listing(['ts', 'metric', 'value', 'expected'], 'SELECT * FROM odd', 'ts, metric', [_when, 'metric', _two('value'), _two('expected')]))}
+  || {_part('Debt', "'```' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY row) FROM bars x WHERE x.branch = b.branch) || chr(10) || '```'")}
+  || '## History' || repeat(chr(10), 2) || {_listing(['ts', 'commit_hash', 'debt', 'complexity', 'stability'], 'SELECT * FROM snapshots', 'ts DESC, commit_hash DESC', [_when, 'commit_hash', _two('debt'), _two('complexity'), _two('stability')], 20)} || chr(10) AS report
+FROM (VALUES ('click'), ('error')) b(branch)""",
+)
 def k10(i):
     s = i.bind("snapshots")
     return i.spark.createDataFrame([(b, render.trend_report(s, b)) for b in ("click", "error")], "branch string, report string")
@@ -74,7 +104,6 @@ def k12(i):
 
 _supp = _propagation(3, "id = 'supp:1'")
 _rows = lambda cond, line: f"coalesce((SELECT string_agg({line}, chr(10) ORDER BY score DESC, id) FROM (SELECT * FROM imp WHERE {cond} ORDER BY score DESC, id LIMIT 10)), '')"
-_head = lambda columns: "'| " + " | ".join(columns) + " |' || chr(10) || '|" + " --- |" * len(columns) + "'"
 
 
 @query("k13_impact_report", f"""{_supp}, best AS (SELECT id FROM imp ORDER BY score DESC, id LIMIT 5),
