@@ -31,6 +31,8 @@ KINDS = (("AKIA", "aws key"), ("gh", "github token"), ("xox", "slack token"), ("
 #: A candidate is a widely copied example from so many distinct owners, or so many distinct repositories of at least two owners, on.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
 MASK = "[secret]"
+#: Documents with a live credential whose ids and hashes are sent to all executors at most: about 15 MB.
+SENT_ROWS = 100_000
 
 
 def _has(text: Column) -> Column:
@@ -89,21 +91,23 @@ def secret_ownership(docs: DataFrame) -> DataFrame:
     return found.join(_ownership(found), "secret_hash").select("doc_id", "kind", "secret_hash", "n_documents", "n_repositories", "n_owners", "verdict").distinct()
 
 
-def mask_secrets(docs: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+def mask_secrets(docs: DataFrame, evidence: DataFrame | None = None, most: int = SENT_ROWS) -> DataFrame:
     """docs with every live-looking credential replaced by MASK in text, n_chars set to the new length; copied examples stay.
 
     evidence (documents) is what ownership is counted over, besides docs: in a pipeline the raw table, as its copies tell an
-    example, and an earlier stage may have taken them away. All rows and columns stay. Rows without a candidate pass
-    unchanged and unshuffled; only the others meet the verdicts again. Null texts and ids pass as they are.
+    example, and an earlier stage may have taken them away. All rows and columns stay, unshuffled but for those with a
+    candidate where documents with a live credential are more than `most`; up to so many their ids and hashes are sent to
+    all executors. Null texts and ids pass as they are.
     """
     columns = docs.columns
-    has = _has(F.col("text").cast("string"))
     found = _found(docs)
     seen = found if evidence is None else found.unionByName(_found(evidence))
     live = _ownership(seen).where("verdict = 'live'").select("secret_hash")
     key, of, has_live = (fresh(docs, name) for name in ("__key", "__of", "__live"))
-    by_doc = found.join(live, "secret_hash", "left_semi").groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("secret_hash").alias(has_live))
-    joined = docs.where(has).withColumn(key, F.col("doc_id").cast("long")).join(by_doc, F.col(key).eqNullSafe(F.col(of)), "left")
+    by_doc = stored(found.join(live, "secret_hash", "left_semi").groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("secret_hash").alias(has_live)), "secrets-live")
+    small = by_doc.count() <= most
+    has = F.lit(True) if small else _has(F.col("text").cast("string"))
+    joined = docs.where(has).withColumn(key, F.col("doc_id").cast("long")).join(F.broadcast(by_doc) if small else by_doc, F.col(key).eqNullSafe(F.col(of)), "left")
     text = F.col("text").cast("string")
     secrets = F.array_distinct(F.transform(F.filter(_candidates(text), lambda x: F.array_contains(has_live, F.sha2(x["secret"], 256))), lambda x: x["secret"]))
     # Longer ones first: one credential may be part of another.
@@ -112,7 +116,8 @@ def mask_secrets(docs: DataFrame, evidence: DataFrame | None = None) -> DataFram
     masked_docs = joined.withColumn("text", masked)
     if "n_chars" in columns:
         masked_docs = masked_docs.withColumn("n_chars", F.when(F.col(has_live).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return docs.where(~has).unionByName(masked_docs.select(*[F.col(f"`{c}`") for c in columns]))
+    masked_docs = masked_docs.select(*[F.col(f"`{c}`") for c in columns])
+    return masked_docs if small else docs.where(~has).unionByName(masked_docs)
 
 
 ORACLE = f"""
