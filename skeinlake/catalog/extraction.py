@@ -127,7 +127,9 @@ def _scanned(i):
     """One of the files for each part."""
     content = F.get(F.array(*[F.lit((_samples / f"{f}.txt").read_text()) for f in _files]), F.col("k"))
     name = F.get(F.array(*[F.lit(f) for f in _files]), F.col("k"))
-    parts = i.table("part").select("p_partkey", (F.col("p_partkey") % 8).cast("int").alias("k"))
+    # The numbers of a small table lie in one partition, and what is made of them is scanned by as many tasks.
+    spread = i.table("part").select("p_partkey").repartition(int(i.spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    parts = spread.select("p_partkey", (F.col("p_partkey") % 8).cast("int").alias("k"))
     return scan.structure(parts.select(F.concat_ws("/", F.lit("src"), F.col("p_partkey").cast("string"), name).alias("path"), content.alias("content")))
 
 
