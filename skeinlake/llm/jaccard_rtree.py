@@ -1,68 +1,73 @@
-"""N-gram Jaccard self-join: min-hash blocks, an R-tree over count vectors in each block, exact verification.
-
-A document is the set of its word n-grams. Its grams are hashed into GROUPS groups, and the counts of the groups are a point.
-No two sets overlap by more than the sum of the coordinate minima of their points, and none in two nodes of an R-tree by
-more than that of the nodes' upper corners; so a pair, or two whole nodes, whose bound is below what the threshold needs
-are dropped. What survives is verified on the gram hashes themselves.
-
-Points of unrelated texts of one length lie close together, so an R-tree over a whole corpus opens a fixed share of its pairs
-of leaves (a third, as measured), and their number grows with the square of the corpus. Documents meet therefore in blocks, one for each of BANDS tuples of ROWS min-hashes: a pair at similarity J
-misses all of them with probability (1 - J^ROWS)^BANDS. Equal sets are joined by equality beforehand, and stand for one point.
+"""N-gram Jaccard self-join, exact: blocks of rare grams, an R-tree over count vectors in each tile, verification on grams.
+
+A document is the set of its word n-grams, equal sets are one class. All grams have one order: those that a sample has often
+come last, by their count, the others first, by their hash. Two sets of the threshold share a gram within the first
+n - ceil(t n) + 1 of each (the prefix), whatever the order is: so classes that share a gram of their prefixes meet, and no pair
+is missed. The order only decides how many others meet as well. A pair is taken at the first gram that it shares, and only if
+its sizes and the places of that gram leave enough for the threshold.
+
+Pairs that met go to tiles, mostly one for each cluster. There the grams of a set are hashed into GROUPS groups, and the counts
+of the groups are a point. No two sets overlap by more than the sum of the coordinate minima of their points, and none in two
+nodes of an R-tree by more than that of the nodes' upper corners; what is below the need is dropped, the rest is verified
+on the grams themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, grams, mix, passes, stored, trimmed, utf8, words
 
 #: Words of a gram, and the least Jaccard similarity.
 N, THRESHOLD = 3, 0.5
-#: 93 % of pairs right at the threshold meet, 99 % at 0.6.
-BANDS, ROWS = 20, 3
 GROUPS = 256
-#: Entries of an R-tree's leaf, and documents and grams of a block's part: larger blocks are joined part by part in separate tasks.
-LEAF, TILE, TILE_GRAMS = 16, 2048, 2_000_000
+#: Entries of an R-tree's leaf, and sets of a tile's part: larger tiles are joined part by part in separate tasks.
+LEAF, TILE = 16, 2048
+#: The order of grams: sets that are looked at, grams of one of these at most, and grams that come last at most. It is no limit of the join.
+SAMPLE, SAMPLE_GRAMS, OFTEN = 12_000, 2000, 200_000
+#: Bits of a gram's hash that are kept (32 + 8), postings of a bucket, and shared grams that a posting remembers before itself.
+LOW_BITS, POSTINGS, BEFORE = 8, 2_000_000, 3
 
 _OTHER = np.uint64(0x5851F42D4C957F2D)
-_MULT = np.random.default_rng(20).integers(1, 1 << 62, BANDS * 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOW = np.uint64(LOW_BITS)
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Gram hashes of 40 bits: their upper 32, and then the lower 8."""
+    return (keys >> _LOW).astype(np.uint32).tobytes() + keys.astype(np.uint8).tobytes()
 
 
-def _sets(n: int, bands: int, rows: int):
-    """Per document: gram count, set hash, a second one, band keys, count vector, sorted gram hashes."""
+def _unpack(tokens) -> np.ndarray:
+    n = len(tokens) // 5
+    return np.frombuffer(tokens, np.uint32, n).astype(np.uint64) << _LOW | np.frombuffer(tokens, np.uint8, n, 4 * n)
+
+
+def _sets(n: int):
+    """Per document: a number of its own, gram count, set hash, a second one, sorted gram hashes; no grams for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for i, j in passes(offsets):
                 g, begins = grams(*words(data, offsets[i : j + 1]), n)
-                some = np.flatnonzero(np.diff(begins))
-                if not len(some):
-                    continue
-                cuts, low = begins[some], np.empty((len(some), bands * rows), np.uint64)
-                for k in range(bands * rows):
-                    low[:, k] = np.minimum.reduceat((g * _MULT[k]) >> np.uint64(20), cuts)
-                keys = np.zeros((len(some), bands), np.uint64)
-                for r in range(rows):
-                    keys = (keys ^ low[:, r::rows]) * np.uint64(0x9E3779B97F4A7C15)
-                    keys ^= keys >> np.uint64(29)
-                ids, sizes, sid, check, vectors, tokens = batch.column(0).slice(i, j - i).take(pa.array(some)), [], [], [], [], []
-                for d in some:
-                    a, b = begins[d], begins[d + 1]
-                    whole = np.unique(g[a:b])
+                sizes, sid, check, tokens = [], [], [], []
+                for d in range(j - i):
+                    whole = np.unique(g[begins[d] : begins[d + 1]])
                     sizes.append(len(whole))
-                    sid.append((whole * (whole >> np.uint64(7) | np.uint64(1))).sum() ^ np.uint64(len(whole)))
-                    check.append(mix(whole ^ _OTHER).sum())
-                    vectors.append(np.minimum(np.bincount((whole & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes())
-                    tokens.append((whole >> np.uint64(32)).astype(np.uint32).tobytes())
-                flat = pa.array(keys.view(np.int64).ravel())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(np.array(check, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), flat), pa.array(vectors, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "n", "sid", "check", "keys", "vector", "tokens"])
+                    sid.append((whole * (whole >> np.uint64(7) | np.uint64(1))).sum(dtype=np.uint64) ^ np.uint64(len(whole)))
+                    check.append(mix(whole ^ _OTHER).sum(dtype=np.uint64))
+                    tokens.append(_pack(whole >> np.uint64(24)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.arange(number, number + j - i)), pa.array(sizes, pa.int32()), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(np.array(check, np.uint64).view(np.int64)), pa.array(tokens, pa.binary())], ["doc_id", "id", "n", "sid", "check", "tokens"])
+                number += j - i
 
     return run
 
@@ -165,44 +170,222 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield held[0] if len(held) == 1 else pa.concat_tables(held)
 
 
-def _candidates(bands: int, threshold: float):
-    """Rows (tile, lower, upper, part, sid, n, keys, vector) sorted by tile give (tile, a, b): pairs that the tile answers for."""
+def prefix(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Of how many first grams of a set one is shared with any set that it reaches the threshold with."""
+    return np.clip(n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, 0, n)
+
+
+def often(samples: list, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Grams that several of these sets have, sorted, and their ranks: the more sets, the later they come."""
+    if not samples:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, counts = np.unique(np.concatenate([_unpack(t) for t in samples]), return_counts=True)
+    top = np.flatnonzero(counts >= least)
+    top = np.sort(top[np.argsort(-counts[top], kind="stable")[:OFTEN]])
+    return keys[top], counts[top].astype(np.int64)
+
+
+def _ranks(keys: np.ndarray, late: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Place classes of grams in the order of all grams: 0, or the rank of one that comes late."""
+    if not len(late[0]):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(late[0], keys), len(late[0]) - 1)
+    return np.where(late[0][at] == keys, late[1][at], 0)
+
+
+def _packed(head: list[np.ndarray], columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A row for each run of equal heads of postings, with their columns as bytes."""
+    change = np.ones(len(head[0]), bool)
+    change[1:] = np.any([h[1:] != h[:-1] for h in head], axis=0)
+    starts = np.flatnonzero(change)
+    if not len(starts):
+        return
+    edges = [*starts.tolist(), len(change)]
+    blobs = [pa.array([c[x:y].tobytes() for x, y in zip(edges, edges[1:])], pa.binary()) for c in columns]
+    yield pa.RecordBatch.from_arrays([*(pa.array(h[starts].astype(np.int64)) for h in head), *blobs], names)
+
+
+def _flat(group: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(v for v in group[name].to_pylist() if v is not None), kind)
+
+
+def _buckets(keys: np.ndarray, spread: int) -> np.ndarray:
+    """The lower bits of a gram, and `spread` upper ones: with the other 32 bits these are all of it."""
+    return (keys & np.uint64((1 << LOW_BITS) - 1) | keys >> np.uint64(LOW_BITS + 32 - spread) << _LOW).astype(np.int64)
+
+
+def _postings(late: tuple[np.ndarray, np.ndarray], threshold: float, spread: int):
+    """Rows (id, n, tokens) give the prefixes' grams, packed by bucket and 65,536 documents: 32 bits, the document's, and the place in 256ths of n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            ends = np.cumsum(sizes, dtype=np.int64)
+            cut = 0
+            while cut < len(ids):
+                stop = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + POSTINGS // 4, "right")))
+                n = sizes[cut:stop].astype(np.int64)
+                keys = np.concatenate([_unpack(batch.column(2)[k].as_buffer()) for k in range(cut, stop)])
+                doc = np.repeat(np.arange(stop - cut), n)
+                rank = _ranks(keys, late)
+                order = np.argsort(doc * (rank.max(initial=0) + 1) + rank, kind="stable")
+                place = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
+                keep = place < np.repeat(prefix(n, threshold), n)
+                keys, doc, place = keys[order][keep], doc[keep], place[keep]
+                q, bucket, own = place * 256 // n[doc], _buckets(keys, spread), ids[cut:stop][doc]
+                order = np.lexsort((own >> 16, bucket))
+                yield from _packed([bucket[order], own[order] >> 16], [(keys[order] >> _LOW).astype(np.uint32), (own[order] & 0xFFFF).astype(np.uint16), q[order].astype(np.uint8)], ["bucket", "batch", "keys", "docs", "places"])
+                cut = stop
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings sorted by bucket: those whose gram another document has as well, in the same form."""
+    for group in _groups(batches, 1):
+        keys, docs, places = _flat(group, "keys", np.uint32), _flat(group, "docs", np.uint16), _flat(group, "places", np.uint8)
+        batch = np.repeat(group["batch"].to_numpy(), [len(v) // 2 for v in group["docs"].to_pylist()])
+        order = np.argsort(keys, kind="stable")
+        same = keys[order][1:] == keys[order][:-1]
+        some = np.zeros(len(keys), bool)
+        some[1:] |= same
+        some[:-1] |= same
+        kept = np.sort(order[some])
+        kept = kept[np.argsort(batch[kept], kind="stable")]
+        yield from _packed([np.full(len(kept), group["bucket"][0].as_py(), np.int64), batch[kept]], [keys[kept], docs[kept], places[kept]], ["bucket", "batch", "keys", "docs", "places"])
+
+
+def _listed(late: tuple[np.ndarray, np.ndarray]):
+    """Rows (batch, kind, doc, n, bucket, keys, docs, places) sorted by batch and kind, classes (0) before postings (1), give of each class the shared grams of its prefix, in order, and their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["tile", "a", "b"]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        held = 0
         for group in _groups(batches, 1):
-            m = group.num_rows
-            if m < 2:
+            first = group["kind"].to_numpy() == 0
+            size = np.zeros(1 << 16, np.int64)
+            size[group["doc"].to_numpy()[first]] = group["n"].to_numpy()[first]
+            posts = group.filter(pa.array(~first))
+            if not posts.num_rows:
                 continue
-            column = lambda name, g=group: g[name].combine_chunks()
-            plain = lambda name: np.asarray(column(name).to_numpy(zero_copy_only=False))
-            sid, sizes, band = plain("sid"), plain("n").astype(np.int64), int(group["band"][0].as_py())
-            side = None if group["lower"][0].as_py() == group["upper"][0].as_py() else (plain("part") != plain("lower")).astype(np.int8)
-            points = np.frombuffer(b"".join(group["vector"].to_pylist()), np.uint8).reshape(m, GROUPS)
-            a, b = surviving(points, sizes, side, threshold)
-            if band and len(a):
-                # An earlier band in which they meet as well has answered already.
-                keys = np.array(group["keys"].to_pylist(), np.int64)[:, :band]
-                fresh_ = np.ones(len(a), bool)
-                for k in range(0, len(a), 100_000):
-                    fresh_[k : k + 100_000] = ~(keys[a[k : k + 100_000]] == keys[b[k : k + 100_000]]).any(1)
-                a, b = a[fresh_], b[fresh_]
-            if len(a):
-                out.append((np.full(len(a), group["tile"][0].as_py(), np.int64), np.minimum(sid[a], sid[b]), np.maximum(sid[a], sid[b])))
-                held += len(a)
-            if held > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
-                out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+            docs, places = _flat(posts, "docs", np.uint16), _flat(posts, "places", np.uint8)
+            bucket = np.repeat(posts["bucket"].to_numpy(), [len(v) // 2 for v in posts["docs"].to_pylist()])
+            keys = _flat(posts, "keys", np.uint32).astype(np.uint64) << _LOW | bucket.astype(np.uint64) & np.uint64((1 << LOW_BITS) - 1)
+            some = size[docs] > 0
+            docs, places, keys = docs[some], places[some], keys[some]
+            order = np.lexsort((keys, _ranks(keys, late), docs))
+            docs, places, keys = docs[order], places[order], keys[order]
+            own, starts = np.unique(docs, return_index=True)
+            edges = [*starts.tolist(), len(docs)]
+            ids = (group["batch"][0].as_py() << 16) + own.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size[own], pa.int32()), pa.array([_pack(keys[x:y]) for x, y in zip(edges, edges[1:])], pa.binary()), pa.array([places[x:y].tobytes() for x, y in zip(edges, edges[1:])], pa.binary()), pa.array([keys[x:y].astype(np.uint16).tobytes() for x, y in zip(edges, edges[1:])], pa.binary())], ["id", "n", "tokens", "places", "short"])
 
     return run
 
 
-def _verify(threshold: float, forest: bool = False):
-    """Rows (tile, kind, a, b, rep, n, tokens) sorted by tile and kind, sets (0) before pairs (1), give verified pairs; with forest only those that connect what no earlier pair of the tile does, and others aren't looked at."""
+def _remembered(spread: int):
+    """Rows (id, n, tokens, places) give their postings by bucket, each with its set's size, how many shared grams follow, and those before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            if not len(ids):
+                continue
+            lists = [_unpack(t.as_buffer()) for t in batch.column(2)]
+            keys, places = np.concatenate(lists), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8)
+            doc = np.repeat(np.arange(len(ids)), [len(k) for k in lists])
+            upper = (keys >> _LOW).astype(np.uint32)
+            before = np.zeros((len(doc), BEFORE), np.uint32)
+            for k in range(1, BEFORE + 1):
+                before[k:, k - 1] = np.where(doc[k:] == doc[:-k], upper[:-k], 0)
+            # How many grams of its list come after each.
+            left = np.concatenate([np.arange(len(k) - 1, -1, -1, dtype=np.int32) for k in lists])
+            bucket, own = _buckets(keys, spread), ids[doc]
+            order = np.lexsort((own >> 16, bucket))
+            yield from _packed([bucket[order], own[order] >> 16], [upper[order], (own[order] & 0xFFFF).astype(np.uint16), places[order], sizes[doc[order]].astype(np.int32), left[order], before[order]], ["bucket", "batch", "keys", "docs", "places", "sizes", "left", "before"])
+
+    return run
+
+
+def met(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, left: np.ndarray, before: np.ndarray, threshold: float, step: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ids that share a key, unless they can't reach the threshold or have met at a key before. places are lower bounds; keys in order, ids of a key in any."""
+    change = np.ones(len(keys), bool)
+    change[1:] = keys[1:] != keys[:-1]
+    starts = np.flatnonzero(change)
+    ends = np.append(starts[1:], len(keys))
+    # Each posting with those after it of its key.
+    mates = np.repeat(ends, ends - starts) - np.arange(len(keys)) - 1
+    total = np.concatenate([[0], np.cumsum(mates)])
+    rest = sizes - prefix(sizes, threshold)
+    for s in range(0, int(total[-1]), step):
+        at = np.arange(s, min(s + step, int(total[-1])))
+        a = np.searchsorted(total, at, "right") - 1
+        b = a + 1 + at - total[a]
+        na, nb = sizes[a], sizes[b]
+        need = needed(na, nb, threshold)
+        ok = (ids[a] != ids[b]) & (na >= threshold * nb) & (nb >= threshold * na) & (np.minimum(na - places[a], nb - places[b]) >= need)
+        # Grams in common are this one, others of both lists, and what follows the prefix that ends first.
+        ok &= 1 + np.minimum(left[a], left[b]) + np.maximum(rest[a], rest[b]) >= need
+        a, b = a[ok], b[ok]
+        for x in range(BEFORE):
+            for y in range(BEFORE):
+                new = (before[a, x] != before[b, y]) | (before[a, x] == 0)
+                a, b = a[new], b[new]
+        if len(a):
+            yield np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+
+
+def _meeting(threshold: float):
+    """Postings sorted by bucket give pairs of ids; a pair may come more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 1):
+            keys, docs = _flat(group, "keys", np.uint32), _flat(group, "docs", np.uint16)
+            sizes, left, before = _flat(group, "sizes", np.int32).astype(np.int64), _flat(group, "left", np.int32), _flat(group, "before", np.uint32).reshape(-1, BEFORE)
+            ids = np.repeat(group["batch"].to_numpy(), [len(v) // 2 for v in group["docs"].to_pylist()]) << 16 | docs
+            # The least place that the 256ths stand for.
+            places = -(-_flat(group, "places", np.uint8).astype(np.int64) * sizes // 256)
+            order = np.argsort(keys, kind="stable")
+            for a, b in met(keys[order], ids[order], sizes[order], places[order], left[order], before[order], threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def _wanted(ids: dict[int, bytes]):
+    """Of rows whose first column is a document's number those whose bit is set in these maps of 65,536 each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = {k: np.unpackbits(np.frombuffer(v, np.uint8)).astype(bool) for k, v in ids.items()}
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            keep = np.zeros(len(own), bool)
+            for k in np.unique(own >> 16).tolist():
+                if k in maps:
+                    of = own >> 16 == k
+                    keep[of] = maps[k][own[of] & 0xFFFF]
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers sorted by themselves: maps of the bits that they set, of 65,536 each."""
+    last, held = None, np.zeros(1 << 16, bool)
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([np.packbits(held).tobytes()], pa.binary())], ["batch", "bits"])
+    for batch in batches:
+        own = batch.column(0).to_numpy()
+        for k in np.unique(own >> 16).tolist():
+            if k != last and last is not None:
+                yield row()
+                held[:] = False
+            last = k
+            held[own[own >> 16 == k] & 0xFFFF] = True
+    if last is not None:
+        yield row()
+
+
+def _verify(threshold: float, forest: bool = False, look: bool = False):
+    """Rows (tile, kind, a, b, rep, n, tokens) sorted by tile and kind, sets (0) before pairs (1), give verified pairs: those that an R-tree of the tile leaves, or, where few of a tile's sets have met, the bound of their points, are counted; with forest only those that connect what no earlier pair of the tile does, and others aren't looked at. With look the sets are 16 bits of each shared gram of the prefixes, so that counts can only be too high, and pairs stay whose common ones leave enough for the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, where, reps, sets, sizes = None, {}, [], [], []
@@ -220,7 +403,7 @@ def _verify(threshold: float, forest: bool = False):
                             where[a_[k]] = len(reps)
                             reps.append(int(rep_[k]))
                             sizes.append(int(n_[k]))
-                            sets.append(np.frombuffer(tokens[k].as_buffer(), np.uint32))
+                            sets.append(np.frombuffer(tokens[k].as_buffer(), np.uint16) if look else _unpack(tokens[k].as_buffer()))
                     continue
                 if flat is None:
                     size_ = np.array([len(s) for s in sets])
@@ -228,9 +411,25 @@ def _verify(threshold: float, forest: bool = False):
                     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
                     stride = max(1, 1_000_000 // max(int(size_.max()), 1))
                     mark, total, rep = np.zeros(int(flat.max()) + 1, bool), np.array(sizes), np.array(reps, np.int64)
+                    name = np.array(list(where), np.int64)
                     part = np.arange(len(sets))
+                    points = None if look else np.array([np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255) for s in sets], np.uint8)
+                    near, rest = None, total - prefix(total, threshold)
                 ia = np.array([where[v] for v in a_[x:y]])
                 ib = np.array([where[v] for v in b_[x:y]])
+                if not look and near is None and 4 * len(ia) >= len(sets) ** 2:
+                    lower, upper = surviving(points, total, None, threshold)
+                    near = np.zeros((len(sets), len(sets)), bool)
+                    near[lower, upper] = near[upper, lower] = True
+                if near is not None:
+                    ok = near[ia, ib]
+                elif look:
+                    ok = np.ones(len(ia), bool)
+                else:
+                    ok = np.concatenate([bound(points[ia[k : k + 10_000]], points[ib[k : k + 10_000]]) for k in range(0, len(ia), 10_000)]) >= needed(total[ia], total[ib], threshold)
+                ia, ib = ia[ok], ib[ok]
+                if not len(ia):
+                    continue
                 order = np.argsort(ia, kind="stable")
                 ia, ib = ia[order], ib[order]
                 got_a, got_b, got_j = [], [], []
@@ -250,7 +449,7 @@ def _verify(threshold: float, forest: bool = False):
                         hit = mark[flat[np.arange(ends[-1]) - np.repeat(ends - take - edge[other], take)]]
                         overlap = np.add.reduceat(hit.astype(np.int32), ends - take)
                         jaccard = overlap / (total[i] + total[other] - overlap)
-                        ok = jaccard >= threshold
+                        ok = overlap + np.maximum(rest[i], rest[other]) >= needed(total[i], total[other], threshold) if look else jaccard >= threshold
                         if forest and ok.any():
                             joined, once = np.unique(part[other[ok]], return_index=True)
                             ok = np.flatnonzero(ok)[once]
@@ -261,14 +460,73 @@ def _verify(threshold: float, forest: bool = False):
                     mark[own] = False
                 if not got_a:
                     continue
-                ga, gb = rep[np.concatenate(got_a)], rep[np.concatenate(got_b)]
-                apart = ga != gb
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ga, gb)[apart]), pa.array(np.maximum(ga, gb)[apart]), pa.array(np.concatenate(got_j)[apart])], ["doc_id_a", "doc_id_b", "jaccard"])
+                ga, gb = np.concatenate(got_a), np.concatenate(got_b)
+                yield pa.RecordBatch.from_arrays([pa.array(name[ga]), pa.array(name[gb]), pa.array(rep[ga]), pa.array(rep[gb]), pa.array(np.concatenate(got_j))], ["a", "b", "rep_a", "rep_b", "jaccard"])
 
     return run
 
 
-def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, bands: int = BANDS, rows: int = ROWS, tile: int = TILE, forest: bool = False) -> DataFrame:
+def _joined(docs: DataFrame, threshold: float, n: int, tile: int, forest: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets of documents; their classes, each named by the number of one row of its least doc_id; verified pairs of classes."""
+    sets = _stored(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_sets(n)), "doc_id long, id long, n int, sid long, check long, tokens binary"), "jaccard-sets")
+    # Sets are equal if both hashes are.
+    classes = _stored(sets.where("n > 0").groupBy("sid", "check").agg(F.min(F.struct("doc_id", "id", "n")).alias("least"), F.countDistinct("doc_id").alias("size")).select("sid", "check", "least.id", F.col("least.doc_id").alias("rep"), "least.n", "size"), "jaccard-classes")
+
+    rows, grams_ = sets.where("n > 0").agg(F.count("*"), F.sum("n")).first()
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(1_000_000 * SAMPLE / max(rows, 1))
+    late = often([r["tokens"] for r in sets.where(f"n between 1 and {SAMPLE_GRAMS}").where(drawn).select("tokens").collect()])
+    spread = min(24, max(0, math.ceil(math.log2(max(grams_ or 1, 1) / POSTINGS)) - LOW_BITS))
+    form = "bucket long, batch long, keys binary, docs binary, places binary"
+    posts = sets.where("n > 0").select("id", "n", "tokens").mapInArrow(trimmed(_postings(late, threshold, spread)), form)
+    shared = posts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_shared), form)
+    heads = classes.select(F.shiftright("id", 16).alias("batch"), F.lit(0).alias("kind"), F.expr("int(id & 65535)").alias("doc"), "n", F.lit(0).cast("long").alias("bucket"), *(F.lit(None).cast("binary").alias(c) for c in ("keys", "docs", "places")))
+    both = heads.unionByName(shared.select("batch", F.lit(1).alias("kind"), F.lit(0).alias("doc"), F.lit(0).alias("n"), "bucket", "keys", "docs", "places"))
+    lists = _stored(both.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(trimmed(_listed(late)), "id long, n int, tokens binary, places binary, short binary"), "jaccard-prefixes")
+    known = lists.drop("short").mapInArrow(trimmed(_remembered(spread)), f"{form}, sizes binary, left binary, before binary")
+    pairs = _stored(known.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_meeting(threshold)), "a long, b long").distinct(), "jaccard-met")
+
+    # What the prefixes have in common first: it leaves few pairs of unlike sets, and two bytes of each gram are enough.
+    result = "a long, b long, rep_a long, rep_b long, jaccard double"
+    placed = _placed(pairs, tile)
+    looked = _work(lists.select("id", "n", F.lit(0).cast("long").alias("rep"), F.col("short").alias("tokens")), placed).mapInArrow(trimmed(_verify(threshold, look=True)), result)
+    placed = _placed(_stored(looked.select("a", "b"), "jaccard-looked"), tile)
+    # The bodies are what is large: only those in a pair are exchanged. One bit a row, in maps of 8 KB, tells which.
+    maps = placed.select(F.col("a").alias("id")).union(placed.select("b")).distinct().repartition(F.shiftright("id", 16)).sortWithinPartitions("id").mapInArrow(_bits, "batch long, bits binary").collect()
+    bodies = sets.select("id", "n", F.col("doc_id").alias("rep"), "tokens").mapInArrow(_wanted({r["batch"]: bytes(r["bits"]) for r in maps}), "id long, n int, rep long, tokens binary")
+    near = _work(bodies, placed).mapInArrow(trimmed(_verify(threshold, forest)), result)
+    return sets, classes, _stored(near, "jaccard-near")
+
+
+def _placed(pairs: DataFrame, tile: int) -> DataFrame:
+    """(tile, a, b): pairs whose first sets have the same least neighbour share a tile; beyond `tile` sets it is joined part by part."""
+    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    lead = ends.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("lead"))
+    led = pairs.join(lead.withColumnRenamed("id", "a"), "a")
+    many = led.select("lead", F.col("a").alias("id")).union(led.select("lead", "b")).distinct().groupBy("lead").agg(F.ceil(F.count("*") / tile).alias("parts"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("parts"))
+    return _stored(led.join(many, "lead").select(F.xxhash64("lead", F.least(part("a"), part("b")), F.greatest(part("a"), part("b"))).alias("tile"), "a", "b"), "jaccard-pairs")
+
+
+def _work(bodies: DataFrame, placed: DataFrame) -> DataFrame:
+    """Bodies (id, n, rep, tokens) and pairs of each tile, as _verify takes them."""
+    wanted = placed.select("tile", F.col("a").alias("id")).union(placed.select("tile", F.col("b").alias("id"))).distinct()
+    bodies = wanted.join(bodies, "id").select("tile", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), "rep", "n", "tokens")
+    work = bodies.unionByName(placed.select("tile", F.lit(1).alias("kind"), "a", "b", F.lit(0).cast("long").alias("rep"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("tokens")))
+    return work.repartition("tile").sortWithinPartitions("tile", "kind")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """stored(), after which the shuffle files of df go: the next steps read the table."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.unset(key) if was is None else conf.set(key, was)
+
+
+def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, tile: int = TILE, forest: bool = False) -> DataFrame:
     """(doc_id_a, doc_id_b, jaccard), a < b: pairs of documents whose sets of word n-grams have at least this similarity.
 
     Words are runs of letters (with their marks) and numbers, by Unicode's categories and lower-cased; in scripts without
@@ -278,33 +536,35 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, ban
     of other sets, as all of them would be; expand() gives the full list. Repeated rows are one document, and rows of one
     doc_id with different texts are several sets of it. Rows with a null doc_id can't be named and are left out. With
     forest the pairs are only so many as connect the same documents: their number doesn't grow with the square of a group.
-    Overlaps are counted over 32 bits of each gram's hash, so two unlike grams count as one in four billion times.
+    No pair is left out. Overlaps are counted over 40 bits of each gram's hash, so two unlike grams count as one in a million million times.
     """
-    sets = stored(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_sets(n, bands, rows)), "doc_id long, n int, sid long, check long, keys array<long>, vector binary, tokens binary"), "jaccard-sets")
-    # Sets are equal if both hashes are. One that shares the first hash alone with another, one in many billions, is in no pair rather than in a wrong one.
-    least = F.struct("doc_id", "check", "n")
-    classes = stored(sets.groupBy("sid").agg(F.min(least).alias("least"), F.min_by("keys", least).alias("keys"), F.min_by("vector", least).alias("vector")).select("sid", F.col("least.doc_id").alias("rep"), "least.check", "least.n", "keys", "vector"), "jaccard-classes")
-    same = sets.select("sid", "check", "doc_id").join(classes.select("sid", "check", "rep"), ["sid", "check"]).where("doc_id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard")).distinct()
-
-    block = Window.partitionBy("band", "key")
-    met = classes.select("sid", "n", F.posexplode("keys").alias("band", "key")).withColumns({"many": F.count("*").over(block), "grams": F.sum("n").over(block)}).where("many > 1")
-    parts = F.greatest(F.ceil(F.col("many") / tile), F.ceil(F.col("grams") / TILE_GRAMS)).cast("int")
-    met = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    # A block of more than one part is joined part by part: each row goes to the tiles of its part with every part.
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"lower": F.least("part", "other"), "upper": F.greatest("part", "other")})
-    met = met.select(F.xxhash64("band", "key", "lower", "upper").alias("tile"), "band", "lower", "upper", "part", "sid")
-    placed = met.join(classes.select("sid", "n", "keys", "vector"), "sid").select("tile", "band", "lower", "upper", "part", "sid", "n", "keys", "vector")
-    pairs = stored(placed.repartition("tile").sortWithinPartitions("tile").mapInArrow(trimmed(_candidates(bands, threshold)), "tile long, a long, b long"), "jaccard-candidates")
-
-    wanted = pairs.select("tile", F.col("a").alias("sid")).union(pairs.select("tile", F.col("b").alias("sid"))).distinct()
-    # The bodies are what is large: they are exchanged once, by set and document together. Of repeated rows the tile takes one.
-    named = wanted.join(classes.select("sid", "check", "rep"), "sid").select(F.col("sid").alias("a"), F.col("check").alias("same"), "rep", "tile")
-    bodies = named.join(sets.select("sid", "check", "doc_id", "n", "tokens"), (F.col("a") == F.col("sid")) & (F.col("rep") == F.col("doc_id")) & (F.col("same") == F.col("check"))).select("tile", F.lit(0).alias("kind"), "a", F.lit(0).cast("long").alias("b"), "rep", "n", "tokens")
-    work = bodies.unionByName(pairs.select("tile", F.lit(1).alias("kind"), "a", "b", F.lit(0).cast("long").alias("rep"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("tokens")))
-    near = work.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(trimmed(_verify(threshold, forest)), "doc_id_a long, doc_id_b long, jaccard double")
+    sets, classes, near = _joined(docs, threshold, n, tile, forest)
+    same = sets.select("sid", "check", "doc_id").join(classes.select("sid", "check", "rep"), ["sid", "check"]).where("doc_id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
+    near = near.where("rep_a <> rep_b").select(F.least("rep_a", "rep_b").alias("doc_id_a"), F.greatest("rep_a", "rep_b").alias("doc_id_b"), "jaccard")
     return same.unionByName(near).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def linked(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, tile: int = TILE) -> DataFrame:
+    """(doc_id, class_id, copy_of, links), a row for each document: the join of jaccard_pairs without writing its pairs out.
+
+    links is the number of other documents that reach the threshold with this one, copies included. copy_of is the least
+    doc_id with an equal set, class_id the least one that the document is connected with by links. A document without words
+    or without links has itself for both, and 0 links. Repeated rows are one document; rows of one doc_id with different
+    texts are documents of their own, a row for each set. Rows with a null doc_id are left out.
+    """
+    sets, classes, near = _joined(docs, threshold, n, tile, False)
+    size = classes.select("id", "size")
+    ends = near.select("a", "b").union(near.select("b", "a")).toDF("id", "other")
+    degree = ends.join(size.toDF("other", "size"), "other").groupBy("id").agg(F.sum("size").alias("others"))
+    connected = groups(near.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))).toDF("id", "group").join(classes.select("id", "rep"), "id")
+    least = connected.groupBy("group").agg(F.min("rep").alias("least"))
+    connected = connected.join(least, "group").select("id", "least")
+    each = classes.join(degree, "id", "left").join(connected, "id", "left").select("sid", "check", "rep", F.coalesce("least", "rep").alias("least"), (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("links"))
+    rows = sets.select("doc_id", "sid", "check", "n").distinct().join(each, ["sid", "check"], "left")
+    some = F.col("n") > 0
+    return rows.select("doc_id", F.when(some, F.col("least")).otherwise(F.col("doc_id")).alias("class_id"), F.when(some, F.col("rep")).otherwise(F.col("doc_id")).alias("copy_of"), F.when(some, F.col("links")).otherwise(F.lit(0)).cast("long").alias("links"))
+
+
 def expand(pairs: DataFrame) -> DataFrame:
     """All pairs that a factored result stands for. Their number grows with the square of the largest class."""
     equal = pairs.where("jaccard = 1").select(F.col("doc_id_a").alias("rep"), F.col("doc_id_b").alias("member"))

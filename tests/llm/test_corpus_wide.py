@@ -250,6 +250,26 @@ def test_recall_over_similarities(spark):
     assert len(truth) > 100 and len(got & set(truth)) >= 0.9 * len(truth) and not got - set(truth)
 
 
+def test_no_pair_right_at_the_threshold_is_left_out(spark):
+    """Sets of 100 grams with 67 in common (Jaccard 0.504), and of unlike sizes: all pairs, and each document's links."""
+    texts = []
+    for k in range(150):
+        own = [f"a{k}x{i}" for i in range(102)]
+        texts += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[33:] + [f"b{k}x{i}" for i in range(33)]))]
+        if k % 3 == 0:
+            texts.append((1000 + k, " ".join(own[:52])))
+    texts += [(2000, texts[0][1]), (2001, ""), (2002, None), (2003, "alone")]
+    docs, truth = spark.createDataFrame(texts, "doc_id long, text string"), _brute(texts, 0.5)
+    assert len(truth) == 150 + 50 + 3
+    for tile in (2048, 1):
+        got = {(r[0], r[1]) for r in jaccard_rtree.expand(jaccard_rtree.jaccard_pairs(docs, tile=tile)).collect()}
+        assert got == set(truth)
+    rows = {r["doc_id"]: r for r in jaccard_rtree.linked(docs).collect()}
+    assert set(rows) == {k for k, _ in texts} and all(r["links"] == sum(k in p for p in truth) for k, r in rows.items())
+    assert all(rows[a]["class_id"] == rows[b]["class_id"] for a, b in truth) and len({r["class_id"] for r in rows.values()}) == 153
+    assert rows[2000]["copy_of"] == rows[2000]["class_id"] == 0 and rows[1]["copy_of"] == 1
+
+
 def _unicode_words(text):
     """Words by Unicode's categories, character by character; Han, kana and Thai characters are words by themselves."""
     out, run = [], ""
