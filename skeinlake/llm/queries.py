@@ -12,7 +12,7 @@ QUERIES = {
     "op4_nbsvm_quality": lambda spark, d: nbsvm.quality_scores(read(spark, d, "documents"), read(spark, d, "labels")),
     "op5_closed_syncmers": lambda spark, d: syncmers.closed_syncmers(read(spark, d, "documents")),
     "op6_hilbert_shards": lambda spark, d: hilbert.hilbert_shards(read(spark, d, "documents")),
-    "op7_jaccard_join": lambda spark, d: jaccard_rtree.jaccard_pairs(read(spark, d, "documents")),
+    "op7_jaccard_join": lambda spark, d: jaccard_rtree.linked(read(spark, d, "documents")),
     "op8_sentencepiece": lambda spark, d: sp_backend.sentencepiece_encode(read(spark, d, "documents")),
     "op9_language_id": lambda spark, d: crossparse.identify_languages(read(spark, d, "documents")),
     "op10_secret_ownership": lambda spark, d: credentials.secret_ownership(read(spark, d, "documents")),
