@@ -3,8 +3,10 @@
 A document is the set of its word n-grams, equal sets are one class. All grams have one order: those that a sample has often
 come last, by their count, the others first, by their hash. Two sets of the threshold share a gram within the first
 n - ceil(t n) + 1 of each (the prefix), whatever the order is: so classes that share a gram of their prefixes meet, and no pair
-is missed. The order only decides how many others meet as well. A pair is taken at the first gram that it shares, and only if
-its sizes and the places of that gram leave enough for the threshold.
+is missed. The order only decides how many others meet as well. A pair is taken at the first grams that it shares, and only if
+its sizes and the places of that gram leave enough for the threshold. Where the threshold needs several grams within the
+prefixes, as it does in all but small or unlike sets, it must have MEETS of them; its first ones are always counted. Grams
+that only sets of too unlike sizes share aren't listed.
 
 Pairs that met go to tiles, mostly one for each cluster. There the grams of a set are hashed into GROUPS groups, and the counts
 of the groups are a point. No two sets overlap by more than the sum of the coordinate minima of their points, and none in two
@@ -15,6 +17,7 @@ on the grams themselves.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
@@ -35,6 +38,10 @@ LEAF, TILE = 16, 2048
 SAMPLE, SAMPLE_GRAMS, OFTEN = 12_000, 2000, 200_000
 #: Bits of a gram's hash that are kept (32 + 8), postings of a bucket, and shared grams that a posting remembers before itself.
 LOW_BITS, POSTINGS, BEFORE = 8, 2_000_000, 3
+#: Grams of the prefixes that a pair must have in common, if it needs that many to reach the threshold.
+MEETS = 2
+#: Steps of a doubling of sizes that postings tell apart, and (tile, set) rows that are sent to all tasks (10 bytes each): beyond, sets and rows are joined.
+STEPS, HOMES = 8, 4_000_000
 
 _OTHER = np.uint64(0x5851F42D4C957F2D)
 _LOW = np.uint64(LOW_BITS)
@@ -215,7 +222,7 @@ def _buckets(keys: np.ndarray, spread: int) -> np.ndarray:
 
 
 def _postings(late: tuple[np.ndarray, np.ndarray], threshold: float, spread: int):
-    """Rows (id, n, tokens) give the prefixes' grams, packed by bucket and 65,536 documents: 32 bits, the document's, and the place in 256ths of n."""
+    """Rows (id, n, tokens) give the prefixes' grams, packed by bucket and 65,536 documents: 32 bits, the document's, the place in 256ths of n, and n in STEPS of a doubling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,27 +239,38 @@ def _postings(late: tuple[np.ndarray, np.ndarray], threshold: float, spread: int
                 place = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
                 keep = place < np.repeat(prefix(n, threshold), n)
                 keys, doc, place = keys[order][keep], doc[keep], place[keep]
-                q, bucket, own = place * 256 // n[doc], _buckets(keys, spread), ids[cut:stop][doc]
+                q, bucket, own, level = place * 256 // n[doc], _buckets(keys, spread), ids[cut:stop][doc], np.floor(STEPS * np.log2(n))[doc]
                 order = np.lexsort((own >> 16, bucket))
-                yield from _packed([bucket[order], own[order] >> 16], [(keys[order] >> _LOW).astype(np.uint32), (own[order] & 0xFFFF).astype(np.uint16), q[order].astype(np.uint8)], ["bucket", "batch", "keys", "docs", "places"])
+                yield from _packed([bucket[order], own[order] >> 16], [(keys[order] >> _LOW).astype(np.uint32), (own[order] & 0xFFFF).astype(np.uint16), q[order].astype(np.uint8), level[order].astype(np.uint8)], ["bucket", "batch", "keys", "docs", "places", "levels"])
                 cut = stop
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by bucket: those whose gram another document has as well, in the same form."""
-    for group in _groups(batches, 1):
-        keys, docs, places = _flat(group, "keys", np.uint32), _flat(group, "docs", np.uint16), _flat(group, "places", np.uint8)
-        batch = np.repeat(group["batch"].to_numpy(), [len(v) // 2 for v in group["docs"].to_pylist()])
-        order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
-        some = np.zeros(len(keys), bool)
-        some[1:] |= same
-        some[:-1] |= same
-        kept = np.sort(order[some])
-        kept = kept[np.argsort(batch[kept], kind="stable")]
-        yield from _packed([np.full(len(kept), group["bucket"][0].as_py(), np.int64), batch[kept]], [keys[kept], docs[kept], places[kept]], ["bucket", "batch", "keys", "docs", "places"])
+def common(keys: np.ndarray, levels: np.ndarray, threshold: float) -> np.ndarray:
+    """Marks postings whose gram another set has as well, of a size that may reach the threshold with theirs."""
+    # Of the sets with a gram the nearest in size are next to each other; a step more than the threshold's, as levels are rounded.
+    both = keys.astype(np.uint64) << np.uint64(8) | levels.astype(np.uint64)
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    same = (both[1:] >> np.uint64(8) == both[:-1] >> np.uint64(8)) & (both[1:] - both[:-1] <= np.uint64(math.floor(-STEPS * math.log2(threshold)) + 1))
+    some = np.zeros(len(keys), bool)
+    some[order[1:][same]] = some[order[:-1][same]] = True
+    return some
+
+
+def _shared(threshold: float):
+    """Postings sorted by bucket: those whose gram another document of a size near enough has as well, in the same form without levels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 1):
+            keys, docs, places = _flat(group, "keys", np.uint32), _flat(group, "docs", np.uint16), _flat(group, "places", np.uint8)
+            batch = np.repeat(group["batch"].to_numpy(), [len(v) // 2 for v in group["docs"].to_pylist()])
+            kept = np.flatnonzero(common(keys, _flat(group, "levels", np.uint8), threshold))
+            kept = kept[np.argsort(batch[kept], kind="stable")]
+            yield from _packed([np.full(len(kept), group["bucket"][0].as_py(), np.int64), batch[kept]], [keys[kept], docs[kept], places[kept]], ["bucket", "batch", "keys", "docs", "places"])
+
+    return run
 
 
 def _listed(late: tuple[np.ndarray, np.ndarray]):
@@ -305,8 +323,11 @@ def _remembered(spread: int):
     return run
 
 
-def met(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, left: np.ndarray, before: np.ndarray, threshold: float, step: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of ids that share a key, unless they can't reach the threshold or have met at a key before. places are lower bounds; keys in order, ids of a key in any."""
+def met(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, left: np.ndarray, before: np.ndarray, threshold: float, step: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of ids that share a key, and the weight of that, unless they can't reach the threshold or have met at MEETS keys before. places are lower bounds; keys in order, ids of a key in any.
+
+    Weights of all keys come to MEETS at least for each pair of the threshold: its first MEETS common keys, or all that it needs, are never left out.
+    """
     change = np.ones(len(keys), bool)
     change[1:] = keys[1:] != keys[:-1]
     starts = np.flatnonzero(change)
@@ -321,20 +342,23 @@ def met(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray
         b = a + 1 + at - total[a]
         na, nb = sizes[a], sizes[b]
         need = needed(na, nb, threshold)
-        ok = (ids[a] != ids[b]) & (na >= threshold * nb) & (nb >= threshold * na) & (np.minimum(na - places[a], nb - places[b]) >= need)
-        # Grams in common are this one, others of both lists, and what follows the prefix that ends first.
-        ok &= 1 + np.minimum(left[a], left[b]) + np.maximum(rest[a], rest[b]) >= need
-        a, b = a[ok], b[ok]
+        ok = (ids[a] != ids[b]) & (na >= threshold * nb) & (nb >= threshold * na) & (MEETS - 1 + np.minimum(na - places[a], nb - places[b]) >= need)
+        # Grams in common are this one and fewer than MEETS before it, others of both lists, and what follows the prefix that ends first.
+        after = np.maximum(rest[a], rest[b])
+        ok &= MEETS + np.minimum(left[a], left[b]) + after >= need
+        a, b, lack = a[ok], b[ok], (need - after)[ok]
+        known = np.zeros(len(a), np.int8)
         for x in range(BEFORE):
             for y in range(BEFORE):
-                new = (before[a, x] != before[b, y]) | (before[a, x] == 0)
-                a, b = a[new], b[new]
+                known += (before[a, x] == before[b, y]) & (before[a, x] != 0)
+            new = known < MEETS
+            a, b, lack, known = a[new], b[new], lack[new], known[new]
         if len(a):
-            yield np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+            yield np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), -(-MEETS // np.clip(np.ceil(lack), 1, MEETS).astype(np.int64))
 
 
 def _meeting(threshold: float):
-    """Postings sorted by bucket give pairs of ids; a pair may come more than once."""
+    """Postings sorted by bucket give pairs of ids and weights; a pair may come more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 1):
@@ -344,8 +368,8 @@ def _meeting(threshold: float):
             # The least place that the 256ths stand for.
             places = -(-_flat(group, "places", np.uint8).astype(np.int64) * sizes // 256)
             order = np.argsort(keys, kind="stable")
-            for a, b in met(keys[order], ids[order], sizes[order], places[order], left[order], before[order], threshold):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for a, b, weight in met(keys[order], ids[order], sizes[order], places[order], left[order], before[order], threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(weight)], ["a", "b", "weight"])
 
     return run
 
@@ -384,6 +408,39 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, tile) sorted by id: of each 65,536 ids a row, with the lower bits and the tiles as bytes."""
+    for batch in batches:
+        ids, tiles = (batch.column(k).to_numpy() for k in range(2))
+        yield from _packed([ids >> 16], [(ids & 0xFFFF).astype(np.uint16), tiles], ["batch", "docs", "tiles"])
+
+
+def _sent(homes: dict[int, list[tuple[bytes, bytes]]]):
+    """Rows (id, ...) give one for each of their tiles, which comes first; rows without one go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = {k: (np.frombuffer(b"".join(d for d, _ in v), np.uint16), np.frombuffer(b"".join(t for _, t in v), np.int64)) for k, v in homes.items()}
+        orders = {k: np.argsort(d, kind="stable") for k, (d, _) in lists.items()}
+        lists = {k: (d[orders[k]], t[orders[k]]) for k, (d, t) in lists.items()}
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            for k in np.unique(own >> 16).tolist():
+                if k not in lists:
+                    continue
+                rows = np.flatnonzero(own >> 16 == k)
+                docs, tiles = lists[k]
+                low = (own[rows] & 0xFFFF).astype(np.uint16)
+                start = np.searchsorted(docs, low)
+                times = np.searchsorted(docs, low, "right") - start
+                at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - start, times)
+                rows = np.repeat(rows, times)
+                for x in range(0, len(rows), 256):
+                    part = batch.take(pa.array(rows[x : x + 256]))
+                    yield pa.RecordBatch.from_arrays([pa.array(tiles[at[x : x + 256]]), *part.columns], ["tile", *part.schema.names])
+
+    return run
+
+
 def _verify(threshold: float, forest: bool = False, look: bool = False):
     """Rows (tile, kind, a, b, rep, n, tokens) sorted by tile and kind, sets (0) before pairs (1), give verified pairs: those that an R-tree of the tile leaves, or, where few of a tile's sets have met, the bound of their points, are counted; with forest only those that connect what no earlier pair of the tile does, and others aren't looked at. With look the sets are 16 bits of each shared gram of the prefixes, so that counts can only be too high, and pairs stay whose common ones leave enough for the threshold."""
 
@@ -477,23 +534,32 @@ def _joined(docs: DataFrame, threshold: float, n: int, tile: int, forest: bool)
     late = often([r["tokens"] for r in sets.where(f"n between 1 and {SAMPLE_GRAMS}").where(drawn).select("tokens").collect()])
     spread = min(24, max(0, math.ceil(math.log2(max(grams_ or 1, 1) / POSTINGS)) - LOW_BITS))
     form = "bucket long, batch long, keys binary, docs binary, places binary"
-    posts = sets.where("n > 0").select("id", "n", "tokens").mapInArrow(trimmed(_postings(late, threshold, spread)), form)
-    shared = posts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_shared), form)
+    posts = sets.where("n > 0").select("id", "n", "tokens").mapInArrow(trimmed(_postings(late, threshold, spread)), f"{form}, levels binary")
+    shared = posts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_shared(threshold)), form)
     heads = classes.select(F.shiftright("id", 16).alias("batch"), F.lit(0).alias("kind"), F.expr("int(id & 65535)").alias("doc"), "n", F.lit(0).cast("long").alias("bucket"), *(F.lit(None).cast("binary").alias(c) for c in ("keys", "docs", "places")))
     both = heads.unionByName(shared.select("batch", F.lit(1).alias("kind"), F.lit(0).alias("doc"), F.lit(0).alias("n"), "bucket", "keys", "docs", "places"))
     lists = _stored(both.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(trimmed(_listed(late)), "id long, n int, tokens binary, places binary, short binary"), "jaccard-prefixes")
     known = lists.drop("short").mapInArrow(trimmed(_remembered(spread)), f"{form}, sizes binary, left binary, before binary")
-    pairs = _stored(known.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_meeting(threshold)), "a long, b long").distinct(), "jaccard-met")
+    meetings = known.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_meeting(threshold)), "a long, b long, weight long")
+    pairs = _stored(meetings.groupBy("a", "b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= MEETS).select("a", "b"), "jaccard-met")
 
     # What the prefixes have in common first: it leaves few pairs of unlike sets, and two bytes of each gram are enough.
     result = "a long, b long, rep_a long, rep_b long, jaccard double"
     placed = _placed(pairs, tile)
-    looked = _work(lists.select("id", "n", F.lit(0).cast("long").alias("rep"), F.col("short").alias("tokens")), placed).mapInArrow(trimmed(_verify(threshold, look=True)), result)
+    looked = _work(_ends(placed).join(lists.select("id", "n", F.lit(0).cast("long").alias("rep"), F.col("short").alias("tokens")), "id"), placed).mapInArrow(trimmed(_verify(threshold, look=True)), result)
     placed = _placed(_stored(looked.select("a", "b"), "jaccard-looked"), tile)
-    # The bodies are what is large: only those in a pair are exchanged. One bit a row, in maps of 8 KB, tells which.
-    maps = placed.select(F.col("a").alias("id")).union(placed.select("b")).distinct().repartition(F.shiftright("id", 16)).sortWithinPartitions("id").mapInArrow(_bits, "batch long, bits binary").collect()
-    bodies = sets.select("id", "n", F.col("doc_id").alias("rep"), "tokens").mapInArrow(_wanted({r["batch"]: bytes(r["bits"]) for r in maps}), "id long, n int, rep long, tokens binary")
-    near = _work(bodies, placed).mapInArrow(trimmed(_verify(threshold, forest)), result)
+    # The bodies are what is large: only those in a pair are exchanged, and once, unless the list of their tiles is long.
+    bodies, wanted = sets.select("id", "n", F.col("doc_id").alias("rep"), "tokens"), _stored(_ends(placed), "jaccard-ends")
+    if wanted.count() <= HOMES:
+        homes = defaultdict(list)
+        for r in wanted.select("id", "tile").repartition(F.shiftright("id", 16)).sortWithinPartitions("id").mapInArrow(_homes, "batch long, docs binary, tiles binary").collect():
+            homes[r["batch"]].append((bytes(r["docs"]), bytes(r["tiles"])))
+        work = _work(bodies.mapInArrow(trimmed(_sent(dict(homes))), "tile long, id long, n int, rep long, tokens binary"), placed)
+    else:
+        # One bit a row, in maps of 8 KB, tells which are in a pair.
+        maps = wanted.select("id").distinct().repartition(F.shiftright("id", 16)).sortWithinPartitions("id").mapInArrow(_bits, "batch long, bits binary").collect()
+        work = _work(wanted.join(bodies.mapInArrow(_wanted({r["batch"]: bytes(r["bits"]) for r in maps}), "id long, n int, rep long, tokens binary"), "id"), placed)
+    near = work.mapInArrow(trimmed(_verify(threshold, forest)), result)
     return sets, classes, _stored(near, "jaccard-near")
 
 
@@ -507,10 +573,14 @@ def _placed(pairs: DataFrame, tile: int) -> DataFrame:
     return _stored(led.join(many, "lead").select(F.xxhash64("lead", F.least(part("a"), part("b")), F.greatest(part("a"), part("b"))).alias("tile"), "a", "b"), "jaccard-pairs")
 
 
+def _ends(placed: DataFrame) -> DataFrame:
+    """(tile, id): the sets of each tile."""
+    return placed.select("tile", F.col("a").alias("id")).union(placed.select("tile", F.col("b").alias("id"))).distinct()
+
+
 def _work(bodies: DataFrame, placed: DataFrame) -> DataFrame:
-    """Bodies (id, n, rep, tokens) and pairs of each tile, as _verify takes them."""
-    wanted = placed.select("tile", F.col("a").alias("id")).union(placed.select("tile", F.col("b").alias("id"))).distinct()
-    bodies = wanted.join(bodies, "id").select("tile", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), "rep", "n", "tokens")
+    """Bodies (tile, id, n, rep, tokens) and pairs of each tile, as _verify takes them."""
+    bodies = bodies.select("tile", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), "rep", "n", "tokens")
     work = bodies.unionByName(placed.select("tile", F.lit(1).alias("kind"), "a", "b", F.lit(0).cast("long").alias("rep"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("tokens")))
     return work.repartition("tile").sortWithinPartitions("tile", "kind")
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import unicodedata
 
@@ -270,6 +271,51 @@ def test_no_pair_right_at_the_threshold_is_left_out(spark):
     assert rows[2000]["copy_of"] == rows[2000]["class_id"] == 0 and rows[1]["copy_of"] == 1
 
 
+def _rows_between(monkeypatch):
+    """Rows of the tables that the join writes between its steps, by name."""
+    rows, stored = {}, jaccard_rtree._stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_rtree, "_stored", counted)
+    return rows
+
+
+def test_sets_with_one_gram_in_common_do_not_meet(spark, monkeypatch):
+    """Each two of 60 sets share one gram of their 59, and none that no other has: only the planted near copies are looked at."""
+    rows = _rows_between(monkeypatch)
+    texts = [(i, " ".join(f"w{min(i, j)}x{max(i, j)}" for j in range(60) if j != i)) for i in range(60)]
+    texts += [(100 + i, " ".join([*texts[i][1].split()[:50], f"z{i}"])) for i in range(5)]
+    got = {tuple(r) for r in jaccard_rtree.jaccard_pairs(spark.createDataFrame(texts, "doc_id long, text string"), n=1).select("doc_id_a", "doc_id_b").collect()}
+    assert got == {(i, 100 + i) for i in range(5)} == set(_brute(texts, 0.5, 1))
+    assert rows["jaccard-met"] < 15
+
+
+def test_grams_shared_by_sets_of_unlike_sizes_are_not_listed(spark, monkeypatch):
+    rows = _rows_between(monkeypatch)
+    parts = [[f"w{k}x{i}" for i in range(10)] for k in range(20)]
+    texts = [(0, " ".join(w for p in parts for w in p)), *((k + 1, " ".join(p)) for k, p in enumerate(parts))]
+    assert jaccard_rtree.jaccard_pairs(spark.createDataFrame(texts, "doc_id long, text string"), n=1).count() == 0
+    assert rows["jaccard-prefixes"] == 0
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_no_pair_of_small_or_unlike_sets_is_left_out(spark, monkeypatch, threshold):
+    """Sets of 1 to 40 grams of few kinds, subsets among them; with 0.3 sets and tiles are joined, as beyond HOMES."""
+    if threshold == 0.3:
+        monkeypatch.setattr(jaccard_rtree, "HOMES", 0)
+    rng = np.random.default_rng(21)
+    sets = [rng.choice(120, int(rng.integers(1, 41)), replace=False) for _ in range(120)]
+    sets += [rng.permutation(s)[: max(1, math.ceil(len(s) * rng.uniform(threshold, 1)))] for s in sets]
+    texts = [(k, " ".join(f"w{x}" for x in s)) for k, s in enumerate(sets)]
+    pairs = jaccard_rtree.jaccard_pairs(spark.createDataFrame(texts, "doc_id long, text string"), threshold=threshold, n=1, tile=32)
+    got = {(r[0], r[1]) for r in jaccard_rtree.expand(pairs).collect()}
+    assert len(got) > 100 and got == set(_brute(texts, threshold, 1))
+
+
 def _unicode_words(text):
     """Words by Unicode's categories, character by character; Han, kana and Thai characters are words by themselves."""
     out, run = [], ""
