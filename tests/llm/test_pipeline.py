@@ -59,3 +59,21 @@ def test_entry_has_every_operator():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
+
+
+def test_near_copies_lists_no_grams_of_passages(spark, monkeypatch):
+    """Passages of a far longer text can't be its near copies: only a copy of one goes, and at most that text, as its copy shares its grams, is listed."""
+    from skeinlake.llm import jaccard_rtree
+
+    rows, stored = {}, jaccard_rtree._stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_rtree, "_stored", counted)
+    passages = [" ".join(f"w{k}x{i}" for i in range(12)) for k in range(20)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([" ".join(passages), *passages, passages[0]])], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == set(range(21))
+    assert rows["jaccard-prefixes"] <= 1
