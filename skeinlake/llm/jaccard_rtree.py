@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -38,6 +39,14 @@ LEAF, TILE = 16, 2048
 SAMPLE, SAMPLE_GRAMS, OFTEN = 12_000, 2000, 200_000
 #: Bits of a gram's hash that are kept (32 + 8), postings of a bucket, and shared grams that a posting remembers before itself.
 LOW_BITS, POSTINGS, BEFORE = 8, 2_000_000, 3
+#: Parts of the buckets whose postings are exchanged one after another: so much less of them is on disk at once.
+ROUNDS = 2
+#: Sets of at most so many grams take 5 bytes a gram, larger ones less.
+SHORT = 37
+#: Sets of a gram that are compared two by two before their postings are sent; those of a gram that more have are sent unseen.
+MATES = 16
+#: Columns of postings that are compressed; numbers of documents as differences.
+SMALL = ("docs", "places", "levels", "sizes", "left")
 #: Grams of the prefixes that a pair must have in common, if it needs that many to reach the threshold.
 MEETS = 2
 #: Steps of a doubling of sizes that postings tell apart, and (tile, set) rows that are sent to all tasks (10 bytes each): beyond, sets and rows are joined.
@@ -57,6 +66,23 @@ def _unpack(tokens) -> np.ndarray:
     return np.frombuffer(tokens, np.uint32, n).astype(np.uint64) << _LOW | np.frombuffer(tokens, np.uint8, n, 4 * n)
 
 
+def pack_set(keys: np.ndarray) -> bytes:
+    """Sorted gram hashes of 40 bits: their lower 32, and then the upper 8 as a bit for each gram and one for each step of these."""
+    if len(keys) <= SHORT:
+        return _pack(keys)
+    bits = np.zeros(len(keys) + 256, bool)
+    bits[(keys >> np.uint64(32)).astype(np.int64) + np.arange(len(keys))] = True
+    return keys.astype(np.uint32).tobytes() + np.packbits(bits).tobytes()
+
+
+def unpack_set(tokens) -> np.ndarray:
+    if len(tokens) <= 5 * SHORT:
+        return _unpack(tokens)
+    n = (len(tokens) - 32) * 8 // 33
+    upper = np.flatnonzero(np.unpackbits(np.frombuffer(tokens, np.uint8, offset=4 * n), count=n + 256)) - np.arange(n)
+    return upper.astype(np.uint64) << np.uint64(32) | np.frombuffer(tokens, np.uint32, n)
+
+
 def _sets(n: int):
     """Per document: a number of its own, gram count, set hash, a second one, sorted gram hashes; no grams for a text without words."""
 
@@ -72,7 +98,7 @@ def _sets(n: int):
                     sizes.append(len(whole))
                     sid.append((whole * (whole >> np.uint64(7) | np.uint64(1))).sum(dtype=np.uint64) ^ np.uint64(len(whole)))
                     check.append(mix(whole ^ _OTHER).sum(dtype=np.uint64))
-                    tokens.append(_pack(whole >> np.uint64(24)))
+                    tokens.append(pack_set(whole >> np.uint64(24)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.arange(number, number + j - i)), pa.array(sizes, pa.int32()), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(np.array(check, np.uint64).view(np.int64)), pa.array(tokens, pa.binary())], ["doc_id", "id", "n", "sid", "check", "tokens"])
                 number += j - i
 
@@ -186,7 +212,7 @@ def often(samples: list, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Grams that several of these sets have, sorted, and their ranks: the more sets, the later they come."""
     if not samples:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, counts = np.unique(np.concatenate([_unpack(t) for t in samples]), return_counts=True)
+    keys, counts = np.unique(np.concatenate([unpack_set(t) for t in samples]), return_counts=True)
     top = np.flatnonzero(counts >= least)
     top = np.sort(top[np.argsort(-counts[top], kind="stable")[:OFTEN]])
     return keys[top], counts[top].astype(np.int64)
@@ -200,20 +226,40 @@ def _ranks(keys: np.ndarray, late: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return np.where(late[0][at] == keys, late[1][at], 0)
 
 
-def _packed(head: list[np.ndarray], columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """A row for each run of equal heads of postings, with their columns as bytes."""
+def _small(values: np.ndarray, steps: bool = False) -> bytes:
+    """Integers compressed, first bytes first; with steps their differences."""
+    if steps:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return pa.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _whole(data: bytes, size: int, kind, steps: bool = False) -> np.ndarray:
+    """What _small() compressed."""
+    kind = np.dtype(kind)
+    planes = np.frombuffer(pa.decompress(data, size * kind.itemsize, "zstd", asbytes=True), np.uint8).reshape(kind.itemsize, size)
+    values = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if steps else values
+
+
+def _packed(head: list[np.ndarray], columns: list[np.ndarray], names: list[str], small: tuple[str, ...] = SMALL) -> Iterator[pa.RecordBatch]:
+    """A row for each run of equal heads of postings, with their columns as bytes, some compressed."""
     change = np.ones(len(head[0]), bool)
     change[1:] = np.any([h[1:] != h[:-1] for h in head], axis=0)
     starts = np.flatnonzero(change)
     if not len(starts):
         return
     edges = [*starts.tolist(), len(change)]
-    blobs = [pa.array([c[x:y].tobytes() for x, y in zip(edges, edges[1:])], pa.binary()) for c in columns]
+    blobs = [pa.array([_small(c[x:y], name == "docs") if name in small else c[x:y].tobytes() for x, y in zip(edges, edges[1:])], pa.binary()) for name, c in zip(names[len(head) :], columns)]
     yield pa.RecordBatch.from_arrays([*(pa.array(h[starts].astype(np.int64)) for h in head), *blobs], names)
 
 
 def _flat(group: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(v for v in group[name].to_pylist() if v is not None), kind)
+    """A column of the postings of these rows; a plain one is the same for all postings of a row."""
+    if kind is None:
+        return np.repeat(group[name].to_numpy(), [len(v) // 4 for v in group["keys"].to_pylist()])
+    if name in SMALL:
+        return np.concatenate([np.zeros(0, kind), *(_whole(v, len(k) // 4, kind, name == "docs") for v, k in zip(group[name].to_pylist(), group["keys"].to_pylist()))])
+    return np.frombuffer(b"".join(group[name].to_pylist()), kind)
 
 
 def _buckets(keys: np.ndarray, spread: int) -> np.ndarray:
@@ -221,24 +267,26 @@ def _buckets(keys: np.ndarray, spread: int) -> np.ndarray:
     return (keys & np.uint64((1 << LOW_BITS) - 1) | keys >> np.uint64(LOW_BITS + 32 - spread) << _LOW).astype(np.int64)
 
 
-def _postings(late: tuple[np.ndarray, np.ndarray], threshold: float, spread: int):
-    """Rows (id, n, tokens) give the prefixes' grams, packed by bucket and 65,536 documents: 32 bits, the document's, the place in 256ths of n, and n in STEPS of a doubling."""
+def _postings(late: tuple[np.ndarray, np.ndarray], threshold: float, spread: int, listed: dict[int, bytes], part: int = 0, parts: int = 1):
+    """Rows (id, n, tokens) whose bit is set in these maps give the prefixes' grams, of this part of the buckets, packed by bucket and 65,536 documents: 32 bits, the document's, the place in 256ths of n, and n in STEPS of a doubling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _wanted(listed)(batches):
             ids, sizes = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             ends = np.cumsum(sizes, dtype=np.int64)
             cut = 0
             while cut < len(ids):
                 stop = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + POSTINGS // 4, "right")))
                 n = sizes[cut:stop].astype(np.int64)
-                keys = np.concatenate([_unpack(batch.column(2)[k].as_buffer()) for k in range(cut, stop)])
+                keys = np.concatenate([unpack_set(batch.column(2)[k].as_buffer()) for k in range(cut, stop)])
                 doc = np.repeat(np.arange(stop - cut), n)
                 rank = _ranks(keys, late)
                 order = np.argsort(doc * (rank.max(initial=0) + 1) + rank, kind="stable")
                 place = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
                 keep = place < np.repeat(prefix(n, threshold), n)
                 keys, doc, place = keys[order][keep], doc[keep], place[keep]
+                own = keys % np.uint64(parts) == part
+                keys, doc, place = keys[own], doc[own], place[own]
                 q, bucket, own, level = place * 256 // n[doc], _buckets(keys, spread), ids[cut:stop][doc], np.floor(STEPS * np.log2(n))[doc]
                 order = np.lexsort((own >> 16, bucket))
                 yield from _packed([bucket[order], own[order] >> 16], [(keys[order] >> _LOW).astype(np.uint32), (own[order] & 0xFFFF).astype(np.uint16), q[order].astype(np.uint8), level[order].astype(np.uint8)], ["bucket", "batch", "keys", "docs", "places", "levels"])
@@ -259,22 +307,47 @@ def common(keys: np.ndarray, levels: np.ndarray, threshold: float) -> np.ndarray
     return some
 
 
+def useful(keys: np.ndarray, levels: np.ndarray, places: np.ndarray, threshold: float) -> np.ndarray:
+    """Marks postings at which some pair may be taken: what follows there in both sets, and fewer than MEETS grams before, is enough for the threshold. Of a gram that over MATES sets have all are marked."""
+    order = np.argsort(keys, kind="stable")
+    keys, level, part = keys[order], levels[order].astype(np.float64), threshold / (1 + threshold)
+    least, most = 2 ** (level / STEPS) * (1 - 1e-9), 2 ** ((level + 1) / STEPS) * (1 + 1e-9)
+    # The largest other set with which this one may reach the threshold.
+    over = 1 - places[order] / 256 - part
+    reach = np.minimum((MEETS - 1 + over * np.where(over > 0, most, least)) / part + 1e-6, most / threshold)
+    change = np.ones(len(keys), bool)
+    change[1:] = keys[1:] != keys[:-1]
+    size = np.diff(np.append(np.flatnonzero(change), len(keys)))
+    some = np.repeat(size > MATES, size)
+    a = np.flatnonzero(~some)
+    for step in range(1, MATES):
+        a = a[a + step < len(keys)]
+        a = a[keys[a] == keys[a + step]]
+        near = a[(least[a] <= reach[a + step]) & (least[a + step] <= reach[a])]
+        some[near] = some[near + step] = True
+    out = np.zeros(len(keys), bool)
+    out[order] = some
+    return out
+
+
 def _shared(threshold: float):
-    """Postings sorted by bucket: those whose gram another document of a size near enough has as well, in the same form without levels."""
+    """Postings sorted by bucket: those whose gram another document of a size near enough has as well, in the same form without levels, apart by whether they are useful."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 1):
-            keys, docs, places = _flat(group, "keys", np.uint32), _flat(group, "docs", np.uint16), _flat(group, "places", np.uint8)
-            batch = np.repeat(group["batch"].to_numpy(), [len(v) // 2 for v in group["docs"].to_pylist()])
-            kept = np.flatnonzero(common(keys, _flat(group, "levels", np.uint8), threshold))
-            kept = kept[np.argsort(batch[kept], kind="stable")]
-            yield from _packed([np.full(len(kept), group["bucket"][0].as_py(), np.int64), batch[kept]], [keys[kept], docs[kept], places[kept]], ["bucket", "batch", "keys", "docs", "places"])
+            keys, docs, places, levels = _flat(group, "keys", np.uint32), _flat(group, "docs", np.uint16), _flat(group, "places", np.uint8), _flat(group, "levels", np.uint8)
+            batch = _flat(group, "batch", None)
+            kept = np.flatnonzero(common(keys, levels, threshold))
+            use = np.zeros(len(keys), bool)
+            use[kept] = useful(keys[kept], levels[kept], places[kept], threshold)
+            kept = kept[np.lexsort((docs[kept], use[kept], batch[kept]))]
+            yield from _packed([np.full(len(kept), group["bucket"][0].as_py(), np.int64), batch[kept], use[kept]], [keys[kept], docs[kept], places[kept]], ["bucket", "batch", "use", "keys", "docs", "places"])
 
     return run
 
 
 def _listed(late: tuple[np.ndarray, np.ndarray]):
-    """Rows (batch, kind, doc, n, bucket, keys, docs, places) sorted by batch and kind, classes (0) before postings (1), give of each class the shared grams of its prefix, in order, and their places."""
+    """Rows (batch, kind, doc, n, bucket, use, keys, docs, places) sorted by batch and kind, classes (0) before postings (1), give of each class the shared grams of its prefix, in order, their places, and which are useful as bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 1):
@@ -285,22 +358,20 @@ def _listed(late: tuple[np.ndarray, np.ndarray]):
             if not posts.num_rows:
                 continue
             docs, places = _flat(posts, "docs", np.uint16), _flat(posts, "places", np.uint8)
-            bucket = np.repeat(posts["bucket"].to_numpy(), [len(v) // 2 for v in posts["docs"].to_pylist()])
+            bucket, use = _flat(posts, "bucket", None), _flat(posts, "use", None) > 0
             keys = _flat(posts, "keys", np.uint32).astype(np.uint64) << _LOW | bucket.astype(np.uint64) & np.uint64((1 << LOW_BITS) - 1)
-            some = size[docs] > 0
-            docs, places, keys = docs[some], places[some], keys[some]
             order = np.lexsort((keys, _ranks(keys, late), docs))
-            docs, places, keys = docs[order], places[order], keys[order]
+            docs, places, keys, use = docs[order], places[order], keys[order], use[order]
             own, starts = np.unique(docs, return_index=True)
             edges = [*starts.tolist(), len(docs)]
             ids = (group["batch"][0].as_py() << 16) + own.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size[own], pa.int32()), pa.array([_pack(keys[x:y]) for x, y in zip(edges, edges[1:])], pa.binary()), pa.array([places[x:y].tobytes() for x, y in zip(edges, edges[1:])], pa.binary()), pa.array([keys[x:y].astype(np.uint16).tobytes() for x, y in zip(edges, edges[1:])], pa.binary())], ["id", "n", "tokens", "places", "short"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size[own], pa.int32()), pa.array([_pack(keys[x:y]) for x, y in zip(edges, edges[1:])], pa.binary()), pa.array([places[x:y].tobytes() for x, y in zip(edges, edges[1:])], pa.binary()), pa.array([np.packbits(use[x:y]).tobytes() for x, y in zip(edges, edges[1:])], pa.binary()), pa.array([keys[x:y].astype(np.uint16).tobytes() for x, y in zip(edges, edges[1:])], pa.binary())], ["id", "n", "tokens", "places", "use", "short"])
 
     return run
 
 
 def _remembered(spread: int):
-    """Rows (id, n, tokens, places) give their postings by bucket, each with its set's size, how many shared grams follow, and those before it."""
+    """Rows (id, n, tokens, places, use) give their useful postings by bucket, each with its set's size, how many shared grams follow, and those before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,7 +388,8 @@ def _remembered(spread: int):
             # How many grams of its list come after each.
             left = np.concatenate([np.arange(len(k) - 1, -1, -1, dtype=np.int32) for k in lists])
             bucket, own = _buckets(keys, spread), ids[doc]
-            order = np.lexsort((own >> 16, bucket))
+            use = np.flatnonzero(np.concatenate([np.unpackbits(np.frombuffer(u, np.uint8), count=len(k)) for u, k in zip(batch.column(4).to_pylist(), lists)]))
+            order = use[np.lexsort((own[use] >> 16, bucket[use]))]
             yield from _packed([bucket[order], own[order] >> 16], [upper[order], (own[order] & 0xFFFF).astype(np.uint16), places[order], sizes[doc[order]].astype(np.int32), left[order], before[order]], ["bucket", "batch", "keys", "docs", "places", "sizes", "left", "before"])
 
     return run
@@ -364,7 +436,7 @@ def _meeting(threshold: float):
         for group in _groups(batches, 1):
             keys, docs = _flat(group, "keys", np.uint32), _flat(group, "docs", np.uint16)
             sizes, left, before = _flat(group, "sizes", np.int32).astype(np.int64), _flat(group, "left", np.int32), _flat(group, "before", np.uint32).reshape(-1, BEFORE)
-            ids = np.repeat(group["batch"].to_numpy(), [len(v) // 2 for v in group["docs"].to_pylist()]) << 16 | docs
+            ids = _flat(group, "batch", None) << 16 | docs
             # The least place that the 256ths stand for.
             places = -(-_flat(group, "places", np.uint8).astype(np.int64) * sizes // 256)
             order = np.argsort(keys, kind="stable")
@@ -378,14 +450,13 @@ def _wanted(ids: dict[int, bytes]):
     """Of rows whose first column is a document's number those whose bit is set in these maps of 65,536 each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps = {k: np.unpackbits(np.frombuffer(v, np.uint8)).astype(bool) for k, v in ids.items()}
         for batch in batches:
             own = batch.column(0).to_numpy()
             keep = np.zeros(len(own), bool)
             for k in np.unique(own >> 16).tolist():
-                if k in maps:
+                if k in ids:
                     of = own >> 16 == k
-                    keep[of] = maps[k][own[of] & 0xFFFF]
+                    keep[of] = np.unpackbits(np.frombuffer(ids[k], np.uint8))[own[of] & 0xFFFF] > 0
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
@@ -412,7 +483,7 @@ def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, tile) sorted by id: of each 65,536 ids a row, with the lower bits and the tiles as bytes."""
     for batch in batches:
         ids, tiles = (batch.column(k).to_numpy() for k in range(2))
-        yield from _packed([ids >> 16], [(ids & 0xFFFF).astype(np.uint16), tiles], ["batch", "docs", "tiles"])
+        yield from _packed([ids >> 16], [(ids & 0xFFFF).astype(np.uint16), tiles], ["batch", "docs", "tiles"], ())
 
 
 def _sent(homes: dict[int, list[tuple[bytes, bytes]]]):
@@ -460,7 +531,7 @@ def _verify(threshold: float, forest: bool = False, look: bool = False):
                             where[a_[k]] = len(reps)
                             reps.append(int(rep_[k]))
                             sizes.append(int(n_[k]))
-                            sets.append(np.frombuffer(tokens[k].as_buffer(), np.uint16) if look else _unpack(tokens[k].as_buffer()))
+                            sets.append(np.frombuffer(tokens[k].as_buffer(), np.uint16) if look else unpack_set(tokens[k].as_buffer()))
                     continue
                 if flat is None:
                     size_ = np.array([len(s) for s in sets])
@@ -534,20 +605,26 @@ def _joined(docs: DataFrame, threshold: float, n: int, tile: int, forest: bool)
     late = often([r["tokens"] for r in sets.where(f"n between 1 and {SAMPLE_GRAMS}").where(drawn).select("tokens").collect()])
     spread = min(24, max(0, math.ceil(math.log2(max(grams_ or 1, 1) / POSTINGS)) - LOW_BITS))
     form = "bucket long, batch long, keys binary, docs binary, places binary"
-    posts = sets.where("n > 0").select("id", "n", "tokens").mapInArrow(trimmed(_postings(late, threshold, spread)), f"{form}, levels binary")
-    shared = posts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_shared(threshold)), form)
-    heads = classes.select(F.shiftright("id", 16).alias("batch"), F.lit(0).alias("kind"), F.expr("int(id & 65535)").alias("doc"), "n", F.lit(0).cast("long").alias("bucket"), *(F.lit(None).cast("binary").alias(c) for c in ("keys", "docs", "places")))
-    both = heads.unionByName(shared.select("batch", F.lit(1).alias("kind"), F.lit(0).alias("doc"), F.lit(0).alias("n"), "bucket", "keys", "docs", "places"))
-    lists = _stored(both.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(trimmed(_listed(late)), "id long, n int, tokens binary, places binary, short binary"), "jaccard-prefixes")
+    # Of equal sets one is listed: grams that only they share lead to no other.
+    listed, shared = _maps(classes), []
+    for k in range(ROUNDS):
+        posts = sets.where("n > 0").select("id", "n", "tokens").mapInArrow(trimmed(_postings(late, threshold, spread, listed, k, ROUNDS)), f"{form}, levels binary")
+        shared.append(_stored(posts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_shared(threshold)), "bucket long, batch long, use long, keys binary, docs binary, places binary"), f"jaccard-shared-{k}"))
+    heads = classes.select(F.shiftright("id", 16).alias("batch"), F.lit(0).alias("kind"), F.expr("int(id & 65535)").alias("doc"), "n", *(F.lit(0).cast("long").alias(c) for c in ("bucket", "use")), *(F.lit(None).cast("binary").alias(c) for c in ("keys", "docs", "places")))
+    both = reduce(DataFrame.unionByName, [heads, *(x.select("batch", F.lit(1).alias("kind"), F.lit(0).alias("doc"), F.lit(0).alias("n"), "bucket", "use", "keys", "docs", "places") for x in shared)])
+    lists = _stored(both.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(trimmed(_listed(late)), "id long, n int, tokens binary, places binary, use binary, short binary"), "jaccard-prefixes")
+    _delete(*shared)
     known = lists.drop("short").mapInArrow(trimmed(_remembered(spread)), f"{form}, sizes binary, left binary, before binary")
     meetings = known.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_meeting(threshold)), "a long, b long, weight long")
     pairs = _stored(meetings.groupBy("a", "b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= MEETS).select("a", "b"), "jaccard-met")
 
     # What the prefixes have in common first: it leaves few pairs of unlike sets, and two bytes of each gram are enough.
     result = "a long, b long, rep_a long, rep_b long, jaccard double"
-    placed = _placed(pairs, tile)
-    looked = _work(_ends(placed).join(lists.select("id", "n", F.lit(0).cast("long").alias("rep"), F.col("short").alias("tokens")), "id"), placed).mapInArrow(trimmed(_verify(threshold, look=True)), result)
-    placed = _placed(_stored(looked.select("a", "b"), "jaccard-looked"), tile)
+    first = placed = _placed(pairs, tile)
+    looked = _stored(_work(_ends(placed).join(lists.select("id", "n", F.lit(0).cast("long").alias("rep"), F.col("short").alias("tokens")), "id"), placed).mapInArrow(trimmed(_verify(threshold, look=True)), result).select("a", "b"), "jaccard-looked")
+    _delete(lists, pairs, first)
+    placed = _placed(looked, tile)
+    _delete(looked)
     # The bodies are what is large: only those in a pair are exchanged, and once, unless the list of their tiles is long.
     bodies, wanted = sets.select("id", "n", F.col("doc_id").alias("rep"), "tokens"), _stored(_ends(placed), "jaccard-ends")
     if wanted.count() <= HOMES:
@@ -556,11 +633,16 @@ def _joined(docs: DataFrame, threshold: float, n: int, tile: int, forest: bool)
             homes[r["batch"]].append((bytes(r["docs"]), bytes(r["tiles"])))
         work = _work(bodies.mapInArrow(trimmed(_sent(dict(homes))), "tile long, id long, n int, rep long, tokens binary"), placed)
     else:
-        # One bit a row, in maps of 8 KB, tells which are in a pair.
-        maps = wanted.select("id").distinct().repartition(F.shiftright("id", 16)).sortWithinPartitions("id").mapInArrow(_bits, "batch long, bits binary").collect()
-        work = _work(wanted.join(bodies.mapInArrow(_wanted({r["batch"]: bytes(r["bits"]) for r in maps}), "id long, n int, rep long, tokens binary"), "id"), placed)
-    near = work.mapInArrow(trimmed(_verify(threshold, forest)), result)
-    return sets, classes, _stored(near, "jaccard-near")
+        work = _work(wanted.join(bodies.mapInArrow(_wanted(_maps(wanted)), "id long, n int, rep long, tokens binary"), "id"), placed)
+    near = _stored(work.mapInArrow(trimmed(_verify(threshold, forest)), result), "jaccard-near")
+    _delete(placed, wanted)
+    return sets, classes, near
+
+
+def _maps(rows: DataFrame) -> dict[int, bytes]:
+    """One bit a row, in maps of 8 KB for 65,536 of them, tells which ids there are."""
+    maps = rows.select("id").distinct().repartition(F.shiftright("id", 16)).sortWithinPartitions("id").mapInArrow(_bits, "batch long, bits binary").collect()
+    return {r["batch"]: bytes(r["bits"]) for r in maps}
 
 
 def _placed(pairs: DataFrame, tile: int) -> DataFrame:
@@ -596,6 +678,15 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
         conf.unset(key) if was is None else conf.set(key, was)
 
 
+def _delete(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later step reads."""
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            jvm = table.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent()
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, tile: int = TILE, forest: bool = False) -> DataFrame:
     """(doc_id_a, doc_id_b, jaccard), a < b: pairs of documents whose sets of word n-grams have at least this similarity.
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import re
 import unicodedata
 
@@ -316,6 +317,46 @@ def test_no_pair_of_small_or_unlike_sets_is_left_out(spark, monkeypatch, thresho
     assert len(got) > 100 and got == set(_brute(texts, threshold, 1))
 
 
+def test_what_a_posting_and_a_set_take():
+    """Sets come back as they were packed, in less than 5 bytes a gram; so do integers of few values."""
+    rng = np.random.default_rng(3)
+    for n in [0, 1, 36, 37, 38, 39, 45, 46, 400, 5000]:
+        keys = np.sort(rng.integers(0, 1 << 40, n, np.uint64))
+        packed = jaccard_rtree.pack_set(keys)
+        assert (jaccard_rtree.unpack_set(packed) == keys).all() and (n < 400 or len(packed) < 4.3 * n)
+    for keys in (np.zeros(50, np.uint64), np.full(50, (1 << 40) - 1, np.uint64)):
+        assert (jaccard_rtree.unpack_set(jaccard_rtree.pack_set(keys)) == keys).all()
+    for values in (np.zeros(0, np.uint16), rng.integers(0, 1 << 16, 99).astype(np.uint16), rng.integers(0, 1 << 31, 99).astype(np.int32), np.arange(300, dtype=np.uint16)):
+        for steps in (False, True):
+            assert (jaccard_rtree._whole(jaccard_rtree._small(values, steps), len(values), values.dtype, steps) == values).all()
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_postings_of_all_pairs_that_are_taken_are_useful(threshold):
+    """Against met(): both postings of each pair that it takes are marked, some others aren't."""
+    rng = np.random.default_rng(17)
+    sizes = rng.integers(2, 300, 4000)
+    places = np.array([rng.integers(0, p) for p in jaccard_rtree.prefix(sizes, threshold)])
+    keys, ids = np.sort(rng.integers(0, 1000, 4000)), np.arange(4000)
+    quarter = places * 256 // sizes
+    some = jaccard_rtree.useful(keys.astype(np.uint32), np.floor(jaccard_rtree.STEPS * np.log2(sizes)).astype(np.uint8), quarter.astype(np.uint8), threshold)
+    none, many = np.zeros((4000, jaccard_rtree.BEFORE), np.uint32), np.full(4000, 1000)
+    taken = {int(x) for a, b, _ in jaccard_rtree.met(keys, ids, sizes, -(-quarter * sizes // 256), many, none, threshold) for x in (*a, *b)}
+    assert taken and taken <= set(np.flatnonzero(some).tolist()) and not some.all()
+
+
+def test_grams_of_equal_sets_alone_are_not_listed_and_tables_go(spark, monkeypatch):
+    """Copies share all their grams, which lead to no other set. What no later step reads isn't kept."""
+    rows = _rows_between(monkeypatch)
+    shared = lambda: set(os.listdir(common.shared_dir(spark).removeprefix("file://")))
+    before = shared()
+    texts = [(10 * k + c, " ".join(f"w{k}x{i}" for i in range(60))) for k in range(5) for c in range(3)]
+    pairs = jaccard_rtree.jaccard_pairs(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {x.rsplit("-", 1)[0] for x in shared() - before if x.startswith("jaccard-")} == {"jaccard-sets", "jaccard-classes", "jaccard-near"}
+    assert {(r[0], r[1]) for r in pairs.collect()} == {(10 * k, 10 * k + c) for k in range(5) for c in (1, 2)}
+    assert rows["jaccard-prefixes"] == 0
+
+
 def _unicode_words(text):
     """Words by Unicode's categories, character by character; Han, kana and Thai characters are words by themselves."""
     out, run = [], ""
