@@ -30,20 +30,22 @@ def sessions(calls: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -
 
 
 def _changes(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    out = []
-    for pdf in frames:
-        for row in pdf.sort_values(["ts", "event_id"]).itertuples():
-            if last is not None and row.status != last:
-                out.append((row.event_id, key[0], row.status, last))
-            last = row.status
+    """Frames are cut at Arrow's batch size, in no order of time: a service's rows of a batch are sorted as one."""
+    rows = pd.concat(frames).sort_values(["ts", "event_id"])
+    before = rows["status"].shift()
+    if state.exists:
+        before.iloc[0] = state.get[0]
+    changed = before.notna() & rows["status"].notna() & (before != rows["status"])
+    last = rows["status"].iloc[-1]
     if last is not None:
         state.update((last,))
-    yield pd.DataFrame(out, columns=["event_id", "service", "status", "before"])
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame({"event_id": rows["event_id"], "service": key[0], "status": rows["status"], "before": before})[changed]
 
 
 def status_changes(events: DataFrame) -> DataFrame:
-    """(event_id, service, status, before) whenever a service's status changes; state is the last status of each service. Within a batch events are ordered by time; across batches as they come."""
+    """(event_id, service, status, before) whenever a service's status changes; state is the last status of each service. Within a batch events are ordered by time; across batches as they come. A task holds one service's rows of a batch at once."""
     return events.select("event_id", "service", "status", "ts").groupBy("service").applyInPandasWithState(_changes, "event_id long, service long, status string, before string", "last string", "append", "NoTimeout")
 
 

@@ -49,3 +49,21 @@ def test_appended_snapshots_are_written_once(spark, tmp_path):
     stats.append_snapshots(snapshots(), out, at).awaitTermination()
     stats.append_snapshots(snapshots(), out, at).awaitTermination()
     assert sorted(r["call_id"] for r in spark.read.json(out).collect()) == [1, 2]
+
+
+def test_status_changes_over_frames(spark, tmp_path):
+    """A service's rows come in several frames, later ones first in time."""
+    src, n = str(tmp_path / "in"), 40
+    _drop(spark, src, "a", [(k, "ab"[k // 2 % 2], k // 60, k % 60, service) for k in reversed(range(n)) for service in (7, 8)] + [(99, None, 1, 0, 8)])
+    _drop(spark, src, "b", [(100, "a", 2, 0, 7), (101, "a", 2, 0, 8)])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        events = _read(spark, src).selectExpr("call_id as event_id", "service", "tool as status", "ts")
+        q = stats.status_changes(events).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = [(k, service, "ab"[k // 2 % 2], "ba"[k // 2 % 2]) for k in range(2, n, 2) for service in (7, 8)]
+    assert got == sorted([*want, (100, 7, "a", "b")])
