@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import held_by, measured, settled
+from ..plans.tables import Sought, held_by, measured, settled
 
 
 def neighbours(edges: DataFrame, node: str) -> DataFrame:
@@ -164,30 +164,51 @@ def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
+def pairs_back(vertices: DataFrame, edges: DataFrame, kept: str, at: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What steps against the edges from some nodes (id) are made of, or from all: the pairs (src, dst, kept, pos) of edges to them, each with the first edge's value; the pairs the other way; the vertices stepped to.
+
+    Edges are filtered by the nodes before they're grouped, so a few nodes cost a scan, without an exchange of all edges.
+    """
+    first = lambda e: e.groupBy("src", "dst").agg(F.min_by(kept, "pos").alias(kept), F.min("pos").alias("pos"))
+    if at is None:
+        pairs = settled(first(edges), "back-pairs")
+        return pairs, pairs, vertices
+    at = F.broadcast(at.select(F.col("id").alias("_at")))
+    pairs = settled(first(edges.join(at, F.col("dst") == F.col("_at"), "left_semi")), "back-pairs")
+    to = pairs.select(F.col("src").alias("_to"))
+    ahead = first(edges.join(at, F.col("src") == F.col("_at"), "left_semi").join(to, F.col("dst") == F.col("_to"), "left_semi"))
+    return pairs, ahead, vertices.join(to, F.col("id") == F.col("_to"), "left_semi")
+
+
 def weighted_impact(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, start: float = 1.0, decay: float = 0.85, floor: float = 0.05, reverse_weight: bool = False) -> DataFrame:
     """(id, score): the best product of weight, importance and decay on a way against the edges, as long as it is at least the floor.
 
     The weight is that of the first edge in the forward direction, 1 without one; reverse_weight takes that of the edge walked.
-    A round writes the scores that rose, and ends when none did. A factor above 1 on a cycle would never end, and raises.
+    A round writes the scores that rose, and ends when none did. A factor above 1 on a cycle would never end: once a score rises by one, a graph with cycles raises.
     """
-    plain = settled(edges.groupBy("src", "dst").agg(F.min_by("weight", "pos").alias("w")), "impact-pairs")
-    first = plain.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), "w")
-    steps = plain.select(F.col("dst").alias("at"), F.col("src").alias("to"))
-    on = (F.col("at") == F.col("_d")) & (F.col("to") == F.col("_s")) if reverse_weight else (F.col("at") == F.col("_s")) & (F.col("to") == F.col("_d"))
-    imp = vertices.select(F.col("id").alias("to"), "importance")
-    steps, most = measured(steps.join(first, on, "left").join(imp, "to", "left").select("at", "to", (F.coalesce("w", F.lit(1.0)) * F.coalesce("importance", F.lit(0.5)) * decay).alias("factor")), "impact-steps", factor=F.max("factor"))
-    if (most["factor"] or 0.0) > 1.0 and not on_cycles(steps.select(F.col("at").alias("src"), F.col("to").alias("dst"))).isEmpty():
-        raise ValueError("a factor above 1 on a graph with cycles: scores would rise without end")
-    steps = held_by(steps, "at")
-    frontier = settled(seeds.select("id").distinct().withColumn("score", F.lit(start)), "impact-0")
+
+    def factors(at: DataFrame | None) -> DataFrame:
+        pairs, ahead, known = pairs_back(vertices, edges, "weight", at)
+        first = (pairs if reverse_weight else ahead).select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("weight").alias("w"))
+        on = (F.col("at") == F.col("_d")) & (F.col("to") == F.col("_s")) if reverse_weight else (F.col("at") == F.col("_s")) & (F.col("to") == F.col("_d"))
+        imp = known.select(F.col("id").alias("to"), "importance")
+        return pairs.select(F.col("dst").alias("at"), F.col("src").alias("to")).join(first, on, "left").join(imp, "to", "left").select("at", "to", (F.coalesce("w", F.lit(1.0)) * F.coalesce("importance", F.lit(0.5)) * decay).alias("factor"))
+
+    steps, acyclic = Sought(factors, "at", "impact-steps"), False
+    frontier, found = measured(seeds.select("id").distinct().withColumn("score", F.lit(start)), "impact-0")
     best, k = frontier, 0
     while True:
         k += 1
-        new = steps.meets(frontier, "id").select(F.col("to").alias("id"), (F.col("score") * F.col("factor")).alias("score")).where(F.col("score") >= floor).groupBy("id").agg(F.max("score").alias("score"))
+        new = steps.meets(frontier, "id", found["n"]).select(F.col("to").alias("id"), (F.col("score") * F.col("factor")).alias("score"), "factor").where(F.col("score") >= floor).groupBy("id").agg(F.max("score").alias("score"), F.max("factor").alias("factor"))
         old = best.groupBy("id").agg(F.max("score").alias("old"))
-        frontier, found = measured(new.join(old, "id", "left").where("old is null or score > old").select("id", "score"), f"impact-{k}")
+        frontier, found = measured(new.join(old, "id", "left").where("old is null or score > old").select("id", "score", "factor"), f"impact-{k}", factor=F.max("factor"))
         if not found["n"]:
             break
+        if (found["factor"] or 0.0) > 1.0 and not acyclic:
+            acyclic = on_cycles(edges.select("src", "dst")).isEmpty()
+            if not acyclic:
+                raise ValueError("a factor above 1 on a graph with cycles: scores would rise without end")
+        frontier = frontier.select("id", "score")
         best = best.unionByName(frontier)
     steps.unpersist()
     return best.groupBy("id").agg(F.max("score").alias("score"))

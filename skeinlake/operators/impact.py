@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lookups import EDGE_FACTORS, NO_EDGE_FACTOR, TYPE_FACTORS, case
-from ..plans.tables import held_by, measured, settled
+from ..plans.tables import Sought, measured, settled
+from .graph import pairs_back
 
 
 def edge_factor(edge_type: Column, default: float | None = None) -> Column:
     return case(edge_type, EDGE_FACTORS, default)
 
 
-def steps_back(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(at, to, pos, factor, importance, type_factor): from a node to each that depends on it. The factor is of the first edge at -> to, else of the first to -> at."""
-    first = settled(edges.groupBy("src", "dst").agg(F.min_by("edge_type", "pos").alias("edge_type"), F.min("pos").alias("pos")), "steps-pairs")
-    back = first.select(F.col("dst").alias("at"), F.col("src").alias("to"), "pos", F.col("edge_type").alias("back_type"))
-    ahead = first.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("edge_type").alias("ahead_type"))
-    v = vertices.select(F.col("id").alias("_id"), "importance", case(F.col("node_type"), TYPE_FACTORS, 1.0).alias("type_factor"))
+def steps_back(vertices: DataFrame, edges: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """(at, to, pos, factor, weight): from a node to each that depends on it; from the nodes (id) of `at`, or from all. The factor is of the first edge at -> to, else of the first to -> at."""
+    pairs, ahead, known = pairs_back(vertices, edges, "edge_type", at)
+    back = pairs.select(F.col("dst").alias("at"), F.col("src").alias("to"), "pos", F.col("edge_type").alias("back_type"))
+    ahead = ahead.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("edge_type").alias("ahead_type"))
+    v = known.select(F.col("id").alias("_id"), "importance", case(F.col("node_type"), TYPE_FACTORS, 1.0).alias("type_factor"))
     return (
         back.join(ahead, (F.col("at") == F.col("_s")) & (F.col("to") == F.col("_d")), "left").join(v, F.col("to") == F.col("_id"), "left")
         .select("at", "to", "pos", F.coalesce(edge_factor(F.col("ahead_type")), edge_factor(F.col("back_type")), F.lit(NO_EDGE_FACTOR)).alias("factor"), F.when(F.col("_id").isNull(), F.lit(0.5)).otherwise(F.col("importance") * F.col("type_factor")).alias("weight"))
@@ -46,14 +47,14 @@ def propagate(vertices: DataFrame, edges: DataFrame, sources: DataFrame, depth:
     Level by level; of several ways to a node at one level the first counts, by the order in which its parents were found and
     then the edges' order. A node that scores too little isn't seen, so a later level may still reach it.
     """
-    steps = held_by(settled(steps_back(vertices, edges), "propagate-steps"), "at")
+    steps = Sought(lambda at: steps_back(vertices, edges, at), "at", "propagate-steps")
     known = sources.select("id").distinct().join(vertices.select("id"), "id", "left_semi")
     # The order of discovery as a list of edge positions: lists compare as the visits came, without numbering all rows in one task.
-    level = settled(known.select("id", F.lit(1.0).alias("score"), F.lit(0).alias("depth"), F.array(F.lit(0).cast("long")).alias("found")), "propagate-0")
+    level, got = measured(known.select("id", F.lit(1.0).alias("score"), F.lit(0).alias("depth"), F.array(F.lit(0).cast("long")).alias("found")), "propagate-0")
     seen, out = level.select("id"), level.where("false")
     for d in range(1, depth + 1):
         score = F.col("score") * F.lit(0.8**d) * F.col("factor") * F.col("weight")
-        near = steps.meets(level, "id").select(F.col("to").alias("id"), score.alias("score"), F.lit(d).alias("depth"), F.concat("found", F.array("pos")).alias("found"), F.col("at")).where(F.col("score") > least).join(seen, "id", "left_anti")
+        near = steps.meets(level, "id", got["n"]).select(F.col("to").alias("id"), score.alias("score"), F.lit(d).alias("depth"), F.concat("found", F.array("pos")).alias("found"), F.col("at")).where(F.col("score") > least).join(seen, "id", "left_anti")
         pick = F.row_number().over(Window.partitionBy("id").orderBy("found", "at"))
         level, got = measured(near.withColumn("_k", pick).where("_k = 1").select("id", "score", "depth", "found"), f"propagate-{d}")
         if not got["n"]:
@@ -78,16 +79,17 @@ def adjusted_radius(base: Column, avg: Column, depth: Column) -> Column:
 
 def critical_paths(vertices: DataFrame, edges: DataFrame, sources: DataFrame, impacts: DataFrame, depth: int = 3, targets: int = 5, least: float = 0.8, keep: int = 5) -> DataFrame:
     """(source, target, path, weight): shortest ways to the best-scored nodes, of fewer hops than depth; the product of factors times 0.9 for each hop, above the least, the heaviest few."""
-    steps = settled(steps_back(vertices, edges).select("at", "to", "factor"), "critical-steps")
+    steps = Sought(lambda at: steps_back(vertices, edges, at).select(F.col("at").alias("_at"), "to", "factor"), "_at", "critical-steps")
     best = impacts.orderBy(F.desc("score"), "id").limit(targets).select(F.col("id").alias("target"))
-    level = sources.select(F.col("id").alias("source"), F.col("id").alias("at"), F.array("id").alias("path"), F.lit(1.0).alias("weight"))
+    level, got = measured(sources.select(F.col("id").alias("source"), F.col("id").alias("at"), F.array("id").alias("path"), F.lit(1.0).alias("weight")), "critical-0")
     seen, found = level.select("source", "at"), None
     for d in range(1, depth):
-        near = level.join(steps, "at").select("source", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), (F.col("weight") * F.col("factor") * 0.9).alias("weight")).join(seen, ["source", "at"], "left_anti")
-        level = settled(near.withColumn("_k", F.row_number().over(Window.partitionBy("source", "at").orderBy("path"))).where("_k = 1").drop("_k"), f"critical-{d}")
+        near = steps.meets(level, "at", got["n"]).select("source", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), (F.col("weight") * F.col("factor") * 0.9).alias("weight")).join(seen, ["source", "at"], "left_anti")
+        level, got = measured(near.withColumn("_k", F.row_number().over(Window.partitionBy("source", "at").orderBy("path"))).where("_k = 1").drop("_k"), f"critical-{d}")
         seen = seen.unionByName(level.select("source", "at"))
         hit = level.join(F.broadcast(best), F.col("at") == F.col("target")).select("source", "target", "path", "weight")
         found = hit if found is None else found.unionByName(hit)
+    steps.unpersist()
     return found.where(F.col("weight") > least).orderBy(F.desc("weight"), "source", "target").limit(keep)
 
 

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one key that a task takes at most when a held table is joined.
 HEAVY = 1_000_000
+#: Rows of a round, and rounds, up to which what they meet is sought in the source alone.
+NARROW, ROUNDS = 100_000, 12
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -85,3 +88,28 @@ def held_by(df: DataFrame, key: str, most: int = HEAVY) -> Held:
     spread = spread.repartition(n, key, "_slice").persist(StorageLevel.MEMORY_AND_DISK)
     held.unpersist()
     return Held(spread, key, heavy)
+
+
+@dataclass
+class Sought:
+    """A table that an iteration joins by one key each round, made for a round's keys alone while these are few: make(keys) has the rows of the keys (id), make(None) all. These are made and held once a round is wide, or rounds are many."""
+
+    make: Callable[[DataFrame | None], DataFrame]
+    key: str
+    name: str
+    held: Held | None = None
+    rounds: int = 0
+
+    def meets(self, other: DataFrame, column: str, n: int) -> DataFrame:
+        """Its join with other, a settled table of n rows, key = column."""
+        self.rounds += 1
+        if self.held is None and (n > NARROW or self.rounds > ROUNDS):
+            self.held = held_by(settled(self.make(None), self.name), self.key)
+        if self.held is not None:
+            return self.held.meets(other, column)
+        some = self.make(other.select(F.col(column).alias("id")).distinct())
+        return some.join(other, some[self.key] == other[column])
+
+    def unpersist(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()

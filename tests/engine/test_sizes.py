@@ -1,9 +1,13 @@
 """What small tables don't show: budgets that are reached, batches that are cut, frontiers and hubs beyond a limit."""
 
+import random
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 from skeinlake.catalog.all import QUERIES
+from skeinlake.operators import graph, impact
+from skeinlake.plans import tables
 
 
 def test_sections_beyond_the_budget(spark, tmp_path):
@@ -14,3 +18,36 @@ def test_sections_beyond_the_budget(spark, tmp_path):
     # Equal ranks, so the ids decide; the host's is the lowest.
     assert sorted(top) == sorted(f"page:{k}" for k in range(n))[:200]
     assert ("statistics", "n_nodes", n + 1.0) in rows and ("communities", "host:one.example > page:0", n + 1.0) in rows
+
+
+def _graph(spark):
+    """A random graph with hubs, pairs both ways and parallel edges, and ends that are no vertices."""
+    draw = random.Random(5)
+    edges = [(f"n{min(draw.randrange(60), draw.randrange(60))}", f"n{draw.randrange(60)}", draw.choice(["Calls", "Imports", "Contains"]), draw.choice([0.5, 0.8, 1.0]), k) for k in range(260)]
+    v = [(f"n{k}", draw.choice(["Function", "Class", "File"]), draw.choice([0.5, 0.8, 1.0])) for k in range(57)]
+    return spark.createDataFrame(v, "id string, node_type string, importance double"), spark.createDataFrame(edges, "src string, dst string, edge_type string, weight double, pos long")
+
+
+def test_steps_of_a_level_alone_give_what_all_steps_give(spark, monkeypatch):
+    v, e = _graph(spark)
+    seeds = v.where("id in ('n3', 'n41')")
+
+    def rows():
+        found = impact.propagate(v, e, seeds)
+        out = [found, impact.critical_paths(v, e, seeds, found, least=0.1), graph.weighted_impact(v, e, seeds), graph.weighted_impact(v, e, seeds, reverse_weight=True)]
+        return [sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr) for df in out]
+
+    narrow = rows()
+    monkeypatch.setattr(tables, "NARROW", 0)
+    assert narrow == rows() and len(narrow[0]) > 10
+    monkeypatch.setattr(tables, "NARROW", 100)
+    monkeypatch.setattr(tables, "ROUNDS", 1)
+    assert narrow == rows()
+
+
+def test_steps_of_a_level_read_its_own_edges(spark):
+    v, e = _graph(spark)
+    at = v.where("id in ('n3', 'n41')").select("id")
+    pairs, ahead, known = graph.pairs_back(v, e, "edge_type", at)
+    assert pairs.count() < 60 and pairs.where("dst not in ('n3', 'n41')").isEmpty() and ahead.where("src not in ('n3', 'n41')").isEmpty()
+    assert sorted(map(tuple, impact.steps_back(v, e, at).collect())) == sorted(map(tuple, impact.steps_back(v, e).where("at in ('n3', 'n41')").collect()))
