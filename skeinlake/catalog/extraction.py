@@ -123,14 +123,14 @@ _held = json.loads((_samples / "expected.json").read_text())
 _at = "'src/' || p_partkey || '/' || f"
 
 
-def _scanned(i):
-    """One of the files for each part."""
+def _scanned(i, *kinds):
+    """One of the files for each part: rows of these kinds."""
     content = F.get(F.array(*[F.lit((_samples / f"{f}.txt").read_text()) for f in _files]), F.col("k"))
     name = F.get(F.array(*[F.lit(f) for f in _files]), F.col("k"))
     # The numbers of a small table lie in one partition, and what is made of them is scanned by as many tasks.
     spread = i.table("part").select("p_partkey").repartition(int(i.spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     parts = spread.select("p_partkey", (F.col("p_partkey") % 8).cast("int").alias("k"))
-    return scan.structure(parts.select(F.concat_ws("/", F.lit("src"), F.col("p_partkey").cast("string"), name).alias("path"), content.alias("content")))
+    return scan.structure(parts.select(F.concat_ws("/", F.lit("src"), F.col("p_partkey").cast("string"), name).alias("path"), content.alias("content")), *kinds)
 
 
 def _sql(v):
@@ -147,27 +147,27 @@ def _expected(kind, columns):
 
 @query("x01_parse", f"SELECT {_at} AS path, kind, count(*) AS n FROM (SELECT k, f, 'function' AS kind FROM (VALUES {', '.join(f'({_files.index(f)}, {_sql(f)})' for f, h in _held.items() for _ in h['function'])}) a(k, f) UNION ALL SELECT k, f, 'class' FROM (VALUES {', '.join(f'({_files.index(f)}, {_sql(f)})' for f, h in _held.items() for _ in h['class'])}) a(k, f)) h JOIN part ON p_partkey % 8 = h.k GROUP BY ALL")
 def x01p(i):
-    return _scanned(i).where("kind in ('function', 'class')").groupBy("path", "kind").agg(F.count("*").alias("n"))
+    return _scanned(i, "function", "class").groupBy("path", "kind").agg(F.count("*").alias("n"))
 
 
 @query("x02_code", f"SELECT {_at} AS path, name, parameters, return_type, visibility, is_async, line_start, line_end FROM {_expected('function', 'name, parameters, return_type, visibility, is_async, line_start, line_end')}")
 def x02c(i):
-    return scan.functions(_scanned(i)).drop("language")
+    return scan.functions(_scanned(i, "function")).drop("language")
 
 
 @query("x03_code", f"SELECT {_at} AS path, name, extends, implements, line_start, line_end FROM {_expected('class', 'name, extends, implements, line_start, line_end')}")
 def x03c(i):
-    return scan.classes(_scanned(i)).drop("language")
+    return scan.classes(_scanned(i, "class")).drop("language")
 
 
 @query("x04_code", f"SELECT {_at} AS path, callee, is_method, line FROM {_expected('call', 'callee, is_method, line')}")
 def x04c(i):
-    return scan.calls(_scanned(i)).select("path", "callee", "is_method", "line")
+    return scan.calls(_scanned(i, "call")).select("path", "callee", "is_method", "line")
 
 
 @query("x05_code", f"SELECT {_at} AS path, text, is_doc, line FROM {_expected('comment', 'text, is_doc, line')}")
 def x05c(i):
-    return scan.comments(_scanned(i)).select("path", "text", "is_doc", "line")
+    return scan.comments(_scanned(i, "comment")).select("path", "text", "is_doc", "line")
 
 
 @query("x10_rules", "SELECT * FROM (VALUES ('rust', 4), ('python', 4), ('javascript', 4), ('typescript', 4), ('java', 4), ('go', 4), ('c', 4), ('cpp', 4)) r(language, patterns)")

@@ -63,3 +63,26 @@ def test_structure_of_odd_tables(spark):
     got = scan.structure(spark.createDataFrame(rows, "path string, content string"))
     assert sorted((r["path"], r["name"]) for r in scan.functions(got).collect()) == [("a.py", "f"), ("a.py", "f")]
     assert scan.structure(spark.createDataFrame([], "path string, content string")).count() == 0
+
+
+@pytest.mark.parametrize("file", sorted(HELD))
+def test_a_kind_alone_gives_its_rows(file, monkeypatch):
+    language, text = LANGUAGE[file.split(".")[1]], (SAMPLES / f"{file}.txt").read_text()
+    rows = list(scan.scanned("p", language, text))
+    for kind in scan.KINDS:
+        assert list(scan.scanned("p", language, text, frozenset([kind]))) == [r for r in rows if r[2] == kind]
+    # Comments need no brackets, heads or calls.
+    monkeypatch.setattr(scan, "_code", None)
+    assert list(scan.scanned("p", language, text, frozenset(["comment"]))) == [r for r in rows if r[2] == "comment"]
+
+
+def test_rows_of_many_files_come_in_one_batch():
+    import pyarrow as pa
+
+    files = pa.RecordBatch.from_arrays([pa.array(["a.py"] * 50), pa.array(["python"] * 50), pa.array(["def f(): pass"] * 50)], ["path", "language", "content"])
+    assert [b.num_rows for b in scan._run([files])] == [50]
+
+
+def test_what_stands_before_a_call():
+    calls = lambda text, language="javascript": [(r[3], r[12]) for r in scan.scanned("p", language, text) if r[2] == "call"]
+    assert calls("a . b(c)\n.d(e); new\nF(g); new a.F(); h(newf(i)); x\n::y(); p->q(); é_z(1); 1w()") == [("b", True), ("d", True), ("h", False), ("newf", False), ("y", True), ("q", True), ("_z", False), ("w", False)]
