@@ -6,10 +6,14 @@ the shared folder, so plans stay short and executors may be lost.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import Sought, held_by, measured, settled
+from ..plans.tables import HEAVY, Sought, held_by, measured, settled
+
+#: Pairs in a partition of links at most, unless a node has more.
+PAIRS = 10_000_000
 
 
 def neighbours(edges: DataFrame, node: str) -> DataFrame:
@@ -214,51 +218,84 @@ def weighted_impact(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, sta
     return best.groupBy("id").agg(F.max("score").alias("score"))
 
 
+def linked(nodes: DataFrame, pairs: DataFrame, *values: str) -> tuple[DataFrame, int]:
+    """(n, _slice, links): for each node the nodes that its pairs (src, dst, values) lead to, by number (nodes: id, n), and how many partitions these rows are in; ends that are no nodes are left out.
+
+    Rounds then exchange numbers in place of ids and neither sort nor exchange pairs. A node of over HEAVY pairs, a hub, has
+    several rows. Partitions are as few as cores, so that what is summed before an exchange is summed over many pairs, but of
+    PAIRS at most.
+    """
+    a, b = nodes.select(F.col("id").alias("src"), "n"), nodes.select(F.col("id").alias("dst"), F.col("n").alias("to"))
+    numbered, found = measured(pairs.join(a, "src").join(b, "dst").select("n", "to", *values), "links")
+    counts = numbered.groupBy("n").agg(F.count("*").alias("_n")).where(F.col("_n") > HEAVY)
+    heavy, hubs = measured(counts.select(F.col("n").alias("_heavy"), F.ceil(F.col("_n") / HEAVY).alias("_slices")), "heavy")
+    part = F.lit(0).cast("long")
+    if hubs["n"]:
+        numbered = numbered.join(F.broadcast(heavy), F.col("n") == F.col("_heavy"), "left")
+        part = F.coalesce(F.pmod(F.xxhash64("to"), F.col("_slices")), F.lit(0).cast("long"))
+    partitions = max(numbered.sparkSession.sparkContext.defaultParallelism, -(-found["n"] // PAIRS))
+    rows = numbered.withColumn("_slice", part).groupBy("n", "_slice").agg(F.collect_list(F.struct("to", *values)).alias("links"))
+    return settled(rows.repartition(partitions, "n"), "linked"), partitions
+
+
+def numbers(vertices: DataFrame) -> tuple[DataFrame, int]:
+    """(id, n): the distinct ids, each with a number, in the order of the ids; and how many there are."""
+    nodes, found = measured(vertices.select("id").distinct().orderBy("id").withColumn("n", F.monotonically_increasing_id()), "numbers")
+    return nodes, found["n"]
+
+
 def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
     """(id, pagerank): one term for each edge row, weighted by the first row of its pair, by the source's number of rows; what dangling nodes hold is spread evenly. Weights below 1 lose mass, and ranks aren't normalised again.
 
     From the second round on it ends as soon as ranks change by less than the tolerance in sum. A round is one write: how far
     ranks moved and what dangling nodes hold are summed on the way.
     """
-    pair = settled(edges.groupBy("src", "dst").agg(F.count("*").alias("rows"), F.min_by("weight", "pos").alias("w")), "pagerank-pairs")
-    out = pair.groupBy("src").agg(F.sum("rows").alias("out"))
-    nodes, found = measured(vertices.select("id").distinct().join(out.select(F.col("src").alias("id"), F.lit(True).alias("_out")), "id", "left").select("id", F.col("_out").isNull().alias("dangling")), "pagerank-ids", dangling=F.count_if("dangling"))
-    n = found["n"]
+    nodes, n = numbers(vertices)
     if n == 0:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
-    links = held_by(pair.join(out, "src").select("src", "dst", (F.col("rows") * F.col("w") / F.col("out")).alias("share")), "src")
-    ranks, lost = nodes.withColumn("pagerank", F.lit(1.0 / n)), found["dangling"] / n
+    pair = settled(edges.groupBy("src", "dst").agg(F.count("*").alias("rows"), F.min_by("weight", "pos").alias("w")), "pagerank-pairs")
+    out = settled(pair.groupBy("src").agg(F.sum("rows").alias("out")), "pagerank-out")
+    ranks, found = measured(nodes.join(out.select(F.col("src").alias("id"), F.lit(True).alias("_out")), "id", "left").select("n", F.col("_out").isNull().alias("dangling"), F.lit(1.0 / n).alias("pagerank")), "pagerank-ids", dangling=F.count_if("dangling"))
+    links, partitions = linked(nodes, pair.join(out, "src").select("src", "dst", (F.col("rows") * F.col("w") / F.col("out")).alias("share")), "share")
+    links = links.repartition(partitions, "n").persist(StorageLevel.MEMORY_AND_DISK)
+    lost = found["dangling"] / n
     for k in range(rounds):
-        into = links.meets(ranks, "id").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
-        new = nodes.join(into, "id", "left").select("id", "dangling", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0)) + damping * F.lit(lost) / n).alias("pagerank"))
+        sent = links.join(ranks.select("n", "pagerank").repartition(partitions, "n").hint("shuffle_hash"), "n").select("pagerank", F.inline("links"))
+        into = sent.groupBy(F.col("to").alias("n")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
+        new = ranks.withColumnRenamed("pagerank", "_old").join(into, "n", "left").select("n", "dangling", "_old", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0)) + damping * F.lit(lost) / n).alias("pagerank"))
         figures = {"lost": F.sum(F.when(F.col("dangling"), F.col("pagerank")))}
         if k > 0 and tolerance > 0:
-            new = new.join(ranks.select("id", F.col("pagerank").alias("_old")), "id")
             figures["moved"] = F.sum(F.abs(F.col("pagerank") - F.col("_old")))
         ranks, found = measured(new, f"pagerank-{k}", **figures)
-        ranks, lost = ranks.select("id", "dangling", "pagerank"), found["lost"] or 0.0
+        ranks, lost = ranks.select("n", "dangling", "pagerank"), found["lost"] or 0.0
         if found.get("moved", tolerance) < tolerance:
             break
     links.unpersist()
-    return ranks.select("id", "pagerank")
+    return nodes.join(ranks, "n").select("id", "pagerank")
 
 
 def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, label): synchronous rounds; each node takes the commonest label among its distinct neighbours both ways and itself, the least on ties. It ends early when no label changes."""
-    ends = both_ways(edges).toDF("id", "from").union(vertices.select("id", F.col("id").alias("from"))).distinct()
-    ends = settled(ends.join(vertices.select("id"), "id", "left_semi").join(vertices.select(F.col("id").alias("from")), "from", "left_semi").select("id", "from"), "labels-ends")
-    ends = held_by(ends, "from")
-    labels = vertices.select("id", F.col("id").alias("label")).distinct()
+    """(id, label): synchronous rounds; each node takes the commonest label among its distinct neighbours both ways and itself, the least on ties. It ends early when no label changes.
+
+    Labels are numbers in the order of the ids, so the least number is the least id.
+    """
+    nodes, n = numbers(vertices)
+    either = edges.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
+    own = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    links, partitions = linked(nodes, either.union(own).distinct())
+    links = links.repartition(partitions, "n").persist(StorageLevel.MEMORY_AND_DISK)
+    labels = nodes.select("n", F.col("n").alias("label"))
     for k in range(rounds):
         # A node is among its own voters, so its label before comes along.
-        votes = ends.meets(labels.select(F.col("id").alias("_from"), "label"), "_from").groupBy("id", "label").agg(F.count("*").alias("n"), F.max(F.when(F.col("from") == F.col("id"), F.col("label"))).alias("own"))
-        new = votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"), F.max("own").alias("own"))
+        sent = links.join(labels.repartition(partitions, "n").hint("shuffle_hash"), "n").select("n", "label", F.inline("links"))
+        votes = sent.groupBy("to", "label").agg(F.count("*").alias("votes"), F.max(F.when(F.col("to") == F.col("n"), F.col("label"))).alias("own"))
+        new = votes.groupBy(F.col("to").alias("n")).agg(F.min_by("label", F.struct(-F.col("votes"), F.col("label"))).alias("label"), F.max("own").alias("own"))
         labels, found = measured(new, f"labels-{k}", changed=F.count_if(F.col("label") != F.col("own")))
-        labels = labels.select("id", "label")
+        labels = labels.select("n", "label")
         if not found["changed"]:
             break
-    ends.unpersist()
-    return labels
+    links.unpersist()
+    return nodes.join(labels, "n").join(nodes.select(F.col("n").alias("label"), F.col("id").alias("_label")), "label").select("id", F.col("_label").alias("label"))
 
 
 def communities(labels: DataFrame, vertices: DataFrame, most: int = 10, members: int = 5) -> DataFrame:

@@ -51,3 +51,22 @@ def test_steps_of_a_level_read_its_own_edges(spark):
     pairs, ahead, known = graph.pairs_back(v, e, "edge_type", at)
     assert pairs.count() < 60 and pairs.where("dst not in ('n3', 'n41')").isEmpty() and ahead.where("src not in ('n3', 'n41')").isEmpty()
     assert sorted(map(tuple, impact.steps_back(v, e, at).collect())) == sorted(map(tuple, impact.steps_back(v, e).where("at in ('n3', 'n41')").collect()))
+
+
+def test_hubs_have_several_rows_of_links(spark, monkeypatch):
+    v, e = _graph(spark)
+    rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    ranks, labels = rows(graph.pagerank(v, e, rounds=3)), rows(graph.label_propagation(v, e, rounds=3))
+    assert len(ranks) == len(labels) == 57
+    monkeypatch.setattr(graph, "HEAVY", 3)
+    monkeypatch.setattr(graph, "PAIRS", 40)
+    nodes, _ = graph.numbers(v)
+    links, partitions = graph.linked(nodes, e.select("src", "dst").distinct())
+    assert partitions > 4 and links.count() > links.select("n").distinct().count()
+    assert ranks == rows(graph.pagerank(v, e, rounds=3)) and labels == rows(graph.label_propagation(v, e, rounds=3))
+
+
+def test_numbers_follow_the_order_of_ids(spark):
+    ids = [f"x{k}" for k in range(50)] + ["", "é", "Z", "~"]
+    nodes, n = graph.numbers(spark.createDataFrame([(x,) for x in ids * 2], "id string").repartition(7))
+    assert n == len(ids) and [r["id"] for r in nodes.orderBy("n").collect()] == sorted(ids, key=lambda x: x.encode())
