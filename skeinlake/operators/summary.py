@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import settled
 from . import graph
 
 
@@ -52,7 +53,8 @@ def fit_budget(plan: Plan, tokens: int, sizes, least_chars: int = 2000, most_ste
 
 
 def graph_summary(vertices: DataFrame, edges: DataFrame, changed: DataFrame | None = None, radius: int = 2, top: int = 200, communities: int = 10, paths: int = 5, tokens: int = 3000, rounds: int = 20) -> tuple[dict[str, DataFrame], Plan]:
-    """The parts of a summary as tables, and the plan that fitted the budget."""
+    """The parts of a summary as tables, and the plan that fitted the budget. The graph is settled first, as each part reads it anew."""
+    vertices, edges = settled(vertices, "summary-vertices"), settled(edges, "summary-edges")
     ranks = graph.pagerank(vertices, edges, rounds=rounds)
     none = vertices.sparkSession.createDataFrame([], "path string")
     seeds = graph.seeds_of_paths(vertices, none if changed is None else changed)

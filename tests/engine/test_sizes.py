@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from skeinlake.catalog.all import QUERIES
-from skeinlake.operators import graph, impact
+from skeinlake.operators import graph, impact, summary
 from skeinlake.plans import tables
 
 
@@ -70,3 +70,18 @@ def test_numbers_follow_the_order_of_ids(spark):
     ids = [f"x{k}" for k in range(50)] + ["", "é", "Z", "~"]
     nodes, n = graph.numbers(spark.createDataFrame([(x,) for x in ids * 2], "id string").repartition(7))
     assert n == len(ids) and [r["id"] for r in nodes.orderBy("n").collect()] == sorted(ids, key=lambda x: x.encode())
+
+
+def test_summary_reads_what_its_graph_is_made_of_once(spark):
+    v, e = _graph(spark)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    v = v.withColumns({"name": v["id"], "file_path": v["id"]})
+    rows, schema = v.count(), v.schema
+    summary.graph_summary(v.mapInArrow(counted, schema), e, v.select("id").limit(0).withColumnRenamed("id", "path"), rounds=2, tokens=0)
+    assert read.value == rows
